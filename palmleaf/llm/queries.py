@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palmleaf.llm import language, leaks, linklog, lines, packing, quality, residue
+from palmleaf.llm import language, leaks, linklog, lines, neardup, packing, quality, residue
 from palmleaf.session import table
 
 
@@ -33,6 +33,14 @@ def p3_labels(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d).where("line_no = 0").select("story_id", "lang", "confidence")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.pairs(table(spark, d, "stories").select("story_id", "url", "raw_sha256", "original_text"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(table(spark, d, "stories").select("story_id", "url", "raw_sha256", "original_text"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return linklog.copies(table(spark, d, "links"), _tracking(spark, d))
 
