@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palmleaf.llm import language, leaks, linklog, lines, neardup, packing, quality, residue
+from palmleaf.llm import boilerplate, language, leaks, linklog, lines, neardup, packing, quality, residue
 from palmleaf.session import table
 
 
@@ -14,6 +14,12 @@ def _tracking(spark: SparkSession, d: str) -> list[str]:
     return sorted(r[0].lower() for r in table(spark, d, "tracking_keys").where("key_name is not null").limit(1000).collect())
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    stories = table(spark, d, "stories")
+    found = boilerplate.boilerplate(stories, table(spark, d, "raw_pages"))
+    return found.join(residue.residue(stories), "story_id", "left_anti")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "stories"))
 
