@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +64,21 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass  # the session is gone, or the folder was cleaned by the cluster
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once, so that they need no path to it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_palmleaf_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="palmleaf-")) / "palmleaf.zip"  # on the driver; Spark serves it
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._palmleaf_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table by name."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
