@@ -102,9 +102,57 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.failures(quality.statistics(table(spark, d, "documents")))
 
 
+_BARE = "regexp_replace(url, '^\\s+|\\s+$', '', 'g')"
+
+
+def _piece(i: int) -> str:
+    return f"regexp_extract({_BARE}, '^([A-Za-z][A-Za-z0-9+.\\-]*)://([^/?#]*)([^?#]*)\\??([^#]*)(?:#.*)?$', {i})"
+
+
+def _plain(c: str) -> str:
+    return f"url_decode(replace({c}, '+', ' '))"
+
+
+_PAGE = f"""SELECT link_id, lower({_piece(1)}) AS s, CASE WHEN lower({_piece(1)}) = 'https' THEN regexp_replace(lower({_piece(2)}), ':443$', '') ELSE lower({_piece(2)}) END AS h,
+    regexp_replace({_plain(_piece(3))}, '/+$', '') AS p,
+    list_sort(list_filter(list_transform(list_filter(string_split({_piece(4)}, '&'), lambda f: f <> ''),
+      lambda f: {{'n': {_plain("split_part(f, '=', 1)")}, 'v': {_plain("substr(f, length(split_part(f, '=', 1)) + 2)")}}}),
+      lambda x: NOT list_contains(tk, lower(x.n)))) AS q FROM links, (SELECT list(lower(key_name)) AS tk FROM tracking_keys) WHERE {_BARE} <> ''"""
+
+_LINES = """SELECT story_id, source_host, url, row_number() OVER (PARTITION BY story_id ORDER BY i) AS line_no, trim(regexp_replace(lower(x), '[^\\p{L}\\p{M}]+', ' ', 'g')) AS k
+    FROM (SELECT story_id, source_host, url, unnest(string_split(original_text, chr(10))) AS x, generate_subscripts(string_split(original_text, chr(10)), 1) AS i FROM stories WHERE source_host <> '' AND url IS NOT NULL AND original_text IS NOT NULL) WHERE regexp_matches(x, '\\S')"""
+
+
+def _share(part: str, whole: str) -> str:
+    return f"CASE WHEN {whole} > 0 THEN round(CAST({part} AS DOUBLE) / {whole}, 6) ELSE 0.0 END"
+
+
+def _hits(arr: str, pattern: str) -> str:
+    return f"len(list_filter({arr}, lambda y: regexp_matches(y, '{pattern}')))"
+
+
+_STATS = f"""WITH t AS (SELECT doc_id, text, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda y: y <> '') AS w,
+      list_filter(string_split(text, chr(10)), lambda y: regexp_matches(y, '[^ \\t\\r]')) AS l FROM documents),
+    s AS (SELECT doc_id, len(w) AS n_words, {_share("length(array_to_string(w, ''))", "len(w)")} AS mean_word_length,
+      {_share("length(text) - length(regexp_replace(text, '[#…{}<>|\\\\^~=+*_$%@&]', '', 'g'))", "len(w)")} AS symbol_ratio,
+      {_share(_hits("l", "[.!?…।\"”’''\\)]\\s*$"), "len(l)")} AS end_punctuation_share,
+      {_share(_hits("l", "^\\s*[-*•‣·–]\\s"), "len(l)")} AS bullet_share,
+      {_share(_hits("l", "(\\.\\.\\.|…)\\s*$"), "len(l)")} AS ellipsis_share,
+      {_share(_hits("w", "\\p{L}"), "len(w)")} AS alpha_word_share,
+      {_share("len(list_filter(w, lambda y: regexp_replace(y, '[^a-z]', '', 'g') IN ('the', 'be', 'to', 'of', 'and', 'that', 'have', 'with')))", "len(w)")} AS common_word_share FROM t WHERE text IS NOT NULL)
+    SELECT *, concat_ws(',', CASE WHEN n_words < 50 THEN 'too_few_words' END, CASE WHEN n_words > 100000 THEN 'too_many_words' END,
+      CASE WHEN mean_word_length < 3 OR mean_word_length > 10 THEN 'word_length' END, CASE WHEN symbol_ratio > 0.1 THEN 'symbols' END, CASE WHEN bullet_share > 0.9 THEN 'bullets' END,
+      CASE WHEN ellipsis_share > 0.3 THEN 'ellipses' END, CASE WHEN end_punctuation_share < 0.1 THEN 'no_end_punctuation' END, CASE WHEN alpha_word_share < 0.8 THEN 'few_letters' END) AS reasons FROM s"""
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": f"WITH c AS ({_PAGE}), f AS (SELECT *, min(link_id) OVER (PARTITION BY s, h, p, q) AS f FROM c) SELECT f AS link_id_first, link_id AS link_id_copy FROM f WHERE f <> link_id",
+        "p5_pages": f"SELECT min(link_id) AS first_id, count(*) AS n FROM ({_PAGE}) GROUP BY s, h, p, q",
+        "p6_found": f"WITH l AS ({_LINES}), k AS (SELECT * FROM l WHERE length(replace(k, ' ', '')) >= 12), f AS (SELECT source_host, k FROM k GROUP BY 1, 2 HAVING count(DISTINCT url) >= 5) SELECT story_id, line_no FROM k JOIN f USING (source_host, k)",
+        "p9_statistics": _STATS,
+    }
