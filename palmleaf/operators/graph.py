@@ -28,3 +28,14 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | N
             break
         seen = stage(seen.unionByName(new), "seen")
     return seen.orderBy("depth", "url").limit(max_pages) if max_pages else seen
+
+
+def replayed(journal: DataFrame) -> DataFrame:
+    """(url, state) of a crawl's journal (seq, t, url, links): v records are visited pages with their
+    links, sitemap records list urls, done ends a run. A url is visited, or queued if it was only seen.
+    Records before the last start belong to an older run."""
+    start = journal.where("t = 'start'").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_s"))
+    now = journal.crossJoin(F.broadcast(start)).where("seq >= _s")  # one row
+    visited = now.where("t = 'v' and url is not null").select("url").distinct()
+    seen = now.where("t in ('v', 'sitemap', 'start')").select(F.explode(F.coalesce("links", F.array().cast("array<string>"))).alias("url")).distinct()
+    return visited.withColumn("state", F.lit("visited")).unionByName(seen.join(visited, "url", "left_anti").withColumn("state", F.lit("queued")))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from palmleaf.functions import text as X
 from palmleaf.functions import titles as T
-from palmleaf.functions import translit, urls
-from palmleaf.operators import catalog, classify, dedup, graph, htmlpage, library, links, segment
+from palmleaf.functions import settings, translit, urls
+from palmleaf.operators import catalog, classify, dedup, graph, htmlpage, library, links, schema, segment
 from palmleaf.session import table
 
 CATEGORIES = ["Ghost", "Humour", "College", "Work", "Family", "Travel", "Mystery", "Village"]
@@ -770,6 +770,57 @@ def _(s, d):
     return graph.crawl(edges, seeds, 3)
 
 
+@query("a1_hash_groups", "SELECT raw_sha256, count(*) AS n, array_to_string(list_transform(list_sort(list(story_id)), lambda x: CAST(x AS VARCHAR)), ',') AS ids FROM stories WHERE raw_sha256 <> '' GROUP BY 1 HAVING count(*) > 1")
+def _(s, d):
+    g = _t(s, d, "stories").where("raw_sha256 <> ''").groupBy("raw_sha256").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("story_id")).alias("_i")).where("n > 1")
+    return g.select("raw_sha256", "n", F.array_join(F.transform("_i", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query("a12_paragraph_metrics", "SELECT status, CAST(sum(paragraphs) AS BIGINT) AS paragraphs, max(max_paragraph_chars) AS longest, CAST(sum(dialogue_breaks) AS BIGINT) AS breaks, CAST(sum(unsplit_dialogue) AS BIGINT) AS unsplit FROM stories GROUP BY status")
+def _(s, d):
+    return _t(s, d, "stories").groupBy("status").agg(F.sum("paragraphs").alias("paragraphs"), F.max("max_paragraph_chars").alias("longest"), F.sum("dialogue_breaks").alias("breaks"), F.sum("unsplit_dialogue").alias("unsplit"))
+
+
+@query("q30_conformed", "SELECT story_id, coalesce(title, '') AS title, coalesce(telugu, 0) AS telugu, part_number, coalesce(error, '') AS error FROM stories")
+def _(s, d):
+    return schema.conformed(_t(s, d, "stories"), schema.STORIES).select("story_id", "title", "telugu", "part_number", "error")
+
+
+@query("s17_page_json")
+def _(s, d):
+    return htmlpage.parsed(_t(s, d, "raw_pages")).select("page_id", F.to_json(F.struct("title", "blocks", "links", "images")).alias("document"))
+
+
+@query("t9_dialogue_turns")
+def _(s, d):
+    return segment.turns(_t(s, d, "stories"))
+
+
+@query("p11_page_stems")
+def _(s, d):
+    return _t(s, d, "stories").where("url is not null").select("story_id", settings.page_stem(F.col("title"), F.col("url")).alias("stem"))
+
+
+@query("p12_stem_matches", "SELECT story_id, ends_with(raw_file, '-' || left(sha256(url), 12) || '.html') AS by_url FROM stories WHERE url IS NOT NULL AND raw_file <> ''")
+def _(s, d):
+    return _t(s, d, "stories").where("url is not null and raw_file <> ''").select("story_id", settings.stem_matches(F.col("raw_file"), F.col("url")).alias("by_url"))
+
+
+@query("p13_decoded")
+def _(s, d):
+    return _t(s, d, "raw_pages").where("html is not null").select("page_id", X.decode_entities(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+
+
+@query("p18_clamped", "SELECT id, least(greatest(coalesce(CAST(trunc(try_cast(regexp_extract(command, '(\\d+)$', 1) AS DOUBLE)) AS BIGINT), 20), 1), 200) AS batch FROM job_runs")
+def _(s, d):
+    return _t(s, d, "job_runs").select("id", settings.clamp(F.regexp_extract("command", r"(\d+)$", 1), "auto_batch").alias("batch"))
+
+
+@query("p8_components")
+def _(s, d):
+    return _t(s, d, "stories").select("story_id", T.component(F.col("title"), "Untitled Story").alias("name"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {_name(k): v for k, v in QUERIES.items()}
 

@@ -89,6 +89,33 @@ def text_tree(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFra
     return df.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
+def url_file(spark: SparkSession, path: str) -> DataFrame:
+    """(url, title, pos) of a JSON file of urls in arrays of any depth, as texts or objects; the first of equal urls stays."""
+    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    level, found = raw.select("v", F.lit("").alias("at")), None
+    for _ in range(8):  # arrays in arrays; each round opens one level
+        items = level.where("schema_of_variant(v) like 'ARRAY%'").selectExpr("at", "posexplode(cast(v as array<variant>)) as (p, x)")
+        level = items.select(F.col("x").alias("v"), F.concat("at", F.format_string("%09d/", "p")).alias("at"))
+        leaf = level.where("schema_of_variant(v) not like 'ARRAY%'")
+        found = leaf if found is None else found.unionByName(leaf)
+    get = lambda k: F.expr(f"try_variant_get(v, '$.{k}', 'string')")
+    url = F.coalesce(_first(get("link"), get("url"), get("href"), get("source_url")), F.expr("case when schema_of_variant(v) = 'STRING' then cast(v as string) end"))
+    df = found.select(url.alias("url"), _first(get("title"), get("name")).alias("title"), F.col("at").alias("pos")).where(F.col("url").rlike(r"^(?i)https?://[^/?#]+"))
+    return df.groupBy("url").agg(F.min_by("title", "pos").alias("title"), F.min("pos").alias("pos"))
+
+
+def file_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(path, token, size): modification time and size of each file, which tell whether it changed."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+    return df.select("path", F.concat_ws(":", F.unix_micros("modificationTime").cast("string"), F.col("length").cast("string")).alias("token"), F.col("length").alias("size"))
+
+
+def folder_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, files, bytes) below a path."""
+    df = file_tokens(spark, path).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    return df.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """JSON lines, one per row."""
     results.write.mode("overwrite").json(path)

@@ -104,3 +104,25 @@ def test_crawl(spark):
     s = spark.createDataFrame([("r", 0)], "url string, depth int")
     assert rows(graph.crawl(e, s, 2)) == [("a", 1), ("b", 2), ("r", 0)]
     assert graph.crawl(e, s.limit(0), 2).count() == 0
+
+
+def test_crawl_replay(spark):
+    j = spark.createDataFrame([(1, "v", "old", ["x"]), (2, "start", None, ["r"]), (3, "v", "r", ["a", "b"]), (4, "v", "a", None), (5, "done", None, None)], "seq long, t string, url string, links array<string>")
+    assert rows(graph.replayed(j)) == [("a", "visited"), ("b", "queued"), ("r", "visited")]
+
+
+def test_schema_and_settings(spark):
+    from pyspark.sql import functions as F
+
+    from palmleaf.functions import settings
+    from palmleaf.operators import schema
+
+    old = spark.createDataFrame([(1, "u", None, "x")], "story_id long, url string, telugu string, extra string")
+    one = schema.conformed(old, schema.STORIES)
+    assert one.schema.names == schema.STORIES.names and one.first().telugu == 0 and one.first().part_number is None and one.first().title == ""
+    assert schema.merged(old, one, schema=schema.STORIES).distinct().count() == 1
+    df = spark.createDataFrame([("7",), ("x",), ("900",), (None,)], "v string")
+    assert [r[0] for r in df.select(settings.clamp(F.col("v"), "auto_batch")).collect()] == [7, 20, 200, 20]
+    assert settings.site_profiles("# c\nA.example = 3\nb.example=-1\nc.example=x\nd.example=99") == {"a.example": 3.0, "b.example": 0.0, "d.example": 60.0}
+    t = spark.createDataFrame([("Café — The  Story!",), ("",), (None,)], "t string")
+    assert [r[0] for r in t.select(settings.slug(F.col("t"))).collect()] == ["cafe-the-story", "", None]

@@ -24,6 +24,46 @@ def test_readers(spark, tmp_path):
     assert sorted(tuple(r) for r in readers.lexicon(spark, str(tmp_path / "w.tsv")).collect()) == [("a", "z"), ("b", "y")]
 
 
+def test_files(spark, tmp_path):
+    (tmp_path / "n.json").write_text(json.dumps([["https://a.example/1"], [[{"href": "https://a.example/2", "name": "two"}]], {"url": "https://a.example/1"}, 5, None]))
+    assert sorted((r.url, r.title) for r in readers.url_file(spark, str(tmp_path / "n.json")).collect()) == [("https://a.example/1", None), ("https://a.example/2", "two")]
+    assert [r.files for r in readers.folder_sizes(spark, str(tmp_path)).collect()] == [1]
+
+
+def test_tail(spark, tmp_path):
+    from palmleaf.streaming.tail import JournalTail
+
+    spark.dataSource.register(JournalTail)
+    f = tmp_path / "j.log"
+    line = lambda u, s: json.dumps({"url": u, "state": {"status": s}}) + "\n"
+    out = []
+
+    def run():
+        q = spark.readStream.format("journal_tail").option("path", str(f)).load().writeStream.foreachBatch(lambda b, _: out.extend(r.url for r in b.orderBy("seq").collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
+        q.awaitTermination()
+
+    f.write_text(line("a", "failed") + "broken\n" + '{"url": "half"')
+    run()
+    assert out == ["a"]
+
+
+def test_tail_offsets(tmp_path):
+    from palmleaf.streaming import tail
+
+    f = tmp_path / "j.log"
+    f.write_bytes(b'{"url": "a", "state": {"status": "x"}}\nbad\n{"url": "b"')
+    r = tail._Reader(str(f))
+    end = r.latestOffset()
+    assert [x[1] for x in tail.records(str(f), 0, end["at"])] == ["a"] and end["at"] == f.read_bytes().rfind(b"\n") + 1
+    with f.open("ab") as g:
+        g.write(b', "state": {"status": "y"}}\n')
+    more = r.latestOffset()
+    assert [x[1] for x in tail.records(str(f), end["at"], more["at"])] == ["b"]
+    f.write_bytes(b'{"url": "c", "state": {}}\n')
+    cut = r.latestOffset()
+    assert [(p.start, p.end) for p in r.partitions(more, cut)] == [(0, cut["at"])]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     d = "/root/testdata/sf0.001/fetch_journal.parquet"
     batch = spark.read.parquet(d)
