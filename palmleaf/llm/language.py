@@ -111,7 +111,8 @@ def fit(documents: DataFrame, stories: DataFrame, sample_rows: int = SAMPLE_ROWS
     """The dictionary of each language, from at most ``sample_rows`` labelled rows (lang, text)
     and as many rows of the stories, whose site lines the labelled texts don't have.
 
-    The rows of the smallest hashes are taken, so the sample is the same at every run.
+    The rows of the smallest hashes are taken, so the sample is the same at every run; of a text in the
+    sample at most 20,000 characters are looked at. Labelling itself always reads whole texts.
     """
     labelled = documents.where(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 200)).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
     each = max(1, sample_rows // len(LANGUAGES))
@@ -292,7 +293,7 @@ def languages(stories: DataFrame, contents: dict, min_letters: int = MIN_LETTERS
             out["telugu"] = out["telugu"].astype("Int64")
             yield out
 
-    rows = stories.select("story_id", F.col("telugu").cast("long").alias("telugu"), "original_text").where("original_text is not null and original_text <> ''")
+    rows = stories.select("story_id", F.col("telugu").cast("long").alias("telugu"), "original_text").where("story_id is not null and original_text is not null and original_text <> ''")
     return rows.mapInPandas(label, "story_id long, telugu long, line_no long, lang string, confidence double")
 
 

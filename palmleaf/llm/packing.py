@@ -12,7 +12,7 @@ task depends on the size of the input, and a shard wastes at most its few last
 packs. Documents are dealt to shards by a hash of their id: no source, length
 or group of copies can make a shard hot.
 
-Nulls: a NULL text is no document and gets no pack. An empty text has 0 tokens
+Nulls: a NULL text or id is no document and gets no pack. An empty text has 0 tokens
 and goes into the first pack of its shard. Ties go by the document's id. Ids are expected
 to be unique; equal ids are packed as the separate rows that they are.
 """
@@ -82,7 +82,7 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None, pattern: s
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [counter(t) for t in b["text"]]})
 
-    return documents.select("doc_id", "text").where("text is not null").mapInPandas(count, "doc_id long, n_tokens long")
+    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(count, "doc_id long, n_tokens long")
 
 
 class _Gaps:

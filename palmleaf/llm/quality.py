@@ -27,6 +27,8 @@ MIN_WORDS, MAX_WORDS = 50, 100_000
 MIN_MEAN_LENGTH, MAX_MEAN_LENGTH = 3.0, 10.0
 MAX_SYMBOL_RATIO, MAX_BULLET_SHARE, MAX_ELLIPSIS_SHARE = 0.1, 0.9, 0.3
 MIN_END_PUNCTUATION, MIN_ALPHA_SHARE = 0.1, 0.8
+#: More than this share of the characters makes a document a list, a table or junk; two kinds can't both exceed it.
+MAX_KIND_SHARE = 0.5
 
 END_MARKS = r"[.!?…।\"”’'\)]\s*$"
 BULLET = r"^\s*[-*•‣·–]\s"
@@ -235,28 +237,32 @@ def line_kinds(lines: list[str]) -> list[str]:
     return kinds
 
 
-def kind_of(text: str | None) -> str:
-    """list, table or junk if more than half of the characters are that, else ''."""
-    if not text:
-        return ""
-    lines = [x for x in text.split("\n") if x.strip()]
+def line_shares(text: str | None) -> tuple[float, float, float]:
+    """Shares of a text's characters that are entries of a list, rows of a table and junk."""
+    lines = [x for x in (text or "").split("\n") if x.strip()]
     total = sum(map(len, lines))
-    if not total:
-        return ""
-    shares = dict.fromkeys(("list", "table", "junk"), 0)
-    for x, k in zip(lines, line_kinds(lines)):
-        if k:
-            shares[k] += len(x)
-    best = max(shares, key=lambda k: shares[k])
-    return best if 2 * shares[best] > total else ""
+    found = dict.fromkeys(("list", "table", "junk"), 0)
+    if total:
+        for x, k in zip(lines, line_kinds(lines)):
+            if k:
+                found[k] += len(x)
+    return tuple(found[k] / max(1, total) for k in found)
 
 
-def kinds(documents: DataFrame) -> DataFrame:
-    """(doc_id, kind) of the documents that are a list, a table or junk."""
+def shares(documents: DataFrame) -> DataFrame:
+    """(doc_id, list_share, table_share, junk_share) of every document with a text."""
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b.assign(kind=[kind_of(x) for x in b["text"]])
-            yield b.loc[b["kind"] != "", ["doc_id", "kind"]]
+            out = pd.DataFrame([line_shares(x) for x in b["text"]], columns=["list_share", "table_share", "junk_share"], dtype="float64")
+            yield out.assign(doc_id=b["doc_id"].to_numpy())
+
+    rows = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    return rows.mapInPandas(measure, "list_share double, table_share double, junk_share double, doc_id long")
+
 
-    return documents.select("doc_id", "text").where("text is not null").mapInPandas(decide, "doc_id long, kind string").distinct()
+def kinds(documents: DataFrame) -> DataFrame:
+    """(doc_id, kind) of the documents that are a list, a table or junk; the kind is the rule that failed."""
+    c = F.col
+    kind = F.when(c("list_share") > MAX_KIND_SHARE, "list").when(c("table_share") > MAX_KIND_SHARE, "table").when(c("junk_share") > MAX_KIND_SHARE, "junk")
+    return shares(documents).select("doc_id", kind.alias("kind")).where("kind is not null").distinct()

@@ -27,8 +27,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     stories = table(spark, d, "stories").select("story_id", "telugu", "original_text")
     contents = language.fit(table(spark, d, "documents"), stories)
-    bad = residue.residue(stories)
-    return language.languages(stories, contents).join(bad, "story_id", "left_anti")
+    return language.languages(stories, contents).join(residue.residue(stories), "story_id", "left_anti")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +97,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.kinds(table(spark, d, "documents"))
 
 
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    cols = [F.round(c, 6).alias(c) for c in ("list_share", "table_share", "junk_share")]
+    return quality.shares(table(spark, d, "documents")).select("doc_id", *cols)
+
+
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.failures(quality.statistics(table(spark, d, "documents")))
 
