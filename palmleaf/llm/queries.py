@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palmleaf.llm import boilerplate, language, leaks, linklog, lines, neardup, packing, quality, residue
-from palmleaf.session import table
+from palmleaf.session import stage, table
 
 
 def _tracking(spark: SparkSession, d: str) -> list[str]:
@@ -31,7 +31,7 @@ def _languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return language.relabel(_languages(spark, d)).select("story_id", "line_no", "lang")
+    return language.relabel(stage(_languages(spark, d), "languages")).select("story_id", "line_no", "lang")
 
 
 def p3_labels(spark: SparkSession, d: str) -> DataFrame:
