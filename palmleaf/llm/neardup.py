@@ -270,13 +270,15 @@ def pairs(stories: DataFrame, threshold: float = 0.6, shingle: int = 3, min_word
     return one.where(differ).select(*cols).unionByName(two.where(differ).select(*cols)).distinct()
 
 
-def groups(stories: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 50) -> DataFrame:
-    """(story_id, group_id, n_links): every text that takes part, the smallest id of its connected
-    component of near-duplicates, and the number of different texts linked to its own."""
+def groups(stories: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 1) -> DataFrame:
+    """(story_id, group_id, n_links): one row per row with an id, the smallest id of its connected
+    component of near-duplicates, and the number of different texts linked to its own.
+    A text without words is its own group."""
     from palmleaf.llm.residue import components
 
     members, links = classes(stories, threshold, shingle, min_words)
     comp = components(links, links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    members = stories.where("story_id is not null").select("story_id").distinct().join(members, "story_id", "left").withColumn("rep", F.coalesce("rep", "story_id"))
     out = members.join(comp.select(F.col("m").alias("rep"), "c"), "rep", "left").join(degree, "rep", "left")
     return out.select("story_id", F.coalesce("c", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

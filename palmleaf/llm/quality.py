@@ -138,6 +138,11 @@ def _junk(line: str, ws: list[str]) -> bool:
     return len(_CODE.findall(line)) >= 2 and sum(line.count(c) for c in "(){};=[]") > 0.08 * n
 
 
+def _unsayable(line: str) -> bool:
+    latin = _LATIN.findall(line)
+    return len(latin) >= 4 and sum(bool(_NO_VOWEL.search(x)) for x in latin) > 0.3 * len(latin)
+
+
 def _mashed(line: str) -> bool:
     """Words that no one can say, or with marks inside them."""
     latin = _LATIN.findall(line)
@@ -173,7 +178,7 @@ def line_kinds(lines: list[str]) -> list[str]:
     split = [x.split() for x in lines]
     prose = [_prose(ws) for ws in split]
     for i, x in enumerate(lines):
-        if not prose[i] and _junk(x, split[i]):
+        if not prose[i] and not ("-" in x and _RULE.match(x)) and (_junk(x, split[i]) or _unsayable(x)):
             kinds[i] = "junk"
     # the same line again and again, or the same few words through many lines
     for i in range(2, len(lines)):

@@ -60,10 +60,11 @@ def odd_multipliers(n: int, seed: int) -> np.ndarray:
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct hashes of runs of ``size`` consecutive words."""
-    n = len(hashes) - size + 1
-    if n <= 0:
+    """Sorted distinct hashes of runs of ``size`` consecutive words; fewer words make one run."""
+    if not len(hashes):
         return np.empty(0, np.uint64)
+    size = min(size, len(hashes))
+    n = len(hashes) - size + 1
     mult = odd_multipliers(size, 7)
     total = np.zeros(n, np.uint64)
     for j in range(size):

@@ -241,9 +241,11 @@ def test_near_groups(spark):
     rows = near_texts()
     df = spark.createDataFrame(rows, "story_id long, url string, raw_sha256 string, original_text string")
     out = {r.story_id: r.group_id for r in neardup.groups(df).collect()}
-    assert set(out) == {i for i, _, _, x in rows if len(words(x)) >= 50}
-    same = [(a, b) for a, b in brute_pairs([(i, None, None, x) for i, _, _, x in rows], 0.8, 5, 50)]
-    assert all(out[a] == out[b] for a, b in same)
+    assert set(out) == {i for i, _, _, _ in rows} and out[900] == 900 and out[901] == 901
+    same = [(a, b) for a, b in brute_pairs([(i, None, None, x) for i, _, _, x in rows], 0.8, 5, 5)]
+    assert same and all(out[a] == out[b] for a, b in same)
+    links = {frozenset((out[a], out[b])) for a, b in combinations(out, 2) if out[a] == out[b]}
+    assert len(links) < len(out)
 
 
 def test_tree_and_bound():
