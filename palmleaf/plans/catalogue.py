@@ -791,6 +791,17 @@ def _(s, d):
     return htmlpage.parsed(_t(s, d, "raw_pages")).select("page_id", F.to_json(F.struct("title", "blocks", "links", "images")).alias("document"))
 
 
+@query("t4_images")
+def _(s, d):
+    return htmlpage.parsed(_t(s, d, "raw_pages")).select("page_id", F.explode("images").alias("src"))
+
+
+@query("t5_lists_and_tables")
+def _(s, d):
+    b = htmlpage.parsed(_t(s, d, "raw_pages")).select("page_id", F.explode("blocks").alias("b"))
+    return b.where("b.kind in ('list', 'table')").groupBy("page_id", F.col("b.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("t9_dialogue_turns")
 def _(s, d):
     return segment.turns(_t(s, d, "stories"))

@@ -76,3 +76,19 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     last = max(int(p.name[1:]) for p in (tmp_path / "t").iterdir())
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t" / f"v{last}")).collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_index_stream(spark, tmp_path):
+    from palmleaf.operators import library
+    from palmleaf.streaming import index
+
+    schema = "story_id long, title string, url string, original_text string, romanized_text string, updated_at string, deleted boolean"
+    src = tmp_path / "in"
+    spark.createDataFrame([(1, "moon", "u", "", "", "1", False), (2, "sun", "u", "", "", "1", False)], schema).coalesce(1).write.mode("append").parquet(str(src))
+    run = lambda: index.index_into(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
+    run()
+    spark.createDataFrame([(1, "star", "u", "", "", "2", False), (2, "sun", "u", "", "", "2", True)], schema).coalesce(1).write.mode("append").parquet(str(src))
+    run()
+    last = spark.read.parquet(str(tmp_path / "t" / f"v{max(int(p.name[1:]) for p in (tmp_path / 't').iterdir())}"))
+    hit = lambda q: [r[0] for r in library.matches(last, q).collect()]
+    assert hit("moon") == [] and hit("star") == [1] and hit("sun") == []
