@@ -127,6 +127,24 @@ _LINES = """SELECT story_id, source_host, url, row_number() OVER (PARTITION BY s
     FROM (SELECT story_id, source_host, url, unnest(string_split(original_text, chr(10))) AS x, generate_subscripts(string_split(original_text, chr(10)), 1) AS i FROM stories WHERE source_host <> '' AND url IS NOT NULL AND original_text IS NOT NULL) WHERE regexp_matches(x, '\\S')"""
 
 
+def _words(c: str) -> str:
+    return f"list_filter(list_transform(string_split_regex(lower({c}), '\\s+'), lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{M}}\\p{{N}}]', '', 'g')), lambda x: x <> '')"
+
+
+_NEAR = f"""WITH w AS (SELECT story_id, url, raw_sha256, {_words('original_text')} AS w FROM stories WHERE original_text IS NOT NULL),
+    g AS (SELECT DISTINCT story_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT story_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 50)),
+    n AS (SELECT story_id, count(*) AS n FROM g GROUP BY 1),
+    c AS (SELECT a.story_id AS a, b.story_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.story_id < b.story_id GROUP BY 1, 2)
+    SELECT c.a AS story_id_a, c.b AS story_id_b FROM c JOIN n x ON x.story_id = c.a JOIN n y ON y.story_id = c.b JOIN w p ON p.story_id = c.a JOIN w q ON q.story_id = c.b
+    WHERE CAST(c AS DOUBLE) / (x.n + y.n - c) >= 0.6 AND (p.url IS NULL OR q.url IS NULL OR p.url <> q.url) AND coalesce(nullif(p.raw_sha256, '') <> nullif(q.raw_sha256, ''), true)"""
+
+_LEAKS = f"""WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, {_words('passage')} AS w FROM eval_items WHERE passage IS NOT NULL),
+    k AS (SELECT item_id, w, least(12, len(w)) AS k FROM e WHERE len(w) > 0), ks AS (SELECT DISTINCT k FROM k),
+    p AS (SELECT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM k)),
+    t AS (SELECT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks))
+    SELECT DISTINCT doc_id, item_id FROM t JOIN p USING (k, g)"""
+
+
 def _share(part: str, whole: str) -> str:
     return f"CASE WHEN {whole} > 0 THEN round(CAST({part} AS DOUBLE) / {whole}, 6) ELSE 0.0 END"
 
@@ -155,6 +173,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": _NEAR,
+        "p8_found": _LEAKS,
+        "p8_documents": f"SELECT doc_id, count(*) AS n_items, array_to_string(list_transform(list_sort(list(item_id)), lambda x: CAST(x AS VARCHAR)), ',') AS items FROM ({_LEAKS}) GROUP BY doc_id",
         "p5_found": f"WITH c AS ({_PAGE}), f AS (SELECT *, min(link_id) OVER (PARTITION BY s, h, p, q) AS f FROM c) SELECT f AS link_id_first, link_id AS link_id_copy FROM f WHERE f <> link_id",
         "p5_pages": f"SELECT min(link_id) AS first_id, count(*) AS n FROM ({_PAGE}) GROUP BY s, h, p, q",
         "p6_found": f"WITH l AS ({_LINES}), k AS (SELECT * FROM l WHERE length(replace(k, ' ', '')) >= 12), f AS (SELECT source_host, k FROM k GROUP BY 1, 2 HAVING count(DISTINCT url) >= 5) SELECT story_id, line_no FROM k JOIN f USING (source_host, k)",
