@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palmleaf.session import spread
+
 # Elements that end a block of text, and elements whose text is none.
 BLOCK_TAGS = frozenset("p div section article blockquote li pre td th h1 h2 h3 h4 h5 h6 figcaption dd dt".split())
 SILENT_TAGS = frozenset("script style template noscript svg canvas".split())
@@ -122,7 +124,7 @@ def parsed(pages: DataFrame) -> DataFrame:
                 rows.append((i, title, [{"kind": k, "text": t} for k, t in blocks], [{"url": u, "text": t} for u, t in found], p.images))
             yield pd.DataFrame(rows, columns=["page_id", "title", "blocks", "links", "images"])
 
-    return pages.where("html is not null").select("page_id", "url", "html").mapInPandas(work, _PAGE)
+    return spread(pages.where("html is not null").select("page_id", "url", "html")).mapInPandas(work, _PAGE)
 
 
 def block_statistics(done: DataFrame) -> DataFrame:

@@ -64,6 +64,15 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass  # the session is gone, or the folder was cleaned by the cluster
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a small input stands in few files and the work on each row is long.
+
+    Inputs with at least half as many parts as there are cores stay as they are: at scale nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once, so that they need no path to it."""
     sc = spark.sparkContext
