@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palmleaf.llm.words import NOT_LETTER
+from palmleaf.session import spread
 
 #: A node stays if it carries this share of the best node's importance-weighted text.
 BRANCH_SHARE = 0.3
@@ -180,7 +181,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     rows = pages.where("html is not null and raw_file is not null and raw_file <> '' and raw_sha256 is not null and raw_sha256 <> ''")
     rows = rows.select(F.xxhash64("raw_file", "raw_sha256").alias("page"), "url", "html")
-    return rows.mapInPandas(cut, "page long, host long, title long, node long, branch int, line long, leaf long, site_leaf long, size int, is_title boolean")
+    return spread(rows).mapInPandas(cut, "page long, host long, title long, node long, branch int, line long, leaf long, site_leaf long, size int, is_title boolean")
 
 
 def style_tree(cut: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -264,7 +265,7 @@ def story_lines(stories: DataFrame) -> DataFrame:
     there = F.when((F.col("raw_file") != "") & (F.col("raw_sha256") != ""), F.xxhash64("raw_file", "raw_sha256"))
     rows = stories.where("story_id is not null and original_text is not null and original_text <> ''")
     rows = rows.select("story_id", there.alias("page"), "url", "source_host", "title", "original_text")
-    return rows.mapInPandas(cut, "story_id long, host long, heading long, page long, line_no long, line long, leaf long, site_leaf long, bits int")
+    return spread(rows).mapInPandas(cut, "story_id long, host long, heading long, page long, line_no long, line long, leaf long, site_leaf long, bits int")
 
 
 def decide(lines: list[tuple[int, bool | None, bool, bool, int]]) -> list[int]:

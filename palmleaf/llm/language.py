@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palmleaf.llm.words import NOT_LETTER, words
+from palmleaf.session import spread
 
 #: The languages, and the scripts that they are written in.
 LANGUAGES = ("en", "te", "te_latn", "hi")
@@ -294,7 +295,7 @@ def languages(stories: DataFrame, contents: dict, min_letters: int = MIN_LETTERS
             yield out
 
     rows = stories.select("story_id", F.col("telugu").cast("long").alias("telugu"), "original_text").where("story_id is not null and original_text is not null and original_text <> ''")
-    return rows.mapInPandas(label, "story_id long, telugu long, line_no long, lang string, confidence double")
+    return spread(rows).mapInPandas(label, "story_id long, telugu long, line_no long, lang string, confidence double")
 
 
 def relabel(labelled: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palmleaf.llm.words import WordHasher, mix, odd_multipliers, words
+from palmleaf.session import spread
 
 #: Ones are compared, zeros ignored. The first decides the exact runs, all of them the tolerant ones.
 MASKS = ("110110101111", "111011001011011", "110010111001101")
@@ -159,7 +160,7 @@ def leaks(documents: DataFrame, items: DataFrame, min_run: int = 12, tolerant_sh
                 frame = pd.DataFrame([(d, i, n) for (d, i), n in found.items()], columns=["doc_id", "item_id", "n_words"])
                 yield frame if tolerant_share else frame[["doc_id", "item_id"]]
 
-        got = documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(find, schema)
+        got = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null")).mapInPandas(find, schema)
         out = got if out is None else out.unionByName(got)
     return out
 

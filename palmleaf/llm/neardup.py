@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palmleaf.llm.words import WordHasher, mix, odd_multipliers, shingles, words
+from palmleaf.session import spread
 
 BANDS, ROWS = 70, 4
 FP_BITS = 512
@@ -130,7 +131,7 @@ def _sketches(stories: DataFrame, shingle: int, min_words: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["story_id", "set1", "set2", "n", "bands", "fp"])
 
     rows = stories.where("story_id is not null and original_text is not null").select("story_id", "original_text")
-    return rows.mapInPandas(make, "story_id long, set1 long, set2 long, n int, bands array<long>, fp binary")
+    return spread(rows).mapInPandas(make, "story_id long, set1 long, set2 long, n int, bands array<long>, fp binary")
 
 
 def _shard_pairs(rep: np.ndarray, n: np.ndarray, fp: np.ndarray, asks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:

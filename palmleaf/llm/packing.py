@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palmleaf.session import spread
+
 SHARD_ROWS = 50_000
 _ALONE = re.compile(r"(?<=\S) (?=\S)")
 _CACHE_LIMIT = 1_000_000
@@ -82,7 +84,7 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None, pattern: s
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [counter(t) for t in b["text"]]})
 
-    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(count, "doc_id long, n_tokens long")
+    return spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null")).mapInPandas(count, "doc_id long, n_tokens long")
 
 
 class _Gaps:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palmleaf.session import spread
+
 #: The eight common English words and the bounds of the published rules for web text.
 COMMON_WORDS = ("the", "be", "to", "of", "and", "that", "have", "with")
 MIN_WORDS, MAX_WORDS = 50, 100_000
@@ -263,7 +265,7 @@ def shares(documents: DataFrame) -> DataFrame:
             yield out.assign(doc_id=b["doc_id"].to_numpy())
 
     rows = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    return rows.mapInPandas(measure, "list_share double, table_share double, junk_share double, doc_id long")
+    return spread(rows).mapInPandas(measure, "list_share double, table_share double, junk_share double, doc_id long")
 
 
 def kinds(documents: DataFrame) -> DataFrame:
