@@ -7,8 +7,10 @@ dictionary, the documents stream past it, and each hit is verified: the run of
 equal words around the hit, and the longest stretch that tolerates
 substitutions.
 
-Exactness: one mask spans MASK_SPAN = 12 words, so any 12 consecutive common
-words hit it. A passage shorter than that has a mask of its own length.
+Exactness: the mask spans MASK_SPAN = 12 words, so any 12 consecutive common
+words hit it. A passage shorter than that has a mask of its own length. The tolerant
+stretches have a mask of ones as long as the run that every placement of the
+substitutions leaves (``tolerant_span``: 4 words at 80 % of 20), so none is missed.
 
 Scale: the dictionary is the stated query set. It is cut into blocks of at most
 ``block_items`` items; each block is broadcast and makes one pass over the
@@ -31,19 +33,31 @@ from pyspark.sql import functions as F
 from palmleaf.llm.words import WordHasher, mix, odd_multipliers, words
 from palmleaf.session import spread
 
-#: Ones are compared, zeros ignored. The first decides the exact runs, all of them the tolerant ones.
-MASKS = ("110110101111", "111011001011011", "110010111001101")
+#: Ones are compared, zeros ignored.
+MASK = "110110101111"
 MASK_SPAN = 12
 BLOCK_ITEMS = 20_000
 
 
 def _mask_of(n: int) -> str:
     """The mask for passages of n words, n under MASK_SPAN: the first one, cut, with its ends set."""
-    m = list(MASKS[0][:n])
+    m = list(MASK[:n])
     m[0] = m[-1] = "1"
     return "".join(m)
 
 
+def tolerant_span(n: int, share: float, least: int) -> int:
+    """Words of the run that any stretch of a passage of n words holds, if it has ``least`` words (or all n) of which ``share`` agree.
+
+    k substitutions cut the agreeing words into at most k + 1 runs, and the longest is no shorter than their mean.
+    """
+    spans = []
+    for length in range(max(1, min(least, n)), n + 1):
+        k = int((1 - share) * length + 1e-9)
+        spans.append(-(-(length - k) // (k + 1)))
+    return max(1, min(spans))
+
+
 def _window_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     n = len(h) - len(mask) + 1
     if n <= 0:
@@ -74,15 +88,23 @@ class _Seeds:
 
     def hits(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(position in h, item, position in the item)."""
+        return zip(*(x.tolist() for x in self._hits(h)))
+
+    def diagonals(self, h: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, position in h less that in the item) of the hits, each once."""
+        p, item, q = self._hits(h)
+        if not len(p):
+            return iter(())
+        both = np.unique((item << 32) + (p - q + (1 << 31)))
+        return zip((both >> 32).tolist(), ((both & 0xFFFFFFFF) - (1 << 31)).tolist())
+
+    def _hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         k = _window_hashes(h, self.mask)
-        if not len(k):
-            return
         at = np.flatnonzero(self.maybe[k >> self.shift])
         lo = np.searchsorted(self.keys, k[at], "left")
-        hi = np.searchsorted(self.keys, k[at], "right")
-        for p, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo]):
-            for x in range(a, b):
-                yield int(p), int(self.item[x]), int(self.pos[x])
+        n = np.searchsorted(self.keys, k[at], "right") - lo
+        x = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        return np.repeat(at, n), self.item[x], self.pos[x]
 
 
 def _run(doc: np.ndarray, item: np.ndarray, p: int, q: int) -> int:
@@ -94,20 +116,18 @@ def _run(doc: np.ndarray, item: np.ndarray, p: int, q: int) -> int:
     return int((edges[1::2] - edges[::2]).max(initial=0))
 
 
-def _tolerant(doc: np.ndarray, item: np.ndarray, p: int, q: int, share: float) -> int:
-    """Words of the item in the longest stretch on the diagonal in which at least ``share`` agree."""
+def _tolerant(doc: np.ndarray, item: np.ndarray, p: int, q: int, share: float, least: int = 0) -> int:
+    """Words of the item in the longest stretch on the diagonal in which at least ``share`` agree; 0 if too few agree for ``least`` words."""
     start = -min(p, q)
     n = min(len(doc) - p, len(item) - q) - start
-    same = (doc[p + start : p + start + n] == item[q + start : q + start + n]).astype(np.float64)
+    same = doc[p + start : p + start + n] == item[q + start : q + start + n]
+    if np.count_nonzero(same) < share * least - 1e-9:
+        return 0
     s = np.concatenate(([0.0], np.cumsum(same - share)))
     low = np.minimum.accumulate(s)  # the longest stretch with a sum of at least nothing
-    best, i = 0, 0
     high = np.maximum.accumulate(s[::-1])[::-1]
-    for j in range(len(s)):
-        while i < len(s) and high[i] >= low[j] - 1e-9:
-            i += 1
-        best = max(best, i - 1 - j)
-    return best
+    end = np.searchsorted(-high, 1e-9 - low, "right")
+    return int((end - 1 - np.arange(len(s))).max(initial=0))
 
 
 def leaks(documents: DataFrame, items: DataFrame, min_run: int = 12, tolerant_share: float | None = None, tolerant_words: int = 20, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -117,7 +137,7 @@ def leaks(documents: DataFrame, items: DataFrame, min_run: int = 12, tolerant_sh
     least ``min_run`` consecutive words of the passage, or all of them if there
     are fewer. With it: (doc_id, item_id, n_words), the longest stretch of at
     least ``tolerant_words`` words (or the whole shorter passage) of which that
-    share agrees, found by all masks.
+    share agrees; every placement of the substitutions is found.
     """
     if min_run < MASK_SPAN:
         raise ValueError(f"min_run must be at least {MASK_SPAN}, the span of the mask")
@@ -138,25 +158,29 @@ def leaks(documents: DataFrame, items: DataFrame, min_run: int = 12, tolerant_sh
             by_id = [h for _, h in rows]
             ids = [i for i, _ in rows]
             at = list(enumerate(by_id))
-            seeds = [_Seeds(MASKS[0], [(i, h) for i, h in at if len(h) >= MASK_SPAN])]
-            for n in sorted({len(h) for h in by_id if len(h) < MASK_SPAN}):
-                seeds.append(_Seeds(_mask_of(n), [(i, h) for i, h in at if len(h) == n]))
             if tolerant_share:
-                seeds += [_Seeds(m, [(i, h) for i, h in at if len(h) >= len(m)]) for m in MASKS[1:]]
+                spans = [tolerant_span(len(h), tolerant_share, tolerant_words) for h in by_id]
+                seeds = [_Seeds("1" * n, [(i, h) for i, h in at if spans[i] == n]) for n in sorted(set(spans))]
+            else:
+                seeds = [_Seeds(MASK, [(i, h) for i, h in at if len(h) >= MASK_SPAN])]
+                for n in sorted({len(h) for h in by_id if len(h) < MASK_SPAN}):
+                    seeds.append(_Seeds(_mask_of(n), [(i, h) for i, h in at if len(h) == n]))
             for batch in batches:
                 found = {}
                 for doc, text in zip(batch["doc_id"], batch["text"]):
                     h = hasher(words(text))
                     for s in seeds:
-                        for p, i, q in s.hits(h):
-                            key = (doc, ids[i])
-                            if tolerant_share is None:
+                        if tolerant_share is None:
+                            for p, i, q in s.hits(h):
+                                key = (doc, ids[i])
                                 if key not in found and _run(h, by_id[i], p, q) >= min(min_run, len(by_id[i])):
                                     found[key] = 0
-                            else:
-                                n = _tolerant(h, by_id[i], p, q, tolerant_share)
-                                if n >= min(tolerant_words, len(by_id[i])) and n > found.get(key, 0):
-                                    found[key] = n
+                        else:
+                            for i, d in s.diagonals(h):
+                                least = min(tolerant_words, len(by_id[i]))
+                                n = _tolerant(h, by_id[i], max(d, 0), max(-d, 0), tolerant_share, least)
+                                if n >= least and n > found.get((doc, ids[i]), 0):
+                                    found[doc, ids[i]] = n
                 frame = pd.DataFrame([(d, i, n) for (d, i), n in found.items()], columns=["doc_id", "item_id", "n_words"])
                 yield frame if tolerant_share else frame[["doc_id", "item_id"]]
 

@@ -1,3 +1,4 @@
+import math
 import random
 from itertools import combinations
 
@@ -111,6 +112,23 @@ def test_tolerant_stretch():
     assert leaks._tolerant(a, b, 0, 0, 0.7) == best
 
 
+def test_tolerant_placements(spark):
+    """Every placement of four substitutions in 20 words is hit, and by the same rule those in other lengths."""
+    for n in (5, 8, 10, 15, 16, 19, 20):
+        k = n // 5
+        same = np.ones((math.comb(n, k), n), bool)
+        for row, at in zip(same, combinations(range(n), k)):
+            row[list(at)] = False
+        span = leaks.tolerant_span(n, 0.8, 20)
+        runs = np.stack([same[:, i : i + span].all(1) for i in range(n - span + 1)])
+        assert runs.any(0).all() and (n != 20 or len(same) == 4845)
+    assert [leaks.tolerant_span(n, 0.8, 20) for n in (20, 25, 30, 300)] == [4, 4, 4, 4]
+    docs = [(i, " ".join("changed" if j in at else f"x{j}" for j in range(20))) for i, at in enumerate(random.Random(2).sample(list(combinations(range(20), 4)), 300))]
+    dd = spark.createDataFrame(docs, "doc_id long, text string")
+    item = spark.createDataFrame([(7, " ".join(f"x{j}" for j in range(20)))], "item_id long, passage string")
+    assert got(leaks.leaks(dd, item, tolerant_share=0.8)) == [(i, 7, 20) for i in range(300)]
+
+
 # --- 7 --------------------------------------------------------------------------------------------------
 
 
