@@ -1,7 +1,7 @@
 """Records that hold template residue, filler or a notice instead of a story.
 
-Method: near-duplicates through partitioned SimHash tables, verified by Hamming
-distance and text similarity; trusted labels then spread through the connected components.
+Method: near-duplicates through min-hash bands, verified by text similarity;
+trusted labels then spread to the neighbours and through the connected components.
 
 What is compared is a *message*: the whole text of a row of at most
 ``MAX_MESSAGE_WORDS`` words (a notice is short; every story is longer), and in longer
@@ -30,13 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palmleaf.llm.words import WordHasher, mix, words
+from palmleaf.llm.words import WordHasher, mix, odd_multipliers, words
 
 #: A text of at most so many words is compared as a whole.
 MAX_MESSAGE_WORDS = 60
-#: SimHash: eleven parts of five bits, one table for every two of them. Two fingerprints within
-#: MAX_HAMMING = 9 bits agree on at least two parts, so no such pair is missed.
-PARTS, PART_BITS, MAX_HAMMING = 11, 5, 9
+#: Min-hash bands: a pair at similarity s shares none with probability (1 - s^ROWS)^BANDS, 2e-5 at MIN_SIMILARITY.
+BANDS, ROWS = 80, 3
 #: Verified similarity of the word pairs and words of two messages, and of those that inherit a label.
 MIN_SIMILARITY = 0.5
 #: A bucket above this size is cut into blocks, and every two blocks are compared by a task of their own.
@@ -71,15 +70,17 @@ def _features(ws: list[str]) -> list[str]:
     return ws + [a + " " + b for a, b in zip(ws, ws[1:])]
 
 
-_BITS = np.arange(64, dtype=np.uint64)
+_MULT = (odd_multipliers(BANDS * ROWS, 37) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_FLIP = (odd_multipliers(BANDS * ROWS, 41) >> np.uint64(32)).astype(np.uint32)
+_BAND_MULT = odd_multipliers(ROWS, 43)
 
 
-def simhash(hashes: np.ndarray) -> int:
-    """64 bits: the majority of the feature hashes in each."""
-    if not len(hashes):
-        return 0
-    bits = ((hashes[:, None] >> _BITS) & np.uint64(1)).sum(0)
-    return int(((2 * bits > len(hashes)).astype(np.uint64) << _BITS).sum())
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band: a hash of ROWS minima and of the band's number."""
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    mins = ((x[:, None] ^ _FLIP) * _MULT).min(0).astype(np.uint64)
+    keys = (mins.reshape(BANDS, ROWS) * _BAND_MULT).sum(1, dtype=np.uint64)
+    return mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def messages(stories: DataFrame) -> DataFrame:
@@ -93,23 +94,20 @@ def messages(stories: DataFrame) -> DataFrame:
 
 
 def _fingerprints(msgs: DataFrame) -> DataFrame:
-    """One row per message: (story_id, whole, slot, trusted, fp, norm)."""
+    """One row per message: (story_id, whole, slot, trusted, norm)."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, slot, phrase = WordHasher(), re.compile(SLOT, re.I), re.compile(PHRASES)
+        slot, phrase = re.compile(SLOT, re.I), re.compile(PHRASES)
         for b in batches:
             rows = []
             for i, whole, text in zip(b["story_id"], b["whole"], b["message"]):
                 low = text.lower()
                 has_slot = bool(slot.search(text))
-                ws = normal(text)
-                f = hasher(ws)
                 trusted = has_slot or bool(whole and (phrase.search(low) or any(map(_filler, low.split("\n")))))
-                fp = simhash(mix(f)) if len(f) else 0
-                rows.append((i, whole, has_slot, trusted, fp - (1 << 64) if fp >> 63 else fp, " ".join(ws)))
-            yield pd.DataFrame(rows, columns=["story_id", "whole", "slot", "trusted", "fp", "norm"])
+                rows.append((i, whole, has_slot, trusted, " ".join(normal(text))))
+            yield pd.DataFrame(rows, columns=["story_id", "whole", "slot", "trusted", "norm"])
 
-    return msgs.mapInPandas(make, "story_id long, whole boolean, slot boolean, trusted boolean, fp long, norm string")
+    return msgs.mapInPandas(make, "story_id long, whole boolean, slot boolean, trusted boolean, norm string")
 
 
 def _filler(line: str) -> bool:
@@ -123,60 +121,42 @@ def _similarity(a: str, b: str) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def _keys(nodes: DataFrame) -> DataFrame:
+    """(m, n, key): the bands of each message and the number of its features."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = WordHasher()
+        for b in batches:
+            rows = []
+            for m, norm in zip(b["m"], b["norm"]):
+                f = set(_features(norm.split()))
+                if f:
+                    rows.append((m, len(f), band_keys(mix(hasher(list(f)))).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["m", "n", "keys"])
+
+    return nodes.select("m", "norm").mapInPandas(make, "m long, n int, keys array<long>").select("m", "n", F.explode("keys").alias("key"))
+
+
 def _links(nodes: DataFrame) -> DataFrame:
     """(a, b): verified near-duplicates among the distinct messages, without a cap on buckets."""
-    mask = (1 << PART_BITS) - 1
-    part = lambda i: F.expr(f"shiftrightunsigned(fp, {i * PART_BITS}) & {mask}")
-    keys = [F.struct(F.lit(PARTS * i + j).alias("t"), (part(i) * (mask + 1) + part(j)).alias("key")) for i in range(PARTS) for j in range(i + 1, PARTS)]
-    rows = nodes.select("m", "fp", "norm", F.inline(F.array(*keys)))
+    from palmleaf.session import stage
+
+    rows = stage(_keys(nodes), "keys")
     # a key that holds one message needs no comparison
-    sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    cut = rows.join(sizes, ["t", "key"]).withColumn("_s", F.ceil(F.col("_n") / MAX_BUCKET).cast("int"))
-    own = F.pmod(F.xxhash64("m"), F.col("_s")).cast("int")
-    cut = cut.withColumn("_own", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
-    cut = cut.select("t", "key", F.least("_own", "_o").alias("i"), F.greatest("_own", "_o").alias("j"), "m", "fp", "norm")
-
-    cut = cut.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "m")
-    return cut.mapInPandas(_compare, "a long, b long").distinct()
-
-
-def _near(m: np.ndarray, fp: np.ndarray, norm: np.ndarray) -> list[tuple[int, int]]:
-    out = []
-    for i in range(len(fp)):
-        for j in np.flatnonzero((np.bitwise_count(fp ^ fp[i]) <= MAX_HAMMING) & (m > m[i])):
-            if _similarity(norm[i], norm[j]) >= MIN_SIMILARITY:
-                out.append((m[i], m[j]))
-    return out
-
-
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by bucket come in batches; a bucket that a batch cuts waits for the rest of it."""
-    rest = None
-    for b in _with_end(batches):
-        if b is None:
-            frame, rest = rest, None
-        else:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            last = (b[["t", "key", "i", "j"]] == b[["t", "key", "i", "j"]].iloc[-1]).all(axis=1)
-            cut = int((~last).sum())
-            frame, rest = b.iloc[:cut], b.iloc[cut:]
-        if frame is None or not len(frame):
-            continue
-        key = frame[["t", "key", "i", "j"]].to_numpy()
-        edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-        fp, m, norm = frame["fp"].to_numpy().view(np.uint64), frame["m"].to_numpy(), frame["norm"].to_numpy()
-        found = set()
-        for x, y in zip(np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))):
-            if y - x > 1:
-                found.update(_near(m[x:y], fp[x:y], norm[x:y]))
-        yield pd.DataFrame(sorted(found), columns=["a", "b"])
-
-
-def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
-    for b in batches:
-        if len(b):
-            yield b
-    yield None
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    cut = rows.join(sizes, "key").withColumn("_s", F.ceil(F.col("_n") / MAX_BUCKET).cast("int"))
+    one = cut.select("key", F.col("m").alias("a"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_p"))
+    two = cut.select("key", F.col("m").alias("b"), F.col("n").alias("nb"), F.pmod(F.xxhash64("m"), F.col("_s")).cast("int").alias("_p"))
+    near = F.least("na", "nb") >= MIN_SIMILARITY * F.greatest("na", "nb")
+    pairs = one.join(two, ["key", "_p"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    norm = nodes.select(F.col("m").alias("a"), F.col("norm").alias("x"))
+    pairs = pairs.join(norm, "a").join(norm.toDF("b", "y"), "b").select("a", "b", "x", "y")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            yield f.loc[[_similarity(x, y) >= MIN_SIMILARITY for x, y in zip(f["x"], f["y"])], ["a", "b"]]
+
+    return stage(pairs.mapInPandas(verify, "a long, b long"), "links")
 
 
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -207,8 +187,8 @@ def residue(stories: DataFrame) -> DataFrame:
 
     found = stage(_fingerprints(messages(stories)), "messages")
     # equal messages are one node; a node is trusted if one of its texts is
-    keyed = found.select("story_id", "slot", "trusted", "whole", "fp", "norm", F.xxhash64("whole", "norm").alias("m"))
-    nodes = keyed.where("whole").groupBy("m").agg(F.first("fp").alias("fp"), F.first("norm").alias("norm"), F.max("trusted").alias("trusted"))
+    keyed = found.select("story_id", "slot", "trusted", "whole", "norm", F.xxhash64("whole", "norm").alias("m"))
+    nodes = keyed.where("whole").groupBy("m").agg(F.first("norm").alias("norm"), F.max("trusted").alias("trusted"))
     nodes = stage(nodes, "nodes")
     links = _links(nodes)
     comp = components(nodes, links)

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palmleaf.llm import boilerplate, language, leaks, lines, linklog, neardup, packing, quality, residue
 from palmleaf.llm import queries as Q
@@ -212,6 +213,22 @@ def test_residue_spreads(spark, monkeypatch):
     assert [r[0] for r in got(residue.residue(residue_rows(spark, texts)))] == [0, 1, 2, 3]
 
 
+def test_residue_links(spark):
+    """The links against brute force: short edits of short messages."""
+    rng = random.Random(4)
+    texts = []
+    for n, edits in ((8, 1), (10, 1), (16, 2), (20, 3), (30, 5)):
+        for k in range(40):
+            w = [f"w{n}x{k}x{i}" for i in range(n)]
+            v = list(w)
+            for i in rng.sample(range(n), edits):
+                v[i] += "changed"
+            texts += [" ".join(w), " ".join(v)]
+    want = [(a, b) for a, b in combinations(range(len(texts)), 2) if residue._similarity(texts[a], texts[b]) >= residue.MIN_SIMILARITY]
+    df = spark.createDataFrame(list(enumerate(texts)), "m long, norm string").withColumn("trusted", F.lit(True))
+    assert len(want) > 150 and got(residue._links(df)) == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)]
     df = spark.createDataFrame(chain, "a long, b long")
