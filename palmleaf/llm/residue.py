@@ -10,8 +10,8 @@ hex identifiers), and equal ones collapse before any table is built, so a notice
 that a third of all rows hold is one node with one count.
 
 Trusted labels: fixed phrases of browser, server and template notices, and the shapes of
-template slots. A message of a component that no story contradicts inherits the label of its
-trusted members if it is similar enough to one of them.
+template slots. A trusted message keeps its label whatever it is linked to. Another one inherits it
+if it is a verified neighbour of a trusted one, or if at least half of its component is trusted.
 
 A slot that was never filled makes its row a case whatever stands around it; brackets and
 signs that are no slot don't, and a story that tells of such messages is too long to be one.
@@ -194,7 +194,10 @@ def residue(stories: DataFrame) -> DataFrame:
     comp = components(nodes, links)
     member = nodes.select("m", "trusted").join(comp, "m", "left").select("m", "trusted", F.coalesce("c", "m").alias("c"))
     good = member.groupBy("c").agg(F.avg(F.col("trusted").cast("double")).alias("_share")).where("_share >= 0.5").select("c")
-    spread = member.join(good, "c", "left_semi").select("m")
+    sure = nodes.where("trusted").select("m")
+    both = links.select(F.col("a").alias("m"), F.col("b").alias("t")).unionByName(links.select(F.col("b").alias("m"), F.col("a").alias("t")))
+    near = both.join(sure.withColumnRenamed("m", "t"), "t", "left_semi").select("m")
+    spread = sure.unionByName(near).unionByName(member.join(good, "c", "left_semi").select("m"))
     by_message = keyed.where("whole").join(spread, "m", "left_semi").select("story_id")
     by_slot = keyed.where("slot").select("story_id")
     return by_message.unionByName(by_slot).distinct()

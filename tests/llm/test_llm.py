@@ -213,6 +213,14 @@ def test_residue_spreads(spark, monkeypatch):
     assert [r[0] for r in got(residue.residue(residue_rows(spark, texts)))] == [0, 1, 2, 3]
 
 
+def test_residue_keeps_trusted(spark):
+    """Four of ten wordings hold a phrase: they stay, and the others are their neighbours."""
+    base = "Sorry dear reader the shelf of this old library {} and the keeper looks for it today please come again {}"
+    texts = [base.format("is temporarily unavailable", x) for x in ("soon", "later", "tonight", "tomorrow")]
+    texts += [base.format("is quite empty", x) for x in ("soon", "later", "tonight", "tomorrow", "then", "here")]
+    assert [r[0] for r in got(residue.residue(residue_rows(spark, texts + ["A short poem about a kite."])))] == list(range(10))
+
+
 def test_residue_links(spark):
     """The links against brute force: short edits of short messages."""
     rng = random.Random(4)
