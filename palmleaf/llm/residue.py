@@ -3,18 +3,19 @@
 Method: near-duplicates through min-hash bands, verified by text similarity;
 trusted labels then spread to the neighbours and through the connected components.
 
-What is compared is a *message*: the whole text of a row of at most
-``MAX_MESSAGE_WORDS`` words (a notice is short; every story is longer), and in longer
-texts every line that holds a sign of a template. Messages are normalised (case, numbers,
+What is compared is a *message*: the whole text of a row of at most ``MAX_MESSAGE_WORDS``
+words, and of a longer text all its lines without site furniture. Messages are normalised (case, numbers,
 hex identifiers), and equal ones collapse before any table is built, so a notice
 that a third of all rows hold is one node with one count.
 
 Trusted labels: fixed phrases of browser, server and template notices, and the shapes of
-template slots. A trusted message keeps its label whatever it is linked to. Another one inherits it
-if it is a verified neighbour of a trusted one, or if at least half of its component is trusted.
+template slots; in a text above ``MAX_MESSAGE_WORDS`` words the phrases, filler and lines of error dumps must
+make up a share of the message, because stories tell of such messages too. A trusted message keeps its label
+whatever it is linked to. A short one inherits it if it is a verified neighbour of a trusted one;
+any inherits it if at least half of its component is trusted, so stories decide against the label.
 
 A slot that was never filled makes its row a case whatever stands around it; brackets and
-signs that are no slot don't, and a story that tells of such messages is too long to be one.
+signs that are no slot don't.
 
 Nulls: a NULL or blank text is no case. status and error are not looked at: they may say anything.
 Extra columns are ignored.
@@ -30,10 +31,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palmleaf.llm.boilerplate import _SITE_WORDS, FURNITURE
 from palmleaf.llm.words import WordHasher, mix, odd_multipliers, words
+from palmleaf.session import spread
 
-#: A text of at most so many words is compared as a whole.
+#: A text of at most so many words is compared as a whole, and is no story.
 MAX_MESSAGE_WORDS = 60
+#: Share of a longer text's message that must be notice, if the message is short and if it is not, and that must be filler.
+NOTICE_SHORT, NOTICE_LONG, FILLER = 1 / 3, 0.5, 0.9
+#: Filler above MAX_MESSAGE_WORDS words draws on so few different words; romanised stories without short words have more.
+FILLER_STOCK = 0.5
 #: Min-hash bands: a pair at similarity s shares none with probability (1 - s^ROWS)^BANDS, 2e-5 at MIN_SIMILARITY.
 BANDS, ROWS = 80, 3
 #: Verified similarity of the word pairs and words of two messages, and of those that inherit a label.
@@ -58,6 +65,18 @@ PHRASES = (
     "|before publishing|do not publish|draft only|insert the first paragraph|\\[chapter text\\]|description of the episode|todo: add|test test test|asdf|resource missing"
     "|ya no existe|no se encuentra|p[aá]gina no encontrada|దొరకలేదు|జావాస్క్రిప్ట్|dorakaledu|पृष्ठ नहीं मिला|नहीं मिला"
 )
+# Lines of stack traces and logs.
+_DUMP = re.compile(
+    r"^\s*at [\w.$<>/]+ ?\(|^\s*File \"[^\"]+\", line \d+|^\s*Caused by:|^\s*\.\.\. \d+ more$|^\s*#\d+ +\S+[/(:]|^\s*[\w.]+(?:Error|Exception)\b|\bin \S+ on line \d+"
+    r"|^\W*\d{4}-\d\d-\d\d[T ]\d\d:\d\d\S*.*\b(?:ERROR|WARN(?:ING)?|FATAL|INFO|DEBUG|CRITICAL)\b|^\s*\[(?:error|warn|crit)[\]:]"
+)
+_DUMP_SIGNS = ("at ", "line ", "error", "exception", "caused by", " more", "#", "warn", "fatal", "info", "debug", "critical", "crit")
+# The stock of the printers' filler.
+_LOREM = frozenset(
+    "lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi"
+    " aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+)
+_SENTENCE = re.compile(r"(?<=[.!?।…])\s+")
 _HEX = re.compile(r"\b(?=[0-9a-f-]*\d)[0-9a-f]{2,}(?:-[0-9a-f]+)*\b")
 
 
@@ -83,36 +102,73 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _literals(pattern: str) -> tuple[str, ...]:
+    """One piece of plain text for each alternative: a text that matches holds at least one of them."""
+    plain = re.sub(r"\(\?:[^)]*\)\??|(?<!\\)\[[^\]]*\]\??|\\.|.\?", "\0", pattern)
+    return tuple(dict.fromkeys(max(x.split("\0"), key=len) for x in plain.lower().split("|")))
+
+
+_PHRASE, _SIGNS, _SITE_SIGNS = re.compile(PHRASES), _literals(PHRASES), _literals(_SITE_WORDS.pattern)
+
+
+def _judge(text: str) -> tuple[str, bool]:
+    """The message of a long text, and whether it is trusted to be no story."""
+    low = text.lower()
+    signs, traces = any(x in low for x in _SIGNS), any(x in low for x in _DUMP_SIGNS)
+    core, n, notice, filler, inside = [], 0, 0, 0, False
+    for line in text.split("\n"):
+        ws = words(line)
+        if not ws:
+            continue
+        low = line.lower()
+        inside = traces and bool(_DUMP.search(line) or inside and line[0].isspace())
+        hit = len(ws) if inside else sum(len(words(x)) for x in _SENTENCE.split(low) if _PHRASE.search(x)) if signs else 0
+        fill = len(ws) if _repeats(ws) or sum(w in _LOREM for w in ws) > 0.6 * len(ws) else 0
+        if not hit and not fill and (len(ws) <= 3 or len(line) <= FURNITURE and any(x in low for x in _SITE_SIGNS) and _SITE_WORDS.search(line)):
+            continue
+        core.append(line)
+        n, notice, filler = n + len(ws), notice + hit, filler + fill
+    if filler and len(set(words("\n".join(core)))) > FILLER_STOCK * n:  # prose that repeats itself
+        filler = 0
+    share = NOTICE_SHORT if n <= MAX_MESSAGE_WORDS else NOTICE_LONG
+    return "\n".join(core), n > 0 and (notice >= share * n or filler >= FILLER * n)
+
+
 def messages(stories: DataFrame) -> DataFrame:
-    """(story_id, message, whole): the texts that are compared; cut by JVM-side expressions."""
+    """(story_id, message, whole, slot): the texts with their length and slots; told by JVM-side expressions."""
     text = F.col("original_text")
     n = F.size(F.filter(F.split(text, r"[\s\x{a0}]+"), lambda w: w != ""))
-    rows = stories.where(F.col("story_id").isNotNull() & text.isNotNull() & text.rlike(r"\S")).select("story_id", text, (n <= MAX_MESSAGE_WORDS).alias("whole"))
-    lines = F.filter(F.split("original_text", "\n"), lambda x: x.rlike("(?i)" + SLOT))
-    cut = F.when(F.col("whole"), F.array("original_text")).otherwise(lines)
-    return rows.select("story_id", "whole", F.explode(cut).alias("message"))
+    rows = stories.where(F.col("story_id").isNotNull() & text.isNotNull() & text.rlike(r"\S"))
+    return rows.select("story_id", text.alias("message"), (n <= MAX_MESSAGE_WORDS).alias("whole"), text.rlike("(?i)" + SLOT).alias("slot"))
 
 
 def _fingerprints(msgs: DataFrame) -> DataFrame:
-    """One row per message: (story_id, whole, slot, trusted, norm)."""
+    """One row per text: (story_id, short, slot, trusted, norm, n), n the number of features."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slot, phrase = re.compile(SLOT, re.I), re.compile(PHRASES)
+        slot = re.compile(SLOT, re.I)
         for b in batches:
             rows = []
-            for i, whole, text in zip(b["story_id"], b["whole"], b["message"]):
-                low = text.lower()
-                has_slot = bool(slot.search(text))
-                trusted = has_slot or bool(whole and (phrase.search(low) or any(map(_filler, low.split("\n")))))
-                rows.append((i, whole, has_slot, trusted, " ".join(normal(text))))
-            yield pd.DataFrame(rows, columns=["story_id", "whole", "slot", "trusted", "norm"])
+            for i, text, whole, maybe in zip(b["story_id"], b["message"], b["whole"], b["slot"]):
+                has_slot = bool((whole or maybe) and slot.search(text))
+                if whole:
+                    low = text.lower()
+                    core, trusted = text, has_slot or bool(_PHRASE.search(low) or any(map(_filler, low.split("\n"))))
+                else:
+                    core, trusted = _judge(text)
+                ws = normal(core)
+                rows.append((i, whole or len(ws) <= MAX_MESSAGE_WORDS, has_slot, trusted, " ".join(ws) if ws or whole else None, len(set(_features(ws)))))
+            yield pd.DataFrame(rows, columns=["story_id", "short", "slot", "trusted", "norm", "n"])
 
-    return msgs.mapInPandas(make, "story_id long, whole boolean, slot boolean, trusted boolean, norm string")
+    return spread(msgs).mapInPandas(make, "story_id long, short boolean, slot boolean, trusted boolean, norm string, n int")
 
 
 def _filler(line: str) -> bool:
     """Words drawn again and again from a small stock without any grammar: many repeat, none is short."""
-    ws = words(line)
+    return _repeats(words(line))
+
+
+def _repeats(ws: list[str]) -> bool:
     return len(ws) >= 12 and len(set(ws)) <= 0.72 * len(ws) and all(len(w) > 3 and w.isascii() for w in ws)
 
 
@@ -122,33 +178,40 @@ def _similarity(a: str, b: str) -> float:
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
-    """(m, n, key): the bands of each message and the number of its features."""
+    """(m, n, seed, key): the bands of each message and the number of its features."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
         for b in batches:
             rows = []
-            for m, norm in zip(b["m"], b["norm"]):
+            for m, norm, seed in zip(b["m"], b["norm"], b["seed"]):
                 f = set(_features(norm.split()))
                 if f:
-                    rows.append((m, len(f), band_keys(mix(hasher(list(f)))).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["m", "n", "keys"])
+                    rows.append((m, len(f), seed, band_keys(mix(hasher(list(f)))).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["m", "n", "seed", "keys"])
 
-    return nodes.select("m", "norm").mapInPandas(make, "m long, n int, keys array<long>").select("m", "n", F.explode("keys").alias("key"))
+    return nodes.select("m", "norm", "seed").mapInPandas(make, "m long, n int, seed boolean, keys array<long>").select("m", "n", "seed", F.explode("keys").alias("key"))
 
 
 def _links(nodes: DataFrame) -> DataFrame:
-    """(a, b): verified near-duplicates among the distinct messages, without a cap on buckets."""
+    """(a, b): verified near-duplicates among the distinct messages, without a cap on buckets.
+
+    Two long messages that nothing marks need no link: a pair holds a short or a trusted one, a seed.
+    """
     from palmleaf.session import stage
 
+    nodes = nodes.withColumn("seed", F.col("trusted") | F.col("short"))
+    # a long message can only be like a trusted one of at least half its features
+    most = nodes.where("trusted").agg(F.max("n")).first()[0] or 0
+    nodes = nodes.where(F.col("seed") | (F.col("n") * MIN_SIMILARITY <= most))
     rows = stage(_keys(nodes), "keys")
-    # a key that holds one message needs no comparison
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # a key that holds one message, or no seed, needs no comparison
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.max("seed").alias("_any")).where("_n > 1 and _any").drop("_any")
     cut = rows.join(sizes, "key").withColumn("_s", F.ceil(F.col("_n") / MAX_BUCKET).cast("int"))
-    one = cut.select("key", F.col("m").alias("a"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_p"))
-    two = cut.select("key", F.col("m").alias("b"), F.col("n").alias("nb"), F.pmod(F.xxhash64("m"), F.col("_s")).cast("int").alias("_p"))
+    one = cut.where("seed").select("key", F.col("m").alias("a"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_p"))
+    two = cut.select("key", F.col("m").alias("b"), F.col("n").alias("nb"), "seed", F.pmod(F.xxhash64("m"), F.col("_s")).cast("int").alias("_p"))
     near = F.least("na", "nb") >= MIN_SIMILARITY * F.greatest("na", "nb")
-    pairs = one.join(two, ["key", "_p"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    pairs = one.join(two, ["key", "_p"]).where("a < b or not seed").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     norm = nodes.select(F.col("m").alias("a"), F.col("norm").alias("x"))
     pairs = pairs.join(norm, "a").join(norm.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
@@ -187,8 +250,8 @@ def residue(stories: DataFrame) -> DataFrame:
 
     found = stage(_fingerprints(messages(stories)), "messages")
     # equal messages are one node; a node is trusted if one of its texts is
-    keyed = found.select("story_id", "slot", "trusted", "whole", "norm", F.xxhash64("whole", "norm").alias("m"))
-    nodes = keyed.where("whole").groupBy("m").agg(F.first("norm").alias("norm"), F.max("trusted").alias("trusted"))
+    keyed = found.where("norm is not null").select("story_id", "short", "trusted", "norm", "n", F.xxhash64("norm").alias("m"))
+    nodes = keyed.groupBy("m").agg(F.first("norm").alias("norm"), F.first("n").alias("n"), F.max("trusted").alias("trusted"), F.max("short").alias("short"))
     nodes = stage(nodes, "nodes")
     links = _links(nodes)
     comp = components(nodes, links)
@@ -196,8 +259,8 @@ def residue(stories: DataFrame) -> DataFrame:
     good = member.groupBy("c").agg(F.avg(F.col("trusted").cast("double")).alias("_share")).where("_share >= 0.5").select("c")
     sure = nodes.where("trusted").select("m")
     both = links.select(F.col("a").alias("m"), F.col("b").alias("t")).unionByName(links.select(F.col("b").alias("m"), F.col("a").alias("t")))
-    near = both.join(sure.withColumnRenamed("m", "t"), "t", "left_semi").select("m")
-    spread = sure.unionByName(near).unionByName(member.join(good, "c", "left_semi").select("m"))
-    by_message = keyed.where("whole").join(spread, "m", "left_semi").select("story_id")
-    by_slot = keyed.where("slot").select("story_id")
+    near = both.join(sure.withColumnRenamed("m", "t"), "t", "left_semi").join(nodes.where("short").select("m"), "m", "left_semi").select("m")
+    labelled = sure.unionByName(near).unionByName(member.join(good, "c", "left_semi").select("m"))
+    by_message = keyed.join(labelled, "m", "left_semi").select("story_id")
+    by_slot = found.where("slot").select("story_id")
     return by_message.unionByName(by_slot).distinct()

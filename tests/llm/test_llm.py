@@ -221,6 +221,20 @@ def test_residue_keeps_trusted(spark):
     assert [r[0] for r in got(residue.residue(residue_rows(spark, texts + ["A short poem about a kite."])))] == list(range(10))
 
 
+def test_residue_long(spark):
+    """Filler, dumps and notices above 60 words are cases, inside their menus too; stories that tell of them are not."""
+    rng = random.Random(6)
+    filler = "\n\n".join(" ".join(rng.choices("river lantern window garden yellow silver carpet".split(), k=30)) for _ in range(3))
+    dump = "Traceback (most recent call last):\n" + "\n".join(f'  File "/srv/app/views{i}.py", line {i}, in render_page\n    return self.render(request, template, context, user)' for i in range(9)) + "\nKeyError: 'story'"
+    menu = ["Skip to content"] + [f"Read the terms and privacy notes of our shelf number {i}" for i in range(4)] + ["Subscribe to our reading list by mail every week"] * 2
+    notice = "\n".join([*menu, "The page you asked for could not be found on this server.", "It may have moved to another shelf of the house.", "Copyright Kite Shelf, all rights reserved, no part may be copied"])
+    lines = [" ".join(f"{rng.choice('she he they we'.split())} {rng.choice('walked sang slept cooked'.split())} by the {rng.choice('river gate hill shop'.split())} at {x}." for x in "dawn noon dusk".split()) for _ in range(5)]
+    told = "\n".join([*lines, '"Page not found," Mira read aloud from the broken screen, and all laughed.'])
+    one_line = " ".join(lines) + ' "Page not found," she read.'
+    assert all(len(x.split()) > residue.MAX_MESSAGE_WORDS for x in (filler, dump, notice, told, one_line))
+    assert [r[0] for r in got(residue.residue(residue_rows(spark, [filler, dump, notice, told, one_line])))] == [0, 1, 2]
+
+
 def test_residue_links(spark):
     """The links against brute force: short edits of short messages."""
     rng = random.Random(4)
@@ -233,7 +247,7 @@ def test_residue_links(spark):
                 v[i] += "changed"
             texts += [" ".join(w), " ".join(v)]
     want = [(a, b) for a, b in combinations(range(len(texts)), 2) if residue._similarity(texts[a], texts[b]) >= residue.MIN_SIMILARITY]
-    df = spark.createDataFrame(list(enumerate(texts)), "m long, norm string").withColumn("trusted", F.lit(True))
+    df = spark.createDataFrame(list(enumerate(texts)), "m long, norm string").withColumns({"trusted": F.lit(True), "short": F.lit(True), "n": F.lit(60)})
     assert len(want) > 150 and got(residue._links(df)) == want
 
 
