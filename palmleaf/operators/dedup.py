@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from palmleaf.functions.text import fold_title
 
 RATIO, BUCKET_WORDS, BUCKET_ROWS = 0.88, 30, 40
+#: Rows in a block of a large bucket.
+BLOCK_ROWS = 500
 
 
 def exact(stories: DataFrame) -> DataFrame:
@@ -56,6 +59,48 @@ def similar_titles(stories: DataFrame, bucket_rows: int | None = BUCKET_ROWS) ->
     return pairs.select("a", "b", "ka", "kb").mapInPandas(ratio, "a long, b long, ratio double")
 
 
+def all_similar_titles(stories: DataFrame) -> DataFrame:
+    """(a, b, ratio): ``similar_titles`` with every bucket of word counts compared, the large ones too.
+
+    A ratio counts the characters that match twice over both lengths, and no character matches more
+    often than both titles have it. So a title that reaches RATIO with another one holds all but a bounded number of
+    the characters of both: lengths and counts of characters filter the pairs without losing any.
+    Equal titles are gone by then. A bucket is cut into blocks of BLOCK_ROWS, and every two blocks are a task of their own.
+    """
+    df, sizes = _buckets(stories, None)
+    df = df.select("story_id", "key", "bucket").join(sizes, "bucket").withColumn("_s", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    df = df.withColumn("_own", F.pmod(F.xxhash64("story_id"), F.col("_s")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+    df = df.select("bucket", F.least("_own", "_o").alias("i"), F.greatest("_own", "_o").alias("j"), "_own", "story_id", "key")
+    return df.groupBy("bucket", "i", "j").applyInPandas(_compare_block, "a long, b long, ratio double")
+
+
+def _compare_block(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values("story_id", ignore_index=True)
+    keys, ids, own = frame["key"].tolist(), frame["story_id"].to_numpy(), frame["_own"].to_numpy()
+    one_block = frame["i"].iloc[0] == frame["j"].iloc[0]
+    chars = {c: k for k, c in enumerate(sorted(set("".join(keys))))}
+    counts = np.zeros((len(keys), len(chars)), np.int16)
+    for row, key in zip(counts, keys):
+        for c in key:
+            row[chars[c]] += 1
+    length = counts.sum(1, dtype=np.int64)
+    out = []
+    match = SequenceMatcher(None)
+    for y in range(1, len(keys)):
+        least = (RATIO - 5e-5) * (length[:y] + length[y])  # the ratio is rounded to four places before it is compared
+        x = np.flatnonzero((2 * np.minimum(length[:y], length[y]) >= least) & (one_block | (own[:y] != own[y])))
+        x = x[2 * np.minimum(counts[x], counts[y]).sum(1, dtype=np.int64) >= least[x] - 1e-9]
+        if len(x):
+            match.set_seq2(keys[y])  # prepared once for all that it is compared with
+        for k in x:
+            if keys[k] != keys[y]:
+                match.set_seq1(keys[k])
+                ratio = round(match.ratio(), 4)
+                if ratio >= RATIO:
+                    out.append((ids[k], ids[y], ratio))
+    return pd.DataFrame(out, columns=["a", "b", "ratio"])
+
+
 def _buckets(stories: DataFrame, bucket_rows: int | None = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     df = stories.where("part_number is null and url is not null").select("story_id", "url", "title", "raw_sha256", fold_title(F.col("title")).alias("key"), F.floor(F.coalesce("words", F.lit(0)) / BUCKET_WORDS).cast("long").alias("bucket")).where("key <> ''")
     twice = by_title(stories).where("kind = 'title'").select("key")

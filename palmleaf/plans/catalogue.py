@@ -581,6 +581,11 @@ def _(s, d):
     return dedup.similar_titles(_t(s, d, "stories"))
 
 
+@query("d3_all_similar_titles")
+def _(s, d):
+    return dedup.all_similar_titles(_t(s, d, "stories"))
+
+
 @query("a11_skipped_buckets")
 def _(s, d):
     return dedup.skipped_buckets(_t(s, d, "stories"))

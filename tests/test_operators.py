@@ -40,6 +40,17 @@ def test_duplicates(spark):
     assert dedup.similar_titles(many, None).count() > 0
 
 
+def test_similar_titles_in_large_buckets(spark, monkeypatch):
+    """A bucket above the guard against brute force, in one block and in several."""
+    titles = [f"the long title {chr(97 + i // 26)}{chr(97 + i % 26)}{'x' * (i % 5)}" for i in range(60)]
+    st = stories(spark, [dict(title=t, words=10) for t in titles])
+    want = [(r.a, r.b, r.ratio) for r in dedup.similar_titles(st, None).collect()]
+    assert dedup.similar_titles(st).count() == 0 and len(want) > 100
+    for block in (500, 7):
+        monkeypatch.setattr(dedup, "BLOCK_ROWS", block)
+        assert sorted(tuple(r) for r in dedup.all_similar_titles(st).collect()) == sorted(want)
+
+
 def test_series_and_catalog(spark):
     st = stories(spark, [dict(series_title="Moon", part_number=3, title="Moon 3", category="College"), dict(series_title="moon", part_number=1, title="Moon 1", category="College"), dict(title="One", category="Work", added_at="2024-01-01T00:00:00Z")])
     assert rows(catalog.series_list(st)) == [("moon", 2, 3, "2")]
