@@ -1,29 +1,38 @@
 """Page boilerplate: which lines of a story's text belong to the site and not to the story.
 
-Method: site style tree. The pages of one host are parsed and merged: an element node is its path
-of tags together with the tags of its children (its presentation), and a leaf is a
-block of text with its normalised content. Importance is entropy-based:
-
-* leaf: 1 - log(k) / log(m), where its content stands in k of the m stories of the host (the
-  entropy of an even spread over k pages, normalised by the largest possible one);
-  a leaf that recurs over hosts, with the site's name masked, is measured
-  against all hosts in the same way, and the smaller importance counts;
-* element node: the importance-weighted text that it carries per page.
-
-A branch whose node carries less than BRANCH_SHARE of what the host's best node carries is
-removed from each page; within the branches that stay, leaves of low importance go, unless they are
-parts that stories share by nature (bylines, headings, scene breaks, speech).
-A text is then read line by line against the leaves of its page.
-
-Rows without a page, or with lines that their page doesn't have, use what the tree learned about
-the host's leaves, and the places of the lines around the story.
-
-Scale: pages are cut into leaves where they are read; only hashes and counts are shuffled,
-and counts are combined before. No host is ever gathered in one task. A row's lines
-are gathered per row.
-
-Nulls: rows without text have no lines. A missing source_host is read off the url. Pages
-without a hash or file belong to no row. Extra columns are ignored.
+Method: site style tree. The pages of one host are parsed and merged. An element node is a path of
+tags with the kinds of children that it has; its presentations are the exact sequences of children
+with which it occurs; its leaves are blocks of text with their normalised contents. No word list takes part:
+importance is entropy, counted from the data.
+
+* Leaf (content): 1 - log(k) / log(m), where its content stands in k of the m stories of the host: the
+  entropy of an even spread over k stories, normalised by the largest possible one. The
+  same is counted over all hosts with the site's name masked, and the smaller value holds. Stories
+  are told apart by title, so reprints of a story under many urls count once.
+* Node (presentation): the entropy of its presentations, normalised alike. Furniture is built in the
+  same way on every page, the body of a story never is.
+* Composite of a node: (1 - GAMMA^l) x presentation + GAMMA^l x content, where content is the mean
+  importance of the leaves below it, weighted by length, and l its mean number of children.
+
+A node's weight is the text that it carries per page times its composite importance. The branches of a node that
+weighs less than BRANCH_SHARE of the host's heaviest one are removed from each page, unless it holds most of the
+important text of a page and that much. An ancestor weighs no less than its descendants, so a branch falls exactly if
+it or a node above it is light. On the branches that stay, leaves of low importance go, except what
+stories share by nature: titles, bylines, notes, breaks, speech, and leaves too short to be told by their content
+(refrains, headings).
+
+A text is then read line by line against the leaves of its page. A line that no leaf of its page
+equals, and every line of a row without a page, goes by what the trees learned: it is furniture if
+a short line has a part (between bars, colons, brackets, wide gaps) that recurs over stories and stands on removed
+branches more often than on kept ones, or if its content is of low importance. In rows
+without a page the places of the lines around the story decide on the rest.
+
+Scale: pages are cut into leaves where they are read; only hashes and counts are shuffled, and every count is over
+(content, story) pairs made distinct before, so a line that stands in a third of all rows is spread by
+its stories. No host is ever gathered in one task. A row's lines are gathered per row.
+
+Nulls: rows without text have no lines. A missing source_host is read off the url; a missing title is replaced by
+the url. Pages without a hash or file belong to no row. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,43 +43,35 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palmleaf.llm.words import NOT_LETTER
 from palmleaf.session import spread
 
-#: A node stays if it carries this share of the best node's importance-weighted text.
+#: A node stays if it weighs this share of the heaviest one of its host.
 BRANCH_SHARE = 0.3
-#: A leaf under this importance has low importance; it must also recur in so many stories or hosts.
-LEAF_IMPORTANCE = 0.8
-MIN_STORIES, MIN_HOSTS = 3, 3
-#: A story paragraph has at least so many characters; all shorter lines are short.
+#: Damping of a node's own presentation against the contents below it.
+GAMMA = 0.9
+#: A leaf under this importance has low importance; it must also recur in so many stories.
+LEAF_IMPORTANCE, MIN_STORIES = 0.7, 4
+#: A leaf of fewer letters is too short to be told by its content on a kept branch.
+MIN_CONTENT = 20
+#: A line of so many characters is a paragraph; shorter ones are also told by their parts.
 LONG = 90
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<!--.*?-->", re.S)
 _VOID = frozenset("br img hr meta link input wbr area base col source".split())
 _SKIP = frozenset("script style template noscript svg canvas title".split())
+_INNER = frozenset("p span a b i em strong h1 h2 h3 h4 h5 h6 u small".split())
+_BLOCK = frozenset("div section article aside nav header footer main table ul ol form".split())
 
 # What stories share by nature.
 _BREAK = re.compile(r"[\W_]*$|(?:chapter|part|episode|భాగం|అధ్యాయం|अध्याय|भाग)?\s*[\divxlc]{1,6}\s*[.):]?\s*$", re.I)
 _BYLINE = re.compile(r"\W*(?:by\s+\S|written by|author\s*[-:–]|story and words|story\s*[-:]|words by|రచన|రచయిత\s*[-:]|లేఖ|लेखक|kathaa?\s*[-:]|rachana)", re.I)
 _NOTE = re.compile(r"\W*(?:author'?s? note|note from the author|a note|dedicated to|for my|రచయిత మాట)", re.I)
 _SPEECH = re.compile("\\s*[\"“‘]")
-# Words of sites, not of stories.
-_SITE_WORDS = re.compile(
-    r"copyright|©|all rights reserved|no part may be|reproduction in any form|belong to their authors|exclusive to|published only on|first appeared on|characters are imaginary"
-    r"|subscribe|reading list|by mail every|share (?:it|this)|to a friend|your friends|liked this|tell us what you|comments?\b|leave a reply|rate this|mail address|log in to|sign in to"
-    r"|cookies?\b|small files|privacy|terms\b|advert|sponsor|\[ad\]|story continues|related stor|you may also|also opened|more from this|trending|tags?:|back to all"
-    r"|earlier chapter|later chapter|skip to|night mode|search stor|మాతో చేరండి|పంచుకోండి|హక్కులు|కుకీ|అంగీకరించు|వెతకండి|made for slow readers",
-    re.I,
-)
-# Words that stories use too; they count only in lines under SHORT characters.
-_WEAK_WORDS = re.compile(r"\b(?:log ?in|sign in|register|notice|archive|back to|previous|next)\b|^\W*(?:ad|home|contact|help)\W*$", re.I)
-SHORT, FURNITURE = 45, 160
-_VIEWS = re.compile(r"\(\s*\d[\d,.]*\s*(?:views?|reads?|parts?|comments?)?\s*\)\s*$", re.I)
-_TAGS = re.compile(r"\W*(?:tags?|also read|read also|read more|related|see also)\s*:", re.I)
-_CRUMB = re.compile(r"\S.*?\s(?:>|»|›|/)\s.*\S")
+_PARTS = re.compile(r"[|/·•»«›>:,;()\[\]]+|\s{2,}|\s[-–—]\s|\.\.\.")
 
 
 def _hash(s: str) -> int:
@@ -89,21 +90,36 @@ def flat(text: str) -> str:
     return " ".join(text.split())
 
 
+def _letters(text: str) -> str:
+    return " ".join(NOT_LETTER.sub(" ", text.lower()).split())
+
+
 def content(text: str, site: str) -> str:
     """A leaf's normalised content: letters only, lower case, the site's name masked."""
-    low = " ".join(NOT_LETTER.sub(" ", text.lower()).split())
+    low = _letters(text)
     return low.replace(site, "§") if site else low
 
 
-def leaves(page: str) -> list[tuple[str, str, int]]:
-    """(node, text, element number) of each block of text of a page, in order.
+def parts(text: str, masked: str) -> list[int]:
+    """Hashes of the masked content of a line and, if it is short, of its parts."""
+    out = {masked}
+    if len(text) < LONG:
+        out.update(_letters(x) for x in _PARTS.split(text))
+    out.discard("")
+    return sorted(map(_hash, out))
+
+
+def leaves(page: str) -> list[tuple[str, str, int, str, int]]:
+    """(node, text, branch, presentation, children) of each block of text of a page, in order.
 
     Tolerant: a closing tag without its opening one is ignored, an open element
-    ends with its parent. The node is the path of tags with the tags of the children of the last element.
+    ends with its parent. A block of text belongs to the first element around it that isn't
+    inline, its branch; where that one holds blocks too, the inline element is the branch. The node is the branch's path of tags with the kinds of its children, the presentation
+    their exact sequence.
     """
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
-    kids: dict[int, set] = {0: set()}
+    kids: dict[int, list] = {0: []}
     paths: dict[int, str] = {0: ""}
     up: dict[int, int] = {0: 0}
     last, skip, number, current = 0, "", 0, 0
@@ -111,8 +127,8 @@ def leaves(page: str) -> list[tuple[str, str, int]]:
         if not skip:
             t = page[last : m.start()]
             if t and not t.isspace():
-                out.append((current, flat(html.unescape(t) if "&" in t else t)))
-                kids[current].add("#")
+                out.append((current, t))
+                kids[current].append("#")
         last = m.end()
         name = m.group(2)
         if name is None:
@@ -126,7 +142,7 @@ def leaves(page: str) -> list[tuple[str, str, int]]:
                     pass
                 current = stack[-1][1] if stack else 0
         elif not skip:
-            kids[current].add(name)
+            kids[current].append(name)
             if name in _SKIP:
                 skip = name
             elif name not in _VOID:
@@ -135,25 +151,24 @@ def leaves(page: str) -> list[tuple[str, str, int]]:
                 up[number] = current
                 stack.append((name, number))
                 current = number
-                kids[number] = set()
+                kids[number] = []
     t = page[last:]
     if not skip and t.strip():
-        out.append((current, flat(html.unescape(t))))
-        kids[current].add("#")
+        out.append((current, t))
+        kids[current].append("#")
     res = []
-    for e, text in out:
+    for e, t in out:
+        text = flat(html.unescape(t) if "&" in t else t)
         if text:
-            # a block of text belongs to the element around it; its branch is the first one that isn't inline
-            b = e
+            b = child = e
             while b and paths[b].rsplit("/", 1)[1] in _INNER:
-                b = up[b]
-            res.append((f"{paths[b]}[{','.join(sorted(kids[b]))}]", text, b))
+                b, child = up[b], b
+            if not _BLOCK.isdisjoint(kids[b]):  # beside other blocks an inline element is a branch of its own
+                b = child
+            res.append((f"{paths[b]}[{','.join(sorted(set(kids[b])))}]", text, b, ",".join(kids[b]), len(kids[b])))
     return res
 
 
-_INNER = frozenset("p span a b i em strong h1 h2 h3 h4 h5 h6 u small".split())
-
-
 def _host(url: str | None, host: str | None = None) -> str:
     if host:
         return host.lower()
@@ -161,8 +176,17 @@ def _host(url: str | None, host: str | None = None) -> str:
     return m.group(1).lower() if m else ""
 
 
+def page_key() -> Column:
+    """The 64-bit key of a page; NULL without a file or hash."""
+    return F.when((F.col("raw_file") != "") & (F.col("raw_sha256") != ""), F.xxhash64("raw_file", "raw_sha256"))
+
+
+_LEAF = ["page", "host", "title", "node", "shape", "children", "branch", "line", "leaf", "site_leaf", "size", "parts"]
+_LINE = ["story_id", "page", "host", "title", "line_no", "line", "leaf", "site_leaf", "bits", "parts"]
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """One row per leaf: (page, host, title, node, branch, line, leaf, site_leaf, size)."""
+    """One row per leaf of a page, as hashes: (page, host, title, node, shape, children, branch, line, leaf, site_leaf, size, parts)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -170,54 +194,23 @@ def parsed(pages: DataFrame) -> DataFrame:
             for key, url, page in zip(b["page"], b["url"], b["html"]):
                 host = _host(url)
                 site = site_name(host)
-                ls = leaves(page)
                 m = re.search(r"<title[^>]*>(.*?)</title>", page, re.S | re.I)
-                title = flat(html.unescape(m.group(1))) if m else ""
-                th, hh = _hash(title), _hash(host)
-                for node, text, branch in ls:
+                th, hh = _hash(flat(html.unescape(m.group(1))) if m else url or ""), _hash(host)
+                for node, text, branch, shape, n in leaves(page):
                     c = content(text, site)
-                    rows.append((key, hh, th, _hash(node), branch, _hash(text), _hash(host + "|" + c), _hash(c) if "§" in c or len(c) > 1 else 0, len(text), text == title))
-            yield pd.DataFrame(rows, columns=["page", "host", "title", "node", "branch", "line", "leaf", "site_leaf", "size", "is_title"])
-
-    rows = pages.where("html is not null and raw_file is not null and raw_file <> '' and raw_sha256 is not null and raw_sha256 <> ''")
-    rows = rows.select(F.xxhash64("raw_file", "raw_sha256").alias("page"), "url", "html")
-    return spread(rows).mapInPandas(cut, "page long, host long, title long, node long, branch int, line long, leaf long, site_leaf long, size int, is_title boolean")
-
+                    rows.append((key, hh, th, _hash(node), _hash(shape), n, branch, _hash(text), _hash(host + "|" + c), _hash(c), len(text), parts(text, c)))
+            yield pd.DataFrame(rows, columns=_LEAF)
 
-def style_tree(cut: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(branches, leaves, site_leaves): the merged trees of all hosts.
-
-    branches: (page, branch, keep); leaves: (leaf) of low importance within their
-    host; site_leaves: (site_leaf) that recur over hosts. The lines of the
-    texts count as leaves too, for some furniture stands only there.
-    """
-    from palmleaf.session import stage
-
-    # the stories of a host, by title: copies of one story under several urls count once
-    seen = cut.select("host", "title", "leaf", "site_leaf").unionByName(lines.select("host", F.col("heading").alias("title"), "leaf", "site_leaf"))
-    per = seen.distinct()
-    k = stage(per.groupBy("host", "leaf", "site_leaf").agg(F.count(F.lit(1)).alias("k")).where("k > 1 or site_leaf <> 0"), "leaf_counts")
-    m = cut.select("host", "title").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("m"))
-    importance = 1 - F.log("k") / F.log(F.greatest(F.col("m"), F.col("k"), F.lit(2)))
-    scored = k.where(f"k >= {MIN_STORIES}").join(m, "host").withColumn("importance", importance)
-    recurring = stage(scored.where(F.col("importance") < LEAF_IMPORTANCE).select("leaf", "importance"), "leaves")
-    over = k.where("site_leaf <> 0").groupBy("site_leaf").agg(F.count(F.lit(1)).alias("hosts")).where(f"hosts >= {MIN_HOSTS}")
-    over = stage(over.select("site_leaf"), "site_leaves")
-    # element nodes: importance-weighted text, of each branch of a page and of the node on average
-    text = cut.select("page", "host", "node", "branch", "leaf", "size").join(recurring, "leaf", "left").withColumn("w", F.col("size") * F.coalesce("importance", F.lit(1.0)))
-    branch = stage(text.groupBy("page", "host", "node", "branch").agg(F.sum("w").alias("w")), "branches")
-    node = stage(branch.groupBy("host", "node").agg(F.avg("w").alias("carried")), "nodes")
-    best = node.groupBy("host").agg(F.max("carried").alias("best"))
-    node = node.join(best, "host").select("host", "node", "best", (F.col("carried") >= BRANCH_SHARE * F.col("best")).alias("_keep"))
-    kept = branch.join(node, ["host", "node"]).select("page", "branch", (F.col("_keep") | (F.col("w") >= BRANCH_SHARE * F.col("best"))).alias("keep"))
-    return kept, recurring.select("leaf"), over
+    rows = pages.where("html is not null").select(page_key().alias("page"), "url", "html").where("page is not null")
+    return spread(rows).mapInPandas(cut, "page long, host long, title long, node long, shape long, children int, branch int, line long, leaf long, site_leaf long, size int, parts array<long>")
 
 
 # Bits of what the text of a line says.
-TITLE, BREAK, BYLINE, SPEECH, SITE_WORD, SITE_NAME, LISTED, LONG_LINE, ENDED = (1 << i for i in range(9))
+TITLE, BREAK, BYLINE, SPEECH, LONG_LINE, ENDED, TELLING = (1 << i for i in range(7))
+_OWN = TITLE | BREAK | BYLINE | SPEECH
 
 
-def line_bits(text: str, title: str, site: str, masked: str) -> int:
+def line_bits(text: str, title: str, masked: str) -> int:
     bits = 0
     if title and text == title:
         bits |= TITLE
@@ -227,104 +220,150 @@ def line_bits(text: str, title: str, site: str, masked: str) -> int:
         bits |= BYLINE
     if _SPEECH.match(text):
         bits |= SPEECH
-    if len(text) <= FURNITURE and _SITE_WORDS.search(text) or len(text) < SHORT and _WEAK_WORDS.search(text):
-        bits |= SITE_WORD
-    if "§" in masked:
-        bits |= SITE_NAME
-    if _VIEWS.search(text) and len(text) < LONG or _TAGS.match(text) or (_CRUMB.match(text) and len(text) < LONG and (title and text.endswith(title) or text.count(" > ") > 1)):
-        bits |= LISTED
     if len(text) >= LONG:
         bits |= LONG_LINE
     if text[-1:] in ".!?…।\"”'’":
         bits |= ENDED
+    if len(masked) - masked.count(" ") >= MIN_CONTENT:
+        bits |= TELLING
     return bits
 
 
 def story_lines(stories: DataFrame) -> DataFrame:
-    """One row per line that is not blank: (story_id, host, heading, page, line_no, line, leaf, site_leaf, bits)."""
+    """One row per line that is not blank: (story_id, page, host, title, line_no, line, leaf, site_leaf, bits, parts); page 0 means none."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, page, url, host, title, text in zip(b["story_id"], b["page"], b["url"], b["source_host"], b["title"], b["original_text"]):
-                page = None if pd.isna(page) else int(page)
                 host = _host(url, host)
                 site, title, no = site_name(host), flat(title or ""), 0
-                hh, th = _hash(host), _hash(title)
+                hh, th = _hash(host), _hash(title or url or "")
                 for x in text.split("\n"):
                     t = flat(x)
                     if not t:
                         continue
                     no += 1
                     c = content(t, site)
-                    rows.append((i, hh, th, page, no, _hash(t), _hash(host + "|" + c), _hash(c) if "§" in c or len(c) > 1 else 0, line_bits(t, title, site, c)))
-            out = pd.DataFrame(rows, columns=["story_id", "host", "heading", "page", "line_no", "line", "leaf", "site_leaf", "bits"])
-            out["page"] = out["page"].astype("Int64")
-            yield out
+                    rows.append((i, page, hh, th, no, _hash(t), _hash(host + "|" + c), _hash(c), line_bits(t, title, c), parts(x.strip(), c)))
+            yield pd.DataFrame(rows, columns=_LINE)
 
-    there = F.when((F.col("raw_file") != "") & (F.col("raw_sha256") != ""), F.xxhash64("raw_file", "raw_sha256"))
     rows = stories.where("story_id is not null and original_text is not null and original_text <> ''")
-    rows = rows.select("story_id", there.alias("page"), "url", "source_host", "title", "original_text")
-    return spread(rows).mapInPandas(cut, "story_id long, host long, heading long, page long, line_no long, line long, leaf long, site_leaf long, bits int")
+    # never NULL: a 64-bit key with a NULL in its batch would pass through floating point and lose its low bits
+    rows = rows.select("story_id", F.coalesce(page_key(), F.lit(0).cast("long")).alias("page"), "url", "source_host", "title", "original_text")
+    return spread(rows).mapInPandas(cut, "story_id long, page long, host long, title long, line_no long, line long, leaf long, site_leaf long, bits int, parts array<long>")
+
+
+def _low(k: str, m: str) -> Column:
+    """The importance of a content in k of m stories: 1 where nothing is known of it."""
+    return F.coalesce(1 - F.log(F.col(k)) / F.log(F.greatest(F.col(m), F.col(k), F.lit(2))), F.lit(1.0))
+
+
+def content_counts(cut: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(recurring contents (id, k), stories per host (host, m), stories of all hosts).
+
+    The lines of the texts count as leaves too, for some furniture stands only there.
+    """
+    from palmleaf.session import stage
+
+    both = cut.select("host", "title", "leaf", "site_leaf").unionByName(lines.select("host", "title", "leaf", "site_leaf"))
+    ids = both.select(F.explode(F.array("leaf", "site_leaf")).alias("id"), "title").distinct()
+    k = stage(ids.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where(f"k >= {MIN_STORIES}"), "recurring")
+    titles = stage(both.select("host", "title").distinct(), "titles")
+    return k, titles.groupBy("host").agg(F.count(F.lit(1)).alias("m")), titles.select("title").distinct().count()
+
+
+def _importance(rows: DataFrame, k: DataFrame, m: DataFrame, total: int) -> DataFrame:
+    """``rows`` with the importance of their leaf within its host and over all hosts."""
+    rows = rows.join(k.select(F.col("id").alias("leaf"), F.col("k").alias("_k")), "leaf", "left")
+    rows = rows.join(k.select(F.col("id").alias("site_leaf"), F.col("k").alias("_s")), "site_leaf", "left").join(m, "host", "left")
+    rows = rows.withColumn("_t", F.lit(total).cast("long")).withColumn("importance", F.least(_low("_k", "m"), _low("_s", "_t")))
+    return rows.drop("_k", "_s", "_t", "m")
+
+
+def style_tree(scored: DataFrame) -> DataFrame:
+    """(page, branch, keep) from leaves with their importance: the merged trees of all hosts decide on the branches of every page."""
+    from palmleaf.session import stage
+
+    one = scored.groupBy("page", "host", "node", "branch").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("importance")).alias("w"), F.first("shape").alias("shape"), F.first("children").alias("children"))
+    one = stage(one, "branches")
+    shapes = one.groupBy("host", "node", "shape").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum("w").alias("w"), F.sum("children").alias("children"))
+    node = shapes.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("_e"), F.sum("size").alias("size"), F.sum("w").alias("w"), F.sum("children").alias("children"))
+    presentation = F.when(F.col("n") > 1, (F.log("n") - F.col("_e") / F.col("n")) / F.log("n")).otherwise(F.lit(1.0))
+    damp = F.pow(F.lit(GAMMA), F.col("children") / F.col("n"))
+    node = node.withColumn("composite", (1 - damp) * presentation + damp * F.col("w") / F.col("size"))
+    on_page = one.groupBy("page", "host", "node").agg(F.sum("size").alias("_size"), F.sum("w").alias("_w"))
+    pages = on_page.groupBy("host", "node").agg(F.avg("_size").alias("carried"))
+    node = stage(node.join(pages, ["host", "node"]).select("host", "node", "composite", (F.col("composite") * F.col("carried")).alias("weight")), "nodes")
+    node = node.join(node.groupBy("host").agg(F.max("weight").alias("best")), "host")
+    top = on_page.groupBy("page").agg(F.max_by("node", F.struct("_w", "node")).alias("_top"))
+    heavy = (F.col("weight") >= BRANCH_SHARE * F.col("best")) | ((F.col("_w") >= BRANCH_SHARE * F.col("best")) & (F.col("node") == F.col("_top")))
+    keep = on_page.join(node, ["host", "node"]).join(top, "page").select("page", "node", heavy.alias("keep"))
+    return one.select("page", "node", "branch").join(keep, ["page", "node"]).select("page", "branch", "keep")
 
 
 def decide(lines: list[tuple[int, bool | None, bool, bool, int]]) -> list[int]:
     """Numbers of the lines that are not the story's.
 
-    Each line: (line_no, on a kept branch of its page or None without one, its content
-    recurs, its content recurs mostly on removed branches, bits).
+    Each line: (line_no, on a kept branch of its page or None if its page has no such leaf, its
+    content is of low importance, it is known as furniture, bits).
     """
     out, open_ = [], []
     paged = any(keep is not None for _, keep, _, _, _ in lines)
-    for k, (no, keep, recurs, removed, bits) in enumerate(lines):
-        own = bits & (TITLE | BREAK | BYLINE | SPEECH)
-        if keep is False:
-            out.append(no)
-        elif not own and (bits & SITE_WORD and (recurs or bits & SITE_NAME) or bits & LISTED):
-            out.append(no)
-        elif keep is None and not (bits & (TITLE | SPEECH)) and (removed and not bits & BYLINE or not own and bits & LISTED):
+    for k, (no, keep, low, known, bits) in enumerate(lines):
+        if keep is False or low and bits & TELLING and not bits & _OWN or keep is None and known and not bits & (TITLE | BREAK | SPEECH):
             out.append(no)
         elif keep is None and not paged:
             open_.append(k)
-    if open_ and not paged:  # no page: the places of the lines around the story decide on the rest
+    if open_:  # no page: the places of the lines around the story decide on the rest
         gone = set(out)
         title = next((k for k, x in enumerate(lines) if x[4] & TITLE and x[0] not in gone), None)
         body = [k for k, x in enumerate(lines) if x[4] & LONG_LINE and x[0] not in gone]
+        after = body and next((k for k in range(body[-1] + 1, len(lines)) if lines[k][0] in gone), None)
         for k in open_:
             no, _, _, _, bits = lines[k]
             if bits & (TITLE | LONG_LINE | SPEECH | BREAK):
                 continue
-            if title is not None and k < title:
-                out.append(no)
-            elif body and k > body[-1] and not bits & ENDED and any(lines[j][0] in gone for j in range(body[-1] + 1, k)):
+            if title is not None and k < title or after and k > after and not bits & ENDED:
                 out.append(no)
     return sorted(out)
 
 
 def boilerplate(stories: DataFrame, pages: DataFrame) -> DataFrame:
     """(story_id, line_no) of every line that is not part of the story itself."""
-    from palmleaf.session import stage
-
-    cut = stage(parsed(pages), "page_leaves")
-    lines = stage(story_lines(stories), "story_lines")
-    branches, recurring, over = style_tree(cut, lines)
-    # which of the recurring contents stand mostly on removed branches
-    kept = cut.select("page", "branch", "line", "leaf", "site_leaf").join(branches, ["page", "branch"])
-    by_line = kept.groupBy("page", "line").agg(F.max("keep").alias("keep"))
-    sign = F.when(F.col("keep"), -1).otherwise(1)
-    leaf = recurring.join(kept.groupBy("leaf").agg((F.sum(sign) > 0).alias("removed")), "leaf", "left").select("leaf", F.coalesce("removed", F.lit(False)).alias("removed"))
-    site = over.join(kept.where("site_leaf <> 0").groupBy("site_leaf").agg((F.sum(sign) > 0).alias("site_removed")), "site_leaf", "left").select("site_leaf", F.coalesce("site_removed", F.lit(False)).alias("site_removed"))
-    lines = lines.drop("host", "heading").join(by_line, ["page", "line"], "left").join(leaf, "leaf", "left").join(site, "site_leaf", "left")
-    recurs = F.col("removed").isNotNull() | F.col("site_removed").isNotNull()
-    removed = F.coalesce("removed", F.lit(False)) | F.coalesce("site_removed", F.lit(False))
-    row = F.array_sort(F.collect_list(F.struct("line_no", "keep", recurs.alias("r"), removed.alias("d"), "bits")))
+    found = matched(stories, pages)
+    row = F.array_sort(F.collect_list(F.struct("line_no", "keep", "low", "known", "bits")))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, ls in zip(b["story_id"], b["ls"]):
-                found = decide([(x["line_no"], x["keep"], x["r"], x["d"], x["bits"]) for x in ls])
-                rows += [(i, no) for no in found]
+                rows += [(i, no) for no in decide([(x["line_no"], x["keep"], x["low"], x["known"], x["bits"]) for x in ls])]
             yield pd.DataFrame(rows, columns=["story_id", "line_no"])
 
-    return lines.groupBy("story_id").agg(row.alias("ls")).mapInPandas(judge, "story_id long, line_no long")
+    return found.groupBy("story_id").agg(row.alias("ls")).mapInPandas(judge, "story_id long, line_no long").distinct()
+
+
+def matched(stories: DataFrame, pages: DataFrame) -> DataFrame:
+    """(story_id, page, line_no, keep, low, known, bits) of every line; keep is NULL where its page has no such leaf."""
+    from palmleaf.session import stage
+
+    cut, lines = stage(parsed(pages), "page_leaves"), stage(story_lines(stories), "story_lines")
+    k, m, total = content_counts(cut, lines)
+    branches = style_tree(_importance(cut.select("page", "host", "node", "shape", "children", "branch", "leaf", "site_leaf", "size"), k, m, total))
+    kept = cut.select("page", "branch", "title", "line", "parts").join(branches, ["page", "branch"])
+    by_line = kept.groupBy("page", "line").agg(F.max("keep").alias("keep"))
+    lines = _importance(lines, k, m, total).withColumn("low", F.col("importance") < LEAF_IMPORTANCE)
+    with_page = lines.where("page <> 0").join(by_line, ["page", "line"], "left")
+    cols = ["story_id", "page", "title", "line_no", "keep", "low", "bits", "parts"]
+    lines = stage(with_page.select(*cols).unionByName(lines.where("page = 0").withColumn("keep", F.lit(None).cast("boolean")).select(*cols)), "lines")
+    # what the trees learned: parts of lines that recur, and stand off the kept branches more often than on them
+    strange = lines.where("keep is null").select("story_id", "line_no", "title", F.explode("parts").alias("part"))
+    stands = kept.select(F.explode("parts").alias("part"), "title", "keep").unionByName(strange.select("part", "title", F.lit(False).alias("keep"))).distinct()
+    sums = stands.groupBy("part").agg(F.count_if(~F.col("keep")).alias("off"), F.count_if("keep").alias("on"))
+    least = max(MIN_STORIES, total ** (1 - LEAF_IMPORTANCE))
+    furniture = stage(sums.where((F.col("off") >= least) & (F.col("off") > F.col("on"))).select("part"), "furniture")
+    known = strange.join(furniture, "part", "left_semi").select("story_id", "line_no").distinct().withColumn("known", F.lit(True))
+    rest = lines.where("keep is null").join(known, ["story_id", "line_no"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    cols = ["story_id", "page", "line_no", "keep", "low", "known", "bits"]
+    return lines.where("keep is not null").withColumn("known", F.lit(False)).select(*cols).unionByName(rest.select(*cols))
