@@ -278,7 +278,7 @@ def groups(stories: DataFrame, threshold: float = 0.8, shingle: int = 5, min_wor
     from palmleaf.llm.residue import components
 
     members, links = classes(stories, threshold, shingle, min_words)
-    comp = components(links, links)
+    comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     members = stories.where("story_id is not null").select("story_id").distinct().join(members, "story_id", "left").withColumn("rep", F.coalesce("rep", "story_id"))
     out = members.join(comp.select(F.col("m").alias("rep"), "c"), "rep", "left").join(degree, "rep", "left")

@@ -1,266 +1,293 @@
 """Records that hold template residue, filler or a notice instead of a story.
 
-Method: near-duplicates through min-hash bands, verified by text similarity;
-trusted labels then spread to the neighbours and through the connected components.
-
-What is compared is a *message*: the whole text of a row of at most ``MAX_MESSAGE_WORDS``
-words, and of a longer text all its lines without site furniture. Messages are normalised (case, numbers,
-hex identifiers), and equal ones collapse before any table is built, so a notice
-that a third of all rows hold is one node with one count.
-
-Trusted labels: fixed phrases of browser, server and template notices, and the shapes of
-template slots; in a text above ``MAX_MESSAGE_WORDS`` words the phrases, filler and lines of error dumps must
-make up a share of the message, because stories tell of such messages too. A trusted message keeps its label
-whatever it is linked to. A short one inherits it if it is a verified neighbour of a trusted one;
-any inherits it if at least half of its component is trusted, so stories decide against the label.
-
-A slot that was never filled makes its row a case whatever stands around it; brackets and
-signs that are no slot don't.
-
-Nulls: a NULL or blank text is no case. status and error are not looked at: they may say anything.
-Extra columns are ignored.
+Method: near-duplicates from partitioned SimHash tables, verified by Hamming distance and text similarity;
+trusted labels then spread through the connected components.
+
+What is compared is a *message*: a row's text, of any length, without site furniture. Furniture is counted, not
+listed: lines whose content (letters, the site's name masked) recurs under MIN_TITLES titles or more, mostly in rows that
+have a story besides. Messages are normalised (case, numbers, hex identifiers), and equal ones
+are one node, so a notice that a third of all rows hold is one node with one count.
+
+Fingerprint: a SimHash of BITS bits over a message's words, cut into TABLES blocks of BLOCK bits. Two messages
+meet in a table if they agree on its block. A bit differs with probability acos(c) / pi at cosine
+c, so a pair at MIN_SIMILARITY (Jaccard 0.6, cosine 0.75) shares no block with probability
+0.023, one at 0.8 with 3e-6. Candidates within RADIUS bits are verified on their words.
+
+Trusted labels: messages of the same words under MIN_TITLES different titles or more (a story is reprinted
+under its own title, a notice under any), and those of which a share is made up by a few
+standard phrases of servers and browsers (SEEDS), lines of error dumps or words drawn again and again from a small
+stock, or by lines that recur like furniture, but mostly in rows without a story. A component is residue if its trusted
+rows outnumber its stories, if its rows stand under MIN_TITLES titles or more and none of them is a story, or if none
+of them reaches STUB_WORDS words. A story has at least STORY_WORDS words of its own.
+
+A slot that was never filled makes its row a case whatever stands around it, so slots are told by their shape in the
+row itself and their label does not spread: it would mark the filled copies of the story.
+
+Nulls: a NULL or blank text is no case; a missing title is replaced by the url. status and error are not looked at:
+they may say anything. Extra columns are ignored. Copies of a row's id are one row.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palmleaf.llm.boilerplate import _SITE_WORDS, FURNITURE
+from palmleaf.llm.lines import line_key, numbered_lines
 from palmleaf.llm.words import WordHasher, mix, odd_multipliers, words
 from palmleaf.session import spread
 
-#: A text of at most so many words is compared as a whole, and is no story.
-MAX_MESSAGE_WORDS = 60
-#: Share of a longer text's message that must be notice, if the message is short and if it is not, and that must be filler.
+#: A story has at least so many words on lines that don't recur; it speaks against the label of its component.
+STORY_WORDS = 60
+#: No story is shorter than this; a component of nothing but shorter messages holds none.
+STUB_WORDS = 20
+#: Contents and messages under so many titles belong to no single story.
+MIN_TITLES = 4
+#: A line under more titles than this power of their number is no story's own.
+OFTEN = 0.3
+#: Share of a message that must be notice, if it is shorter than a story and if it is not, and that must be filler.
 NOTICE_SHORT, NOTICE_LONG, FILLER = 1 / 3, 0.5, 0.9
-#: Filler above MAX_MESSAGE_WORDS words draws on so few different words; romanised stories without short words have more.
+#: Filler draws on so few different words; romanised stories without short words have more.
 FILLER_STOCK = 0.5
-#: Min-hash bands: a pair at similarity s shares none with probability (1 - s^ROWS)^BANDS, 2e-5 at MIN_SIMILARITY.
-BANDS, ROWS = 80, 3
-#: Verified similarity of the word pairs and words of two messages, and of those that inherit a label.
-MIN_SIMILARITY = 0.5
+#: SimHash: TABLES blocks of BLOCK bits; largest Hamming distance, 3.5 deviations above the mean at MIN_SIMILARITY.
+TABLES, BLOCK = 85, 12
+BITS, RADIUS = 1024, 283
+#: Verified similarity: words that both messages have over words that one has.
+MIN_SIMILARITY = 0.6
 #: A bucket above this size is cut into blocks, and every two blocks are compared by a task of their own.
 MAX_BUCKET = 400
 
 # Shapes of template slots.
 SLOT = (
-    r"\{\{[^{}\n]{0,80}\}\}|<%[^%\n]{0,80}%>|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|\[\[[A-Za-z_][\w ]{0,40}\]\]|\[%[^%\n]{1,60}%\]|\{%[^%\n]{1,60}%\}"
-    r"|__[A-Z][A-Z0-9_]{2,40}__|%%[A-Za-z_]{2,40}%%|%[A-Z][A-Z_]{3,40}%|@@[A-Za-z_]{2,40}@@|<<[A-Za-z_]{2,40}>>|\{[A-Z]+_[A-Z_]+\}|\{[a-z]+_[a-z_]+\}|\{\d{1,3}\}"
-    r"|\[object \w+\]|\[(?:insert|your|enter|add) [^\]\n]{1,60}\]|\[(?:TITLE|AUTHOR|BODY|NAME|TEXT|DATE|CONTENT)\]"
-)
-# Phrases of notices, lower case.
-PHRASES = (
-    "not found|could not be found|404|403|500|502|503|bad gateway|gateway time|access denied|forbidden|permission to view|internal server error|service unavailable"
-    "|temporarily unavailable|went wrong|error code|too many requests|has been limited|database error|too many connections|traceback|keyerror|exception|stack trace|fatal error"
-    "|maintenance|back soon|session has expired|domain has expired|enable javascript|needs scripts|needs javascript|blocks scripts|script blocker|scripts are (?:off|switched off)"
-    "|javascript is (?:not running|off|disabled)|turn (?:them|scripting|javascript) on|not a robot|you are a person|verify you are|captcha|checking your browser|checking that you"
-    "|not available in your (?:area|country|region)|no longer available|not here any more|does not exist|has been taken away|was removed|was deleted|cannot be shown|could not be loaded|failed to open"
-    "|lorem ipsum|dolor sit amet|placeholder|dummy content|sample paragraph|sample heading|example words|your text goes here|goes in this box|goes here|to be filled in|replaced by the editor|replace this paragraph"
-    "|before publishing|do not publish|draft only|insert the first paragraph|\\[chapter text\\]|description of the episode|todo: add|test test test|asdf|resource missing"
-    "|ya no existe|no se encuentra|p[aá]gina no encontrada|దొరకలేదు|జావాస్క్రిప్ట్|dorakaledu|पृष्ठ नहीं मिला|नहीं मिला"
+    r"\{\{[^{}\n]+\}\}|<%[^%\n]+%>|\$\{[^{}\n]+\}|#\{[^{}\n]+\}|\[\[[A-Za-z_][\w ]*\]\]|\[%[^%\n]+%\]|\{%[^%\n]+%\}"
+    r"|__[A-Z][A-Z0-9_]{2,}__|%%[A-Za-z_]{2,}%%|%[A-Z][A-Z_]{3,}%|@@[A-Za-z_]{2,}@@|<<[A-Za-z_]{2,}>>|\{[A-Z]+_[A-Z_]+\}|\{[a-z]+_[a-z_]+\}|\{\d{1,3}\}"
+    r"|\bX{2,}[A-Z_]{2,}X{2,}\b|\[object \w+\]|\[(?:insert|your|enter|add) [^\]\n]+\]|\[(?:TITLE|AUTHOR|BODY|NAME|TEXT|DATE|CONTENT)\]"
 )
+# A few standard phrases of servers, browsers and templates, lower case.
+SEEDS = (
+    "not found", "could not be found", "access denied", "forbidden", "bad gateway", "gateway timeout", "internal server error", "service unavailable", "temporarily unavailable",
+    "too many requests", "went wrong", "error code", "database error", "maintenance", "has expired", "no longer available", "not available in your", "enable javascript", "scripts", "javascript",
+    "not a robot", "could not be loaded", "was removed", "was deleted", "lorem ipsum", "placeholder", "goes here", "do not publish", "to be filled in", "to be replaced", "draft only",
+)
 # Lines of stack traces and logs.
 _DUMP = re.compile(
     r"^\s*at [\w.$<>/]+ ?\(|^\s*File \"[^\"]+\", line \d+|^\s*Caused by:|^\s*\.\.\. \d+ more$|^\s*#\d+ +\S+[/(:]|^\s*[\w.]+(?:Error|Exception)\b|\bin \S+ on line \d+"
-    r"|^\W*\d{4}-\d\d-\d\d[T ]\d\d:\d\d\S*.*\b(?:ERROR|WARN(?:ING)?|FATAL|INFO|DEBUG|CRITICAL)\b|^\s*\[(?:error|warn|crit)[\]:]"
+    r"|^\W*\d{4}-\d\d-\d\d[T ]\d\d:\d\d\S*.*\b(?:ERROR|WARN(?:ING)?|FATAL|INFO|DEBUG|CRITICAL)\b|^\s*\[(?:error|warn|crit)[\]:]|^Traceback "
 )
-_DUMP_SIGNS = ("at ", "line ", "error", "exception", "caused by", " more", "#", "warn", "fatal", "info", "debug", "critical", "crit")
 # The stock of the printers' filler.
 _LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi"
     " aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
-_SENTENCE = re.compile(r"(?<=[.!?।…])\s+")
+_DUMP_SIGNS = ("at ", "line ", "error", "exception", "caused by", " more", "#", "warn", "fatal", "info", "debug", "critical", "[crit", "traceback")
+_SENTENCE = re.compile(r"(?<=[.!?…।])\s+")
 _HEX = re.compile(r"\b(?=[0-9a-f-]*\d)[0-9a-f]{2,}(?:-[0-9a-f]+)*\b")
 
 
-def normal(text: str) -> list[str]:
-    """Words of a message without numbers and hex identifiers."""
-    return words(_HEX.sub(" ", text.lower()))
+def normal(text: str, site: str = "") -> list[str]:
+    """Words of a message without numbers, hex identifiers and the site's name."""
+    low = text.lower()
+    return words(_HEX.sub(" ", low.replace(site, " ") if site else low))
 
 
-def _features(ws: list[str]) -> list[str]:
-    return ws + [a + " " + b for a, b in zip(ws, ws[1:])]
+_PLANES = odd_multipliers(BITS // 64, 53)
 
 
-_MULT = (odd_multipliers(BANDS * ROWS, 37) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_FLIP = (odd_multipliers(BANDS * ROWS, 41) >> np.uint64(32)).astype(np.uint32)
-_BAND_MULT = odd_multipliers(ROWS, 43)
+def simhash(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits: the signs of the sums over all words, each word a random point on the cube."""
+    if not len(hashes):
+        return np.zeros(BITS // 64, np.uint64)
+    points = mix(hashes[:, None] * _PLANES)
+    bits = np.unpackbits(points.view(np.uint8), axis=1, bitorder="little")
+    return np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes), bitorder="little").view(np.uint64)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band: a hash of ROWS minima and of the band's number."""
-    x = (hashes >> np.uint64(32)).astype(np.uint32)
-    mins = ((x[:, None] ^ _FLIP) * _MULT).min(0).astype(np.uint64)
-    keys = (mins.reshape(BANDS, ROWS) * _BAND_MULT).sum(1, dtype=np.uint64)
-    return mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def table_keys(fp: np.ndarray) -> np.ndarray:
+    """One key for each table: its number and its block of the fingerprint."""
+    bits = np.unpackbits(fp.view(np.uint8), bitorder="little")[: TABLES * BLOCK].reshape(TABLES, BLOCK).astype(np.int64)
+    return (np.arange(TABLES, dtype=np.int64) << BLOCK) + bits @ (1 << np.arange(BLOCK, dtype=np.int64))
 
 
-def _literals(pattern: str) -> tuple[str, ...]:
-    """One piece of plain text for each alternative: a text that matches holds at least one of them."""
-    plain = re.sub(r"\(\?:[^)]*\)\??|(?<!\\)\[[^\]]*\]\??|\\.|.\?", "\0", pattern)
-    return tuple(dict.fromkeys(max(x.split("\0"), key=len) for x in plain.lower().split("|")))
+def miss_probability(similarity: float) -> float:
+    """Probability that two messages of this Jaccard similarity share no block."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return (1 - (1 - differ) ** BLOCK) ** TABLES
 
 
-_PHRASE, _SIGNS, _SITE_SIGNS = re.compile(PHRASES), _literals(PHRASES), _literals(_SITE_WORDS.pattern)
+def _repeats(ws: list[str]) -> bool:
+    """Words drawn again and again from a small stock without any grammar: many repeat, none is short."""
+    return len(ws) >= 12 and len(set(ws)) <= 0.72 * len(ws) and all(len(w) > 3 and w.isascii() for w in ws)
 
 
-def _judge(text: str) -> tuple[str, bool]:
-    """The message of a long text, and whether it is trusted to be no story."""
-    low = text.lower()
-    signs, traces = any(x in low for x in _SIGNS), any(x in low for x in _DUMP_SIGNS)
-    core, n, notice, filler, inside = [], 0, 0, 0, False
-    for line in text.split("\n"):
+def judged(lines: list[tuple[str, bool]], seeds: tuple[str, ...] = SEEDS) -> bool:
+    """Whether so much of a message, (line, counted as notice), is notice, dump or filler that it is trusted to be no story."""
+    n = notice = filler = 0
+    inside, stock = False, set()
+    for line, noted in lines:
         ws = words(line)
         if not ws:
             continue
+        inside = bool(_DUMP.search(line) or inside and line[0].isspace())
         low = line.lower()
-        inside = traces and bool(_DUMP.search(line) or inside and line[0].isspace())
-        hit = len(ws) if inside else sum(len(words(x)) for x in _SENTENCE.split(low) if _PHRASE.search(x)) if signs else 0
-        fill = len(ws) if _repeats(ws) or sum(w in _LOREM for w in ws) > 0.6 * len(ws) else 0
-        if not hit and not fill and (len(ws) <= 3 or len(line) <= FURNITURE and any(x in low for x in _SITE_SIGNS) and _SITE_WORDS.search(line)):
-            continue
-        core.append(line)
-        n, notice, filler = n + len(ws), notice + hit, filler + fill
-    if filler and len(set(words("\n".join(core)))) > FILLER_STOCK * n:  # prose that repeats itself
+        if inside or noted:
+            notice += len(ws)
+        elif any(x in low for x in seeds):
+            notice += sum(len(words(x)) for x in _SENTENCE.split(low) if any(y in x for y in seeds))
+        if _repeats(ws) or sum(w in _LOREM for w in ws) > 0.6 * len(ws):
+            filler += len(ws)
+        n += len(ws)
+        stock.update(ws)
+    if len(stock) > FILLER_STOCK * n and n >= STORY_WORDS:  # prose that repeats itself
         filler = 0
-    share = NOTICE_SHORT if n <= MAX_MESSAGE_WORDS else NOTICE_LONG
-    return "\n".join(core), n > 0 and (notice >= share * n or filler >= FILLER * n)
-
-
-def messages(stories: DataFrame) -> DataFrame:
-    """(story_id, message, whole, slot): the texts with their length and slots; told by JVM-side expressions."""
-    text = F.col("original_text")
-    n = F.size(F.filter(F.split(text, r"[\s\x{a0}]+"), lambda w: w != ""))
-    rows = stories.where(F.col("story_id").isNotNull() & text.isNotNull() & text.rlike(r"\S"))
-    return rows.select("story_id", text.alias("message"), (n <= MAX_MESSAGE_WORDS).alias("whole"), text.rlike("(?i)" + SLOT).alias("slot"))
-
+    return n > 0 and (notice >= (NOTICE_SHORT if n < STORY_WORDS else NOTICE_LONG) * n or filler >= FILLER * n)
 
-def _fingerprints(msgs: DataFrame) -> DataFrame:
-    """One row per text: (story_id, short, slot, trusted, norm, n), n the number of features."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slot = re.compile(SLOT, re.I)
-        for b in batches:
-            rows = []
-            for i, text, whole, maybe in zip(b["story_id"], b["message"], b["whole"], b["slot"]):
-                has_slot = bool((whole or maybe) and slot.search(text))
-                if whole:
-                    low = text.lower()
-                    core, trusted = text, has_slot or bool(_PHRASE.search(low) or any(map(_filler, low.split("\n"))))
-                else:
-                    core, trusted = _judge(text)
-                ws = normal(core)
-                rows.append((i, whole or len(ws) <= MAX_MESSAGE_WORDS, has_slot, trusted, " ".join(ws) if ws or whole else None, len(set(_features(ws)))))
-            yield pd.DataFrame(rows, columns=["story_id", "short", "slot", "trusted", "norm", "n"])
-
-    return spread(msgs).mapInPandas(make, "story_id long, short boolean, slot boolean, trusted boolean, norm string, n int")
+def _site() -> Column:
+    """The site's name, from source_host or the url: the words of the first label that hold no digit."""
+    host = F.coalesce(F.when(F.col("source_host") != "", F.col("source_host")), F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#:]+)", 1))
+    label = F.split(F.regexp_extract(F.lower(host), r"^(?:www\.)?([^.]*)", 1), "-")
+    return F.array_join(F.filter(label, lambda w: (w != "") & ~w.rlike("[0-9]")), " ")
 
 
-def _filler(line: str) -> bool:
-    """Words drawn again and again from a small stock without any grammar: many repeat, none is short."""
-    return _repeats(words(line))
-
-
-def _repeats(ws: list[str]) -> bool:
-    return len(ws) >= 12 and len(set(ws)) <= 0.72 * len(ws) and all(len(w) > 3 and w.isascii() for w in ws)
-
-
-def _similarity(a: str, b: str) -> float:
-    x, y = set(_features(a.split())), set(_features(b.split()))
-    return len(x & y) / len(x | y) if x or y else 1.0
-
+def rows_with_lines(stories: DataFrame, seeds: tuple[str, ...] = SEEDS) -> tuple[DataFrame, DataFrame]:
+    """(rows, marked lines): (story_id, title, slot, signs, own) of every row with a text: whether it holds a
+    slot, or signs of a notice, dump or filler, and its words on lines that don't recur often; and (story_id, gone, noted), the numbers of the lines that are furniture and notice."""
+    from palmleaf.session import stage
 
-def _keys(nodes: DataFrame) -> DataFrame:
-    """(m, n, seed, key): the bands of each message and the number of its features."""
+    text = F.col("original_text")
+    title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("url"), F.lit(""))
+    there = stories.where(F.col("story_id").isNotNull() & text.isNotNull() & text.rlike(r"\S"))
+    there = there.select("story_id", F.xxhash64(F.lower(F.trim(title))).alias("title"), _site().alias("_site"), text)
+    there = spread(there).withColumn("slot", text.rlike(r"(?i)[{}\[\]<%@]|__|xx") & text.rlike("(?i)" + SLOT))
+    low = F.lower(text)
+    ws = F.split(low, r"\s+")
+    said = reduce(or_, [low.contains(x) for x in (*seeds, "lorem", "dolor")])
+    traces = reduce(or_, [low.contains(x) for x in _DUMP_SIGNS]) & text.rlike("(?m)" + _DUMP.pattern)
+    there = there.withColumn("signs", said | traces | (F.size(F.array_distinct(ws)) <= FILLER_STOCK * F.size(ws)))
+    key = line_key(F.col("line"))
+    masked = F.when(F.col("_site") != "", F.replace(key, F.col("_site"), F.lit("§"))).otherwise(key)
+    n = F.size(F.filter(F.split("line", r"[\s\x{a0}]+"), lambda w: w != "")).alias("n")
+    lines = numbered_lines(there, "original_text", "story_id", "title", "_site", "slot", "signs")
+    lines = stage(lines.select("story_id", "title", "slot", "signs", "line_no", F.xxhash64(masked).alias("id"), n), "message_lines")
+    recurring = stage(lines.select("id", "title").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("k")).where(f"k >= {MIN_TITLES}"), "recurring_lines")
+    often = max(MIN_TITLES, lines.select("title").distinct().count() ** OFTEN)
+    flagged = lines.join(recurring, "id", "left")
+    own = stage(flagged.groupBy("story_id").agg(F.first("title").alias("title"), F.max("slot").alias("slot"), F.max("signs").alias("signs"), F.sum(F.when(F.col("k") >= often, 0).otherwise(F.col("n"))).alias("own")), "own_words")
+    # a recurring line is furniture if most rows around it have a story, and notice if not
+    stands = flagged.where("k is not null").select("story_id", "line_no", "id").join(own.select("story_id", (F.col("own") >= STORY_WORDS).alias("story")), "story_id")
+    side = stands.groupBy("id").agg((F.avg(F.col("story").cast("double")) > 0.5).alias("site"))
+    marked = stands.join(side, "id").groupBy("story_id").agg(F.collect_set(F.when(F.col("site"), F.col("line_no"))).alias("gone"), F.collect_set(F.when(~F.col("site"), F.col("line_no"))).alias("noted"))
+    return own, marked
+
+
+def _messages(stories: DataFrame, ids: DataFrame, gone: DataFrame, seeds: tuple[str, ...]) -> DataFrame:
+    """(story_id, m, n, trusted, fp, set) of the rows in ``ids``."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
         for b in batches:
             rows = []
-            for m, norm, seed in zip(b["m"], b["norm"], b["seed"]):
-                f = set(_features(norm.split()))
-                if f:
-                    rows.append((m, len(f), seed, band_keys(mix(hasher(list(f)))).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["m", "n", "seed", "keys"])
+            for i, text, site, out, noted in zip(b["story_id"], b["original_text"], b["site"], b["gone"], b["noted"]):
+                ls = [x for x in text.split("\n") if x.strip()]
+                drop, noted = (set() if x is None else {int(y) for y in x} for x in (out, noted))
+                kept = [(x, no in noted) for no, x in enumerate(ls, 1) if no not in drop]
+                ws = normal("\n".join(x for x, _ in kept), site)
+                h = np.unique(hasher(ws)) if ws else np.empty(0, np.uint64)
+                m = int(mix(hasher(ws) * odd_multipliers(len(ws), 3)).sum(dtype=np.uint64)) if ws else 0
+                rows.append((i, m - (1 << 64) if m >> 63 else m, len(h), judged(kept, seeds), simhash(mix(h)).tobytes(), h.tobytes()))
+            yield pd.DataFrame(rows, columns=["story_id", "m", "n", "trusted", "fp", "set"])
 
-    return nodes.select("m", "norm", "seed").mapInPandas(make, "m long, n int, seed boolean, keys array<long>").select("m", "n", "seed", F.explode("keys").alias("key"))
+    rows = stories.where("original_text is not null").select("story_id", "original_text", _site().alias("site")).join(ids, "story_id").join(gone, "story_id", "left")
+    rows = rows.select("story_id", "original_text", "site", "gone", "noted").repartition(stories.sparkSession.sparkContext.defaultParallelism, "story_id")
+    return rows.mapInPandas(make, "story_id long, m long, n int, trusted boolean, fp binary, set binary")
 
 
-def _links(nodes: DataFrame) -> DataFrame:
-    """(a, b): verified near-duplicates among the distinct messages, without a cap on buckets.
+def links(nodes: DataFrame, threshold: float = MIN_SIMILARITY) -> DataFrame:
+    """(a, b): near-duplicates among the distinct messages (m, n, fp, set, story), without a cap on buckets.
 
-    Two long messages that nothing marks need no link: a pair holds a short or a trusted one, a seed.
+    Two stories need no link here: a pair holds at least one message that is no story by itself.
     """
     from palmleaf.session import stage
 
-    nodes = nodes.withColumn("seed", F.col("trusted") | F.col("short"))
-    # a long message can only be like a trusted one of at least half its features
-    most = nodes.where("trusted").agg(F.max("n")).first()[0] or 0
-    nodes = nodes.where(F.col("seed") | (F.col("n") * MIN_SIMILARITY <= most))
-    rows = stage(_keys(nodes), "keys")
-    # a key that holds one message, or no seed, needs no comparison
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.max("seed").alias("_any")).where("_n > 1 and _any").drop("_any")
-    cut = rows.join(sizes, "key").withColumn("_s", F.ceil(F.col("_n") / MAX_BUCKET).cast("int"))
-    one = cut.where("seed").select("key", F.col("m").alias("a"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_p"))
-    two = cut.select("key", F.col("m").alias("b"), F.col("n").alias("nb"), "seed", F.pmod(F.xxhash64("m"), F.col("_s")).cast("int").alias("_p"))
-    near = F.least("na", "nb") >= MIN_SIMILARITY * F.greatest("na", "nb")
-    pairs = one.join(two, ["key", "_p"]).where("a < b or not seed").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    norm = nodes.select(F.col("m").alias("a"), F.col("norm").alias("x"))
-    pairs = pairs.join(norm, "a").join(norm.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(keys=[table_keys(np.frombuffer(x, np.uint64)) for x in b["fp"]])[["m", "n", "story", "keys"]]
+
+    rows = nodes.where("n > 0").select("m", "n", "story", "fp").mapInPandas(cut, "m long, n int, story boolean, keys array<long>").select("m", "n", "story", F.explode("keys").alias("key"))
+    rows = stage(rows, "tables")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("story").alias("_all")).where("_n > 1 and not _all").drop("_all")
+    split = rows.join(sizes, "key").withColumn("_s", F.ceil(F.col("_n") / MAX_BUCKET).cast("int"))
+    one = split.where("not story").select("key", F.col("m").alias("a"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_p"))
+    two = split.select("key", F.col("m").alias("b"), F.col("n").alias("nb"), "story", F.pmod(F.xxhash64("m"), F.col("_s")).cast("int").alias("_p"))
+    near = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
+    pairs = one.join(two, ["key", "_p"]).where("a < b or story").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x, y: nodes.select(F.col("m").alias(x), F.col("fp").alias("fp" + y), F.col("set").alias("set" + y))
+    pairs = pairs.join(side("a", "_a"), "a").join(side("b", "_b"), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
-            yield f.loc[[_similarity(x, y) >= MIN_SIMILARITY for x, y in zip(f["x"], f["y"])], ["a", "b"]]
+            if len(f):
+                x, y = (np.frombuffer(b"".join(f[c]), np.uint64).reshape(len(f), -1) for c in ("fp_a", "fp_b"))
+                f = f[np.bitwise_count(x ^ y).sum(1) <= RADIUS]
+            keep = []
+            for x, y in zip(f["set_a"], f["set_b"]):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= threshold * (len(x) + len(y) - common))
+            yield f.loc[keep, ["a", "b"]]
 
     return stage(pairs.mapInPandas(verify, "a long, b long"), "links")
 
 
-def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(m, c): the smallest node of the component of each node that has a link.
 
     Each round every node takes the smallest label among its neighbours and their
-    labels' labels (pointer jumping), so the rounds grow with the logarithm of a chain.
+    labels' labels (pointer jumping), so the rounds grow with the logarithm of a chain. They end at the fixed point.
     """
     from palmleaf.session import stage
 
     edges = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = stage(edges.groupBy(F.col("a").alias("m")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "labels")
-    for _ in range(max_rounds):
+    moved = True
+    while moved:
         seen = edges.join(labels.select(F.col("m").alias("b"), "c"), "b").groupBy(F.col("a").alias("m")).agg(F.min("c").alias("_n"))
         step = labels.join(seen, "m", "left").select("m", "c", F.least("c", "_n").alias("_n"))
         jump = labels.select(F.col("m").alias("_n"), F.col("c").alias("_j"))
         step = stage(step.join(jump, "_n", "left").select("m", "c", F.least("_n", "_j").alias("_new")), "labels")
-        moved = step.where("_new < c").limit(1).count()
+        moved = not step.where("_new < c").isEmpty()
         labels = step.select("m", F.col("_new").alias("c"))
-        if not moved:
-            break
     return labels
 
 
-def residue(stories: DataFrame) -> DataFrame:
+def residue(stories: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """(story_id) of every row that holds residue instead of a story, or a story with an unfilled slot."""
     from palmleaf.session import stage
 
-    found = stage(_fingerprints(messages(stories)), "messages")
-    # equal messages are one node; a node is trusted if one of its texts is
-    keyed = found.where("norm is not null").select("story_id", "short", "trusted", "norm", "n", F.xxhash64("norm").alias("m"))
-    nodes = keyed.groupBy("m").agg(F.first("norm").alias("norm"), F.first("n").alias("n"), F.max("trusted").alias("trusted"), F.max("short").alias("short"))
+    own, gone = rows_with_lines(stories, seeds)
+    gone = stage(gone, "furniture_lines")
+    first = own.where(f"own < {STORY_WORDS} or signs").select("story_id")
+    some = stage(_messages(stories, first, gone, seeds), "messages")
+    # a longer row can only be like a message of at least MIN_SIMILARITY of its words
+    most = some.where("trusted").agg(F.max("n")).first()[0] or 0
+    more = own.where(f"own >= {STORY_WORDS} and not signs").where(F.col("own") * MIN_SIMILARITY <= 2 * most).select("story_id")
+    found = some.unionByName(stage(_messages(stories, more, gone, seeds).where(F.col("n") * MIN_SIMILARITY <= most), "more_messages"))
+    keyed = found.join(own, "story_id").withColumn("story", F.col("own") >= STORY_WORDS)
+    titles = keyed.groupBy("m").agg(F.count_distinct("title").alias("titles"))
+    nodes = keyed.groupBy("m").agg(F.first("n").alias("n"), F.max("trusted").alias("trusted"), F.min("story").alias("story"), F.first("fp").alias("fp"), F.first("set").alias("set"), F.count(F.lit(1)).alias("rows"), F.max("own").alias("long"))
+    nodes = nodes.join(titles, "m").withColumn("trusted", F.col("trusted") | ((F.col("titles") >= MIN_TITLES) & ~F.col("story")))
     nodes = stage(nodes, "nodes")
-    links = _links(nodes)
-    comp = components(nodes, links)
-    member = nodes.select("m", "trusted").join(comp, "m", "left").select("m", "trusted", F.coalesce("c", "m").alias("c"))
-    good = member.groupBy("c").agg(F.avg(F.col("trusted").cast("double")).alias("_share")).where("_share >= 0.5").select("c")
-    sure = nodes.where("trusted").select("m")
-    both = links.select(F.col("a").alias("m"), F.col("b").alias("t")).unionByName(links.select(F.col("b").alias("m"), F.col("a").alias("t")))
-    near = both.join(sure.withColumnRenamed("m", "t"), "t", "left_semi").join(nodes.where("short").select("m"), "m", "left_semi").select("m")
-    labelled = sure.unionByName(near).unionByName(member.join(good, "c", "left_semi").select("m"))
-    by_message = keyed.join(labelled, "m", "left_semi").select("story_id")
-    by_slot = found.where("slot").select("story_id")
-    return by_message.unionByName(by_slot).distinct()
+    comp = components(links(nodes.select("m", "n", "fp", "set", (F.col("story") & ~F.col("trusted")).alias("story"))))
+    member = nodes.select("m", "trusted", "story", "rows", "long").join(comp, "m", "left").withColumn("c", F.coalesce("c", "m"))
+    under = keyed.select("m", "title").join(comp, "m").select("c", "title").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("titles"))
+    sums = member.groupBy("c").agg(F.sum(F.when(F.col("trusted"), F.col("rows")).otherwise(0)).alias("sure"), F.sum(F.when(F.col("story") & ~F.col("trusted"), F.col("rows")).otherwise(0)).alias("stories"), F.max("long").alias("long"))
+    good = sums.join(under, "c", "left").where(f"sure > stories or stories = 0 and titles >= {MIN_TITLES} or long < {STUB_WORDS}").select("c")
+    labelled = member.join(good, "c", "left_semi").select("m")
+    return keyed.join(labelled, "m", "left_semi").select("story_id").unionByName(own.where("slot").select("story_id")).distinct()
