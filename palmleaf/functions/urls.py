@@ -12,8 +12,12 @@ TRACKING = (
 )
 #: Extensions of downloads that hold no page.
 DOWNLOADS = (
-    "7z", "apk", "avi", "bin", "bmp", "bz2", "css", "csv", "deb", "dmg", "doc", "docx", "eot", "epub", "exe", "flac", "gif", "gz", "ico", "iso", "jpeg", "jpg", "js", "json",
-    "m4a", "mkv", "mov", "mp3", "mp4", "mpeg", "mpg", "ogg", "otf", "pdf", "png", "ppt", "pptx", "rar", "svg", "tar", "ttf", "wav", "webm", "webp", "woff", "woff2", "xls", "zip",
+    "7z", "avi", "bmp", "css", "csv", "doc", "docx", "eot",
+    "epub", "exe", "gif", "gz", "ico", "jpeg", "jpg", "js",
+    "json", "m4a", "m4v", "mkv", "mov", "mp3", "mp4", "mpeg",
+    "ogg", "ogv", "otf", "pdf", "png", "ppt", "pptx", "rar",
+    "rss", "svg", "tar", "tgz", "tif", "tiff", "ttf", "wav",
+    "webm", "webp", "woff", "woff2", "xls", "xlsx", "xml", "zip",
 )
 
 _WHOLE = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)\??([^#]*)(?:#.*)?\z"

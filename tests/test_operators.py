@@ -81,16 +81,34 @@ def test_classification(spark):
     assert classify.clean_aliases(["Work = office, work", "Odd = x"], cats) == {"Work": ["office"]}
 
 
+def paragraphs(spark, text, **kw):
+    row = segment.formatted(stories(spark, [dict(original_text=text)]), **kw).first()
+    return (row.formatted.split("\n\n") if row.formatted else []), row
+
+
 def test_segmentation(spark):
-    known = segment.speakers(["Mother: come in. Ravi: at 11:30 then. Note: x http://a.example"])
-    assert known == {"mother", "ravi"}
-    assert segment.split_dialogue("Mother: come in. Ravi: at 11:30 then.", known) == ["Mother: come in.", "Ravi: at 11:30 then."]
+    got, row = paragraphs(spark, "Mother: come in. Ravi: at 11:30 then. Note: x http://a.example")
+    assert got == ["Mother: come in.", "Ravi: at 11:30 then. Note: x http://a.example"] and (row.breaks, row.turns, row.unsplit, row.quality_pass) == (1, 2, 0, 1)
+    got, row = paragraphs(spark, "He looked up. Brother: where? Sister: here. Mother: no. Teacher: wait.")
+    assert len(got) == 5 and row.breaks == 4
+    assert paragraphs(spark, "V: a. N: b. P: c. V: d. K: e.")[1].breaks == 4
+    assert paragraphs(spark, "Ravi:hello there. Anil:- yes.")[0] == ["Ravi:hello there.", "Anil:- yes."]
+    assert paragraphs(spark, "We saw Elder brother: he ran. Police officer: stop.")[0][-1].startswith(("officer:", "Police officer:"))
+    assert paragraphs(spark, "then xyz: one and xyz: two but abc: three")[0] == ["then", "xyz: one and", "xyz: two but abc: three"]
+    assert paragraphs(spark, "రాము: రా. సీత: సరే.")[1].breaks == 1
     long = " ".join(["word"] * 700)
-    parts = segment.split_prose(long, limit=500)
+    parts, row = paragraphs(spark, long, limit=500)
     assert len(parts) > 5 and max(map(len, parts)) <= 600 and " ".join(parts) == long
+    told = " ".join(f"Sentence {i} is as long as this one is, and it ends here." for i in range(40))
+    parts, row = paragraphs(spark, told)
+    assert " ".join(parts) == told and all(p.count("ends here.") <= 4 for p in parts) and row.longest < 900
     st = stories(spark, [dict(original_text="Mother: a. Ravi: b.\nx &amp; y"), dict(original_text=""), dict(original_text=None)])
     done = segment.formatted(st)
     assert rows(segment.faithful(st, done)) == [(1, 1), (2, 1)]
+    joined = spark.createDataFrame([(1, "Ravi: a. Mother: b."), (2, "x" * 2000), (3, None)], "story_id long, formatted string")
+    out = {r.story_id: r for r in segment.block_quality(joined).collect()}
+    assert (out[1].unsplit, out[1].quality_pass, out[1].review_reason) == (1, 0, "1 dialogue turn(s) are still joined inside paragraphs")
+    assert (out[2].longest, out[2].quality_pass, out[2].review_reason) == (2000, 0, "Longest paragraph is 2000 characters") and out[3].paragraphs in (0, -1, None)
 
 
 def test_pages(spark):
