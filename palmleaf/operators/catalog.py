@@ -106,3 +106,15 @@ def issues(*parts: DataFrame) -> DataFrame:
         p = p.select("kind")
         out = p if out is None else out.unionByName(p)
     return out.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def repaired(stories: DataFrame, known: DataFrame, journal: DataFrame) -> DataFrame:
+    """One row (indexed_rows, organized, links_synced): what a repair rebuilds from the tables.
+
+    The search index anew from all rows, the state of every link that the journal names, and the
+    place of every finished story. Each part is a plan of its own, so a run that was lost is simply run again.
+    """
+    indexed = stories.agg(F.count(F.lit(1)).alias("indexed_rows"))
+    organized = paths(stories).agg(F.count(F.lit(1)).alias("organized"))
+    urls = known.select("url").distinct().join(journal.where("url is not null").select("url").distinct(), "url", "left_semi")
+    return indexed.crossJoin(organized).crossJoin(urls.agg(F.count(F.lit(1)).alias("links_synced")))  # one row each

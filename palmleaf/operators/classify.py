@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palmleaf.functions.text import fold_title
+from palmleaf.functions.titles import series
 
 UNKNOWN = "Uncategorized"
 SOURCE_RANK = {"manual": -1, "title": 0, "content": 1, "none": 2}
@@ -102,3 +103,31 @@ def bulk_category(stories: DataFrame, chosen: DataFrame, category: str | None) -
     if category is None:
         return df.select("story_id", "category", F.when(on & (F.col("category_locked") == 1), "none").otherwise(F.col("category_source")).alias("category_source"), F.when(on, 0).otherwise(F.col("category_locked")).alias("category_locked"))
     return df.select("story_id", F.when(on, category).otherwise(F.col("category")).alias("category"), F.when(on, "manual").otherwise(F.col("category_source")).alias("category_source"), F.when(on, 1).otherwise(F.col("category_locked")).alias("category_locked"))
+
+
+def recomputed(stories: DataFrame, changed: DataFrame, categories: list[str], aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """(story_id, series_title, part_number, category, category_source, category_locked) of the rows that a change touches.
+
+    A changed row gets its series and part from its title, and its category anew unless it is locked. A series in
+    which a part changed gets one category: that of its first locked part, which locks all, else the best source, then the
+    configured order, then the smallest id among its finished parts. Series are aggregated and joined back.
+    """
+    hit = changed.select("story_id").distinct().withColumn("_hit", F.lit(True))
+    df = stories.select("story_id", "status", "title", "series_title", "part_number", "category", "category_source", "category_locked").join(hit, "story_id", "left")
+    df = df.join(classified(stories, categories, aliases).select("story_id", F.col("category").alias("_c"), F.col("category_source").alias("_s")), "story_id")
+    on, locked = F.col("_hit").isNotNull(), F.coalesce(F.col("category_locked") == 1, F.lit(False))
+    df = df.withColumn("_n", series(F.col("title"))).withColumn("series_title", F.when(on, F.col("_n.base")).otherwise(F.col("series_title"))).withColumn("part_number", F.when(on, F.col("_n.part")).otherwise(F.col("part_number")))
+    df = df.withColumn("category", F.when(on & ~locked, F.col("_c")).otherwise(F.col("category"))).withColumn("category_source", F.when(on & ~locked, F.col("_s")).otherwise(F.col("category_source")))
+    df = df.withColumn("_key", F.when(F.col("part_number").isNotNull(), F.lower("series_title")))
+    touched = df.where(on & F.col("_key").isNotNull()).select("_key").distinct()
+    done = df.where(F.col("status").isin("verified", "review")).join(touched, "_key", "left_semi")
+    order = F.coalesce(F.element_at(F.create_map(*[x for i, c in enumerate(categories) for x in (F.lit(c), F.lit(i))]), F.col("_c")), F.lit(10**9)) if categories else F.lit(10**9)
+    rank = F.when(F.col("_s") == "title", 0).when(F.col("_s") == "content", 1).otherwise(2)
+    best = done.groupBy("_key").agg(
+        F.min_by(F.struct(F.col("_c").alias("c"), F.col("_s").alias("s"), F.lit(0).alias("l")), F.struct(rank.alias("r"), order.alias("o"), F.col("story_id").alias("i"))).alias("_best"),
+        F.min_by(F.struct(F.col("category").alias("c"), F.lit("manual").alias("s"), F.lit(1).alias("l")), F.when(locked, F.col("story_id"))).alias("_lock"),
+    ).select("_key", F.coalesce("_lock", "_best").alias("_g"))
+    out = df.join(best, "_key", "left").where(on | F.col("_g").isNotNull())
+    pick = lambda c, x: F.when(F.col("_g").isNotNull(), F.col(f"_g.{x}")).otherwise(F.col(c)).alias(c)
+    lock = F.when(F.col("_g.l") == 1, 1).otherwise(F.col("category_locked")).alias("category_locked")
+    return out.select("story_id", "series_title", "part_number", pick("category", "c"), pick("category_source", "s"), lock)

@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palmleaf.functions.text import fold_title
@@ -18,18 +18,32 @@ BLOCK_ROWS = 500
 
 
 def exact(stories: DataFrame) -> DataFrame:
-    """(raw_sha256, n, first_id): contents that stand in several rows; a missing hash equals nothing."""
-    df = stories.where("raw_sha256 <> ''").groupBy("raw_sha256").agg(F.count(F.lit(1)).alias("n"), F.min("story_id").alias("first_id"))
+    """(raw_sha256, n, first_id): contents that several urls have; a missing hash equals nothing."""
+    df = stories.where("raw_sha256 <> '' and url is not null").groupBy("raw_sha256").agg(F.count_distinct("url").alias("n"), F.min("story_id").alias("first_id"))
     return df.where("n > 1")
 
 
+def flagged(stories: DataFrame) -> DataFrame:
+    """(url): urls of the groups of equal contents, titles and parts."""
+    df = stories.where("url is not null")
+    same = df.join(exact(stories).select("raw_sha256"), "raw_sha256", "left_semi").select("url")
+    kind, key = title_key()
+    named = df.select("url", kind.alias("kind"), key.alias("key")).where("key <> ''").join(by_title(stories).select("kind", "key"), ["kind", "key"], "left_semi").select("url")
+    return same.unionByName(named).distinct()
+
+
+def title_key() -> tuple[Column, Column]:
+    """The kind and key under which the second pass compares a row: its title, or its series and part."""
+    single = F.col("part_number").isNull()
+    part = F.concat_ws("#", fold_title(F.col("series_title")), F.col("part_number").cast("string"))
+    return F.when(single, "title").otherwise("part"), F.when(single, fold_title(F.col("title"))).otherwise(part)
+
+
 def by_title(stories: DataFrame) -> DataFrame:
     """(kind, key, urls): titles of single stories, and parts of one series, that several urls have."""
-    single = stories.where("part_number is null and url is not null").select(F.lit("title").alias("kind"), fold_title(F.col("title")).alias("key"), "url").where("key <> ''")
-    part = stories.where("part_number is not null and url is not null").select(
-        F.lit("part").alias("kind"), F.concat_ws("#", fold_title(F.col("series_title")), F.col("part_number").cast("string")).alias("key"), "url"
-    )
-    return single.unionByName(part).groupBy("kind", "key").agg(F.count_distinct("url").alias("urls")).where("urls > 1")
+    kind, key = title_key()
+    df = stories.where("url is not null").select(kind.alias("kind"), key.alias("key"), "url").where("key <> ''")
+    return df.groupBy("kind", "key").agg(F.count_distinct("url").alias("urls")).where("urls > 1")
 
 
 def part_clashes(stories: DataFrame) -> DataFrame:
@@ -41,7 +55,7 @@ def part_clashes(stories: DataFrame) -> DataFrame:
 def similar_titles(stories: DataFrame, bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
     """(a, b, ratio): single stories in one bucket of word counts whose titles are nearly equal.
 
-    Rows that the first two passes found take no part. By definition of the report a
+    Urls that the first two passes flagged take no part. By definition of the report a
     bucket above BUCKET_ROWS is skipped (``skipped_buckets`` counts them), which bounds the
     join within a bucket; with ``bucket_rows`` None every bucket is compared. The ratio depends on the order, which is that of the ids.
     """
@@ -103,8 +117,7 @@ def _compare_block(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _buckets(stories: DataFrame, bucket_rows: int | None = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     df = stories.where("part_number is null and url is not null").select("story_id", "url", "title", "raw_sha256", fold_title(F.col("title")).alias("key"), F.floor(F.coalesce("words", F.lit(0)) / BUCKET_WORDS).cast("long").alias("bucket")).where("key <> ''")
-    twice = by_title(stories).where("kind = 'title'").select("key")
-    df = df.join(exact(stories).select("raw_sha256"), "raw_sha256", "left_anti").join(twice, "key", "left_anti")
+    df = df.join(flagged(stories), "url", "left_anti")
     sizes = df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     if bucket_rows is None:
         return df, sizes
@@ -118,7 +131,9 @@ def skipped_buckets(stories: DataFrame) -> DataFrame:
 
 
 def report(stories: DataFrame) -> DataFrame:
-    """(kind, groups, rows) of the first two passes; a pair may be in both."""
-    one = exact(stories).select(F.lit("exact").alias("kind"), F.col("n").alias("rows"))
-    two = by_title(stories).select("kind", F.col("urls").alias("rows"))
-    return one.unionByName(two).groupBy("kind").agg(F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("rows"))
+    """(kind, groups, urls) of the first two passes, and of all their groups (``all``), whose urls count once."""
+    one = exact(stories).select(F.lit("exact").alias("kind"), F.col("n").alias("urls"))
+    two = by_title(stories).select("kind", "urls")
+    groups = one.unionByName(two)
+    total = groups.agg(F.count(F.lit(1)).alias("groups")).crossJoin(flagged(stories).agg(F.count(F.lit(1)).alias("urls")))  # one row each
+    return groups.groupBy("kind").agg(F.count(F.lit(1)).alias("groups"), F.sum("urls").alias("urls")).unionByName(total.select(F.lit("all").alias("kind"), "groups", "urls"))

@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palmleaf.session import spread
@@ -161,3 +161,16 @@ def quality_score(done: DataFrame) -> DataFrame:
     """(page_id, score): four points a word and one per hundred characters up to 20,000."""
     s = block_statistics(done)
     return s.select("page_id", F.round(4 * F.col("n_words") + F.least("n_chars", F.lit(20_000)) / 100, 2).alias("score"))
+
+
+# Marks of a page that checks its visitor.
+CHALLENGES = ("just a moment", "checking your browser", "verify you are human", "challenges.cloudflare.com", "cf-chl-")
+
+
+def is_challenge(title: Column, page: Column) -> Column:
+    """Whether a title or the first 25,000 characters of a page (the rule's definition) hold a mark of a check."""
+    low = F.lower(F.concat_ws("\n", F.coalesce(title, F.lit("")), F.left(page, F.lit(25_000))))
+    hit = low.contains(CHALLENGES[0])
+    for mark in CHALLENGES[1:]:
+        hit = hit | low.contains(mark)
+    return hit

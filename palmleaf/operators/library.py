@@ -98,16 +98,22 @@ def accepted(stories: DataFrame, story_ids: list[int]) -> DataFrame:
     )
 
 
+#: What only the first row of a url sets; later rows of the ingest log leave it alone.
+KEPT = ("series_title", "part_number", "category", "category_source", "category_locked", "organized_file", "added_at")
+
+
 def upserted(stories: DataFrame) -> DataFrame:
-    """The ingest log folded on url: the last row of each, with what earlier rows alone may say.
+    """The ingest log folded on url, with all its columns: the last row of each url, but KEPT from the first.
 
-    ``added_at`` is that of the first row; series and category of a locked row stay.
+    An upsert clears ``error`` and ``manual_accept`` where the last row isn't failed. Rows without a url take no part.
     """
     df = stories.where("url is not null")
-    last = F.max_by(F.struct("story_id", "title", "status", "error", "raw_sha256", "updated_at"), "story_id").alias("_l")
-    locked = F.max_by("category", F.when(F.col("category_locked") == 1, F.col("story_id"))).alias("_locked")
-    out = df.groupBy("url").agg(last, F.min_by("added_at", "story_id").alias("added_at"), F.max_by("category", "story_id").alias("_c"), locked)
-    return out.select("url", "_l.*", "added_at", F.coalesce("_locked", "_c").alias("category"))
+    rest = [c for c in df.columns if c not in KEPT and c != "url"]
+    last, first = F.max_by(F.struct(*rest), "story_id").alias("_l"), F.min_by(F.struct(*KEPT), "story_id").alias("_f")
+    out = df.groupBy("url").agg(last, first).select("url", "_l.*", "_f.*")
+    failed = F.coalesce(F.col("status") == "failed", F.lit(False))
+    out = out.withColumn("error", F.when(failed, F.col("error")).otherwise("")).withColumn("manual_accept", F.when(failed, F.col("manual_accept")).otherwise(0))
+    return out.select(*stories.columns)
 
 
 def failures_recorded(stories: DataFrame, failed: DataFrame) -> DataFrame:

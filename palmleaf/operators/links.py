@@ -149,3 +149,25 @@ def keep_newest(rows: DataFrame, group: str, order: str, keep: int) -> DataFrame
     """Rotation: the rows beyond the ``keep`` newest of each group."""
     w = Window.partitionBy(group).orderBy(F.col(order).desc())
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") > keep).drop("_r")
+
+
+def run_events(runs: DataFrame) -> DataFrame:
+    """(id, event, at, name, command, state, exit_code, error): a run log as the events that made it, a start and, where it ended, a finish."""
+    blank = {"name": "string", "command": "string", "state": "string", "exit_code": "int", "error": "string"}
+    of = lambda **kw: [F.coalesce(kw.get(c, F.lit(None)).cast(t), F.lit(None).cast(t)).alias(c) for c, t in blank.items()]
+    start = runs.select("id", F.lit("start").alias("event"), F.col("started_at").alias("at"), *of(name=F.col("name"), command=F.col("command")))
+    ended = runs.where("state <> 'running'").select("id", F.lit("finish").alias("event"), F.col("finished_at").alias("at"), *of(state=F.col("state"), exit_code=F.col("exit_code"), error=F.col("error")))
+    return start.unionByName(ended)
+
+
+def runs_folded(events: DataFrame) -> DataFrame:
+    """(id, name, command, state, started_at, finished_at, exit_code, error): one row per run.
+
+    A run without a finish is running, without exit code; of several finishes the latest holds. An event with a NULL id is no run.
+    """
+    is_start = F.col("event") == "start"
+    when = F.struct(F.col("at").isNotNull().alias("k"), F.col("at").alias("t"), F.coalesce("state", F.lit("")).alias("s"))
+    begun = F.min_by(F.struct("name", "command", "at"), F.when(is_start, when)).alias("_b")
+    ended = F.max_by(F.struct("state", "at", "exit_code", "error"), F.when(~is_start, when)).alias("_e")
+    out = events.where("id is not null").groupBy("id").agg(begun, ended)
+    return out.select("id", "_b.name", "_b.command", F.coalesce("_e.state", F.lit("running")).alias("state"), F.col("_b.at").alias("started_at"), F.coalesce("_e.at", F.lit("")).alias("finished_at"), "_e.exit_code", F.coalesce("_e.error", F.lit("")).alias("error"))

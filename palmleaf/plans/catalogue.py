@@ -51,6 +51,14 @@ def _sql_collapse(c: str) -> str:
     return f"trim(regexp_replace({c}, '{_WS}', ' ', 'g'))"
 
 
+def _sql_plain(c: str) -> str:
+    """Entities of the test data decoded, up to three rounds as the operator does."""
+    for _ in range(3):
+        for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+            c = f"replace({c}, '{entity}', '{sign}')"
+    return _sql_collapse(c)
+
+
 def _sql_fold(c: str) -> str:
     return f"lower({_sql_collapse(f"coalesce({c}, '')")})"
 
@@ -150,12 +158,18 @@ def _(s, d):
     return _t(s, d, "links").select("link_id", urls.in_scope(F.col("url"), "https://lantern-serials.example/story").alias("in_scope"))
 
 
-@query("p5_is_page")
+_EXT = "|".join(urls.DOWNLOADS)
+
+
+@query("p5_is_page", f"SELECT link_id, NOT regexp_matches(lower(url_decode({_sql_part('url', 3)})), '\\.({_EXT})$') AS is_page FROM links")
 def _(s, d):
     return _t(s, d, "links").select("link_id", urls.is_page(F.col("url")).alias("is_page"))
 
 
-@query("p6_title_from_url")
+_LAST = f"trim(regexp_replace(list_last(string_split(regexp_replace({_sql_part('url', 3)}, '/+$', ''), '/')), '[-_]+', ' ', 'g'))"
+
+
+@query("p6_title_from_url", f"SELECT link_id, CASE WHEN url IS NULL THEN NULL WHEN {_LAST} = '' THEN {_sql_bare('url')} ELSE {_LAST} END AS title FROM links")
 def _(s, d):
     return _t(s, d, "links").select("link_id", urls.title_from(F.col("url")).alias("title"))
 
@@ -269,6 +283,11 @@ def _(s, d):
     return _t(s, d, "job_runs").groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
+@query("q20_runs_folded", "SELECT id, name, command, state, started_at, CASE WHEN state = 'running' THEN '' ELSE coalesce(finished_at, '') END AS finished_at, CASE WHEN state = 'running' THEN NULL ELSE exit_code END AS exit_code, CASE WHEN state = 'running' THEN '' ELSE coalesce(error, '') END AS error FROM job_runs WHERE id IS NOT NULL")
+def _(s, d):
+    return links.runs_folded(links.run_events(_t(s, d, "job_runs")))
+
+
 # --- the story table ------------------------------------------------------------------------------------
 
 
@@ -321,9 +340,10 @@ def _(s, d):
     return library.matches(library.postings(st), "night-train").select("story_id")
 
 
-@query("st10_postings", r"""SELECT token, count(*) AS n, count(DISTINCT story_id) AS stories FROM (SELECT story_id, unnest(list_filter(string_split(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda t: t <> '')) AS token FROM stories WHERE title IS NOT NULL) GROUP BY token""")
+@query("st10_postings", "SELECT col, token, count(*) AS n, count(DISTINCT story_id) AS stories FROM (" + " UNION ALL ".join(
+    f"SELECT story_id, '{c}' AS col, unnest(list_filter(string_split(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda t: t <> '')) AS token FROM stories WHERE {c} IS NOT NULL" for c in ("title", "url", "original_text", "romanized_text")) + ") GROUP BY col, token")
 def _(s, d):
-    return library.postings(_t(s, d, "stories"), ("title",)).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("story_id").alias("stories"))
+    return library.postings(_t(s, d, "stories")).groupBy("col", "token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("story_id").alias("stories"))
 
 
 @query("q9_point_lookup", "SELECT story_id, title FROM stories WHERE url = (SELECT url FROM stories WHERE story_id = 7)")
@@ -345,11 +365,13 @@ def _(s, d):
     return library.accepted(_t(s, d, "stories"), [2, 3, 5, 8, 13, 21, 34]).select("story_id", "status", "manual_accept", "review_reason", "source_changed")
 
 
+_STORY = [c for c in schema.STORIES.fieldNames() if c not in ("url", "story_id")]
+
+
 @query(
     "q23_upserted",
-    """SELECT url, max(story_id) AS story_id, arg_max_null(title, story_id) AS title, arg_max_null(status, story_id) AS status, arg_max_null(error, story_id) AS error, arg_max_null(raw_sha256, story_id) AS raw_sha256,
-    arg_max_null(updated_at, story_id) AS updated_at, arg_min_null(added_at, story_id) AS added_at,
-    coalesce(arg_max(category, story_id) FILTER (category_locked = 1), arg_max_null(category, story_id)) AS category FROM stories WHERE url IS NOT NULL GROUP BY url""",
+    "WITH f AS (SELECT url, max(story_id) AS story_id, " + ", ".join(f"arg_{'min' if c in library.KEPT else 'max'}_null({c}, story_id) AS {c}" for c in _STORY)
+    + " FROM stories WHERE url IS NOT NULL GROUP BY url) SELECT * REPLACE (CASE WHEN status = 'failed' THEN error ELSE '' END AS error, CASE WHEN status = 'failed' THEN manual_accept ELSE 0 END AS manual_accept) FROM f",
 )
 def _(s, d):
     return library.upserted(_t(s, d, "stories"))
@@ -441,21 +463,21 @@ def _(s, d):
 # --- titles, series, catalog ------------------------------------------------------------------------------
 
 
-@query("p10_series_parts")
-def _(s, d):
-    return catalog.titled(_t(s, d, "stories"))
+_EDGE = r"'^[ \-–—|:/._]+|[ \-–—|:/._]+$', '', 'g'"
+_LAB = r"'(?i)^(.*?)\s*[-–—|:/]?\s*[(\[]?\s*(?:part|pt\.?)\s*[-:#.]?\s*(\d{1,4})\s*[)\]]?$'"
+_UNIT = r"'(?i)\b(?:chapter|chap|ch|episode|ep|season|volume|vol|book)[\s.]*$'"
 
 
 @query(
-    "p10_labelled_parts",
-    r"""WITH t AS (SELECT story_id, """ + _sql_collapse("coalesce(title, '')") + r""" AS t FROM stories), m AS (SELECT story_id,
-    regexp_replace(regexp_extract(t, '(?i)^(.*?)\s*[-–—|:/]?\s*[(\[]?\s*(?:part|pt\.?)\s*[-:#.]?\s*(\d{1,4})\s*[)\]]?$', 1), '^[ \-–—|:/._]+|[ \-–—|:/._]+$', '', 'g') AS base,
-    regexp_extract(t, '(?i)^(.*?)\s*[-–—|:/]?\s*[(\[]?\s*(?:part|pt\.?)\s*[-:#.]?\s*(\d{1,4})\s*[)\]]?$', 2) AS n FROM t)
-    SELECT story_id, base, CAST(n AS INTEGER) AS part FROM m WHERE n <> '' AND base <> '' AND CAST(n AS INTEGER) >= 1""",
+    "p10_series_parts",
+    f"""WITH t AS (SELECT story_id, {_sql_collapse("coalesce(title, '')")} AS t FROM stories), m AS (SELECT story_id, t,
+    regexp_replace(regexp_extract(t, {_LAB}, 1), {_EDGE}) AS b1, try_cast(regexp_extract(t, {_LAB}, 2) AS INTEGER) AS n1,
+    regexp_replace(regexp_extract(t, '^(.*\\D)(\\d{{1,3}})$', 1), {_EDGE}) AS b2, try_cast(regexp_extract(t, '^(.*\\D)(\\d{{1,3}})$', 2) AS INTEGER) AS n2 FROM t),
+    k AS (SELECT *, coalesce(b1 <> '' AND n1 >= 1, false) AS one, coalesce(b2 <> '' AND n2 >= 1 AND NOT regexp_matches(b2, {_UNIT}), false) AS two FROM m)
+    SELECT story_id, CASE WHEN one THEN b1 WHEN two THEN b2 WHEN t = '' THEN 'Untitled Story' ELSE t END AS base, CASE WHEN one THEN n1 WHEN two THEN n2 END AS part FROM k""",
 )
 def _(s, d):
-    t = X.collapse(F.coalesce("title", F.lit("")))
-    return catalog.titled(_t(s, d, "stories").where(t.rlike(r"(?i)[(\[]?\s*(?:part|pt\.?)\s*[-:#.]?\s*\d{1,4}\s*[)\]]?$"))).where("part is not null")
+    return catalog.titled(_t(s, d, "stories"))
 
 
 @query(
@@ -557,7 +579,15 @@ def _(s, d):
 # --- duplicates -------------------------------------------------------------------------------------------
 
 
-@query("d1_exact", "SELECT raw_sha256, count(*) AS n, min(story_id) AS first_id FROM stories WHERE raw_sha256 <> '' GROUP BY 1 HAVING count(*) > 1")
+_D1 = "SELECT raw_sha256, count(DISTINCT url) AS n, min(story_id) AS first_id FROM stories WHERE raw_sha256 <> '' AND url IS NOT NULL GROUP BY 1 HAVING count(DISTINCT url) > 1"
+
+
+@query("x4_repaired", f"SELECT count(*) AS indexed_rows, count(*) FILTER ({_DONE} AND url IS NOT NULL) AS organized, (SELECT count(DISTINCT url) FROM links WHERE url IN (SELECT url FROM fetch_journal WHERE url IS NOT NULL)) AS links_synced FROM stories")
+def _(s, d):
+    return catalog.repaired(_t(s, d, "stories"), _t(s, d, "links"), _t(s, d, "fetch_journal"))
+
+
+@query("d1_exact", _D1)
 def _(s, d):
     return dedup.exact(_t(s, d, "stories"))
 
@@ -591,7 +621,15 @@ def _(s, d):
     return dedup.skipped_buckets(_t(s, d, "stories"))
 
 
-@query("d4_report", f"SELECT kind, count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT 'exact' AS kind, count(*) AS n FROM stories WHERE raw_sha256 <> '' GROUP BY raw_sha256 HAVING count(*) > 1 UNION ALL SELECT kind, urls FROM ({_D2})) GROUP BY kind")
+_D2_KEY = f"CASE WHEN part_number IS NULL THEN 'title' ELSE 'part' END AS kind, CASE WHEN part_number IS NULL THEN {_sql_fold('title')} ELSE {_sql_fold('series_title')} || '#' || part_number END AS key"
+
+
+@query(
+    "d4_report",
+    f"""WITH one AS ({_D1}), two AS ({_D2}), g AS (SELECT 'exact' AS kind, n AS urls FROM one UNION ALL SELECT kind, urls FROM two),
+    f AS (SELECT url FROM stories WHERE url IS NOT NULL AND raw_sha256 IN (SELECT raw_sha256 FROM one) UNION SELECT url FROM (SELECT url, {_D2_KEY} FROM stories WHERE url IS NOT NULL) JOIN two USING (kind, key))
+    SELECT kind, count(*) AS groups, CAST(sum(urls) AS BIGINT) AS urls FROM g GROUP BY kind UNION ALL SELECT 'all', (SELECT count(*) FROM g), (SELECT count(*) FROM f)""",
+)
 def _(s, d):
     return dedup.report(_t(s, d, "stories"))
 
@@ -617,12 +655,27 @@ def _(s, d):
     return classify.classified(_t(s, d, "stories"), CATEGORIES, ALIASES)
 
 
-@query("t21_consensus")
+_ORDER = "CASE category " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CATEGORIES)) + " ELSE 1000000000 END"
+
+
+@query(
+    "t21_consensus",
+    f"""WITH c AS ({_CLASSIFIED}), k AS (SELECT s.story_id, s.title, CASE WHEN s.category_locked = 1 THEN s.category ELSE c.category END AS category, CASE WHEN s.category_locked = 1 THEN 'manual' ELSE c.category_source END AS category_source,
+    CASE WHEN part_number IS NOT NULL AND coalesce(series_title, '') <> '' THEN {_sql_fold('series_title')} END AS k FROM stories s JOIN c USING (story_id)),
+    b AS (SELECT k, first({{'c': category, 's': category_source}} ORDER BY CASE category_source WHEN 'manual' THEN -1 WHEN 'title' THEN 0 WHEN 'content' THEN 1 ELSE 2 END, {_ORDER}, lower(coalesce(title, '')), story_id) AS x FROM k WHERE k IS NOT NULL GROUP BY k)
+    SELECT story_id, coalesce(x.c, category) AS category, coalesce(x.s, category_source) AS category_source FROM k LEFT JOIN b USING (k)""",
+)
 def _(s, d):
     st = _t(s, d, "stories")
     return classify.consensus(st, classify.classified(st, CATEGORIES, ALIASES), CATEGORIES)
 
 
+@query("t22_recomputed")
+def _(s, d):
+    st = _t(s, d, "stories")
+    return classify.recomputed(st, st.where("source_changed = 1"), CATEGORIES, ALIASES)
+
+
 @query("t22_affected", f"""WITH k AS (SELECT story_id, source_changed, CASE WHEN part_number IS NOT NULL AND coalesce(series_title, '') <> '' THEN {_sql_fold('series_title')} END AS k FROM stories)
     SELECT story_id FROM k WHERE source_changed = 1 OR k IN (SELECT k FROM k WHERE source_changed = 1 AND k IS NOT NULL)""")
 def _(s, d):
@@ -651,9 +704,9 @@ def _(s, d):
 # --- text -------------------------------------------------------------------------------------------------
 
 
-@query("p14_normalised", f"SELECT story_id, sha256({_sql_collapse('original_text')}) AS digest FROM stories WHERE original_text IS NOT NULL AND NOT contains(original_text, '&')")
+@query("p14_normalised", f"SELECT story_id, sha256({_sql_plain('original_text')}) AS digest FROM stories WHERE original_text IS NOT NULL")
 def _(s, d):
-    return segment.normalised(_t(s, d, "stories").where("not contains(original_text, '&')"))
+    return segment.normalised(_t(s, d, "stories"))
 
 
 @query("t13_formatted")
@@ -667,13 +720,19 @@ def _(s, d):
     return segment.faithful(st, segment.formatted(st)).agg(F.count(F.lit(1)).alias("texts"), F.sum("exact").alias("exact"))
 
 
+@query("t14_block_quality")
+def _(s, d):
+    return segment.block_quality(segment.formatted(_t(s, d, "stories")))
+
+
 @query(
-    "t14_block_quality",
-    f"""WITH b AS (SELECT story_id, list_filter(list_transform(string_split(formatted_text, chr(10)), lambda x: {_sql_collapse('x')}), lambda x: x <> '') AS b FROM stories WHERE formatted_text <> '')
-    SELECT story_id, len(b) AS paragraphs, CAST(coalesce(list_max(list_transform(b, lambda x: length(x))), 0) AS BIGINT) AS longest, CASE WHEN coalesce(list_max(list_transform(b, lambda x: length(x))), 0) <= 1800 THEN 1 ELSE 0 END AS quality_pass FROM b""",
+    "t14_stored_quality",
+    f"""WITH b AS (SELECT story_id, list_filter(list_transform(string_split(formatted_text, chr(10)), lambda x: {_sql_collapse('x')}), lambda x: x <> '') AS b FROM stories WHERE formatted_text IS NOT NULL)
+    SELECT story_id, len(b) AS paragraphs, CAST(coalesce(list_max(list_transform(b, lambda x: length(x))), 0) AS BIGINT) AS longest FROM b""",
 )
 def _(s, d):
-    return segment.block_quality(_t(s, d, "stories"))
+    done = _t(s, d, "stories").where("formatted_text is not null").select("story_id", F.col("formatted_text").alias("formatted"))
+    return segment.block_quality(done).select("story_id", "paragraphs", "longest")
 
 
 @query("t12_sentences", f"SELECT story_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(regexp_replace(t, '([.!?…।])[\\s]+', '\\1' || chr(1), 'g'), chr(1))) END AS n_sentences FROM (SELECT story_id, {_sql_collapse('original_text')} AS t FROM stories WHERE original_text IS NOT NULL)")
@@ -681,10 +740,10 @@ def _(s, d):
     return segment.sentence_counts(_t(s, d, "stories"))
 
 
-@query("t16_edit_guard", f"SELECT story_id, {_sql_collapse('original_text')} = {_sql_collapse('formatted_text')} AS allowed FROM stories WHERE original_text IS NOT NULL AND formatted_text <> '' AND NOT contains(original_text || formatted_text, '&')")
+@query("t16_edit_guard", f"SELECT story_id, coalesce({_sql_plain('original_text')} = {_sql_plain('formatted_text')}, false) AS allowed FROM stories WHERE formatted_text IS NOT NULL")
 def _(s, d):
-    st = _t(s, d, "stories").where("original_text is not null and formatted_text <> '' and not contains(concat(original_text, formatted_text), '&')")
-    return segment.edit_allowed(st, st.select("story_id", F.col("formatted_text").alias("edited")))
+    st = _t(s, d, "stories")
+    return segment.edit_allowed(st, st.where("formatted_text is not null").select("story_id", F.col("formatted_text").alias("edited")))
 
 
 _ESC = "replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -696,6 +755,12 @@ def _(s, d):
     return _t(s, d, "stories").where("formatted_text <> ''").select("story_id", F.array_join(F.transform(para, lambda x: F.concat(F.lit("<p>"), X.escape_html(x), F.lit("</p>"))), "\n").alias("html"))
 
 
+@query("s15_formatted_html")
+def _(s, d):
+    done = segment.formatted(_t(s, d, "stories"))
+    return done.select("story_id", F.array_join(F.transform(F.filter(F.split("formatted", "\n\n"), lambda x: x != ""), lambda x: F.concat(F.lit("<p>"), X.escape_html(x), F.lit("</p>"))), "\n").alias("html"))
+
+
 @query("t8_romanized")
 def _(s, d):
     return translit.romanized(_t(s, d, "stories"))
@@ -759,11 +824,15 @@ def _(s, d):
     return _t(s, d, "stories").where("raw_file <> '' and raw_sha256 <> ''").join(_t(s, d, "raw_pages").select("page_id", "raw_file", "raw_sha256"), ["raw_file", "raw_sha256"]).select("story_id", "page_id")
 
 
-@query("p26_challenge_pages", "SELECT page_id FROM raw_pages WHERE " + " OR ".join(f"contains(lower(left(html, 25000)), '{m}')" for m in ("not a robot", "checking that you", "enable javascript", "captcha")))
+@query("p26_challenge_pages", "SELECT page_id, " + " OR ".join(f"contains(lower(coalesce(url, '') || chr(10) || left(html, 25000)), '{m}')" for m in ("just a moment", "checking your browser", "verify you are human", "challenges.cloudflare.com", "cf-chl-")) + " AS challenge FROM raw_pages WHERE html IS NOT NULL")
 def _(s, d):
-    low = F.lower(F.left("html", F.lit(25_000)))
-    marks = [low.contains(m) for m in ("not a robot", "checking that you", "enable javascript", "captcha")]
-    return _t(s, d, "raw_pages").where(marks[0] | marks[1] | marks[2] | marks[3]).select("page_id")
+    return _t(s, d, "raw_pages").where("html is not null").select("page_id", htmlpage.is_challenge(F.col("url"), F.col("html")).alias("challenge"))
+
+
+@query("p26_challenge_fixture", "SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, true), (5, false)) t(page_id, challenge)")
+def _(s, d):
+    rows = [(1, "Just a moment...", "<p>x</p>"), (2, None, "<p>Checking your browser</p>"), (3, "A story", "<p>Nobody could verify it.</p>"), (4, "", "<a href='https://challenges.cloudflare.com/x'>"), (5, "late", "x" * 25_000 + "cf-chl-")]
+    return s.createDataFrame(rows, "page_id int, title string, html string").select("page_id", htmlpage.is_challenge(F.col("title"), F.col("html")).alias("challenge"))
 
 
 @query("g1_crawl")
@@ -822,9 +891,9 @@ def _(s, d):
     return _t(s, d, "stories").where("url is not null and raw_file <> ''").select("story_id", settings.stem_matches(F.col("raw_file"), F.col("url")).alias("by_url"))
 
 
-@query("p13_decoded")
+@query("p13_decoded", "SELECT page_id, " + _sql_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + " AS title FROM raw_pages WHERE html IS NOT NULL")
 def _(s, d):
-    return _t(s, d, "raw_pages").where("html is not null").select("page_id", X.decode_entities(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+    return _t(s, d, "raw_pages").where("html is not null").select("page_id", X.normal_text(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
 
 
 @query("p18_clamped", "SELECT id, least(greatest(coalesce(CAST(trunc(try_cast(regexp_extract(command, '(\\d+)$', 1) AS DOUBLE)) AS BIGINT), 20), 1), 200) AS batch FROM job_runs")
@@ -832,7 +901,12 @@ def _(s, d):
     return _t(s, d, "job_runs").select("id", settings.clamp(F.regexp_extract("command", r"(\d+)$", 1), "auto_batch").alias("batch"))
 
 
-@query("p8_components")
+@query(
+    "p8_components",
+    r"""WITH a AS (SELECT story_id, regexp_replace(regexp_replace(regexp_replace(coalesce(title, ''), '[<>:"/\\|?*\x{00}-\x{1f}]', ' ', 'g'), '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g') AS t FROM stories),
+    b AS (SELECT story_id, regexp_replace(left(CASE WHEN regexp_matches(t, '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])$') THEN '_' || t ELSE t END, 120), '[ .]+$', '') AS t FROM a)
+    SELECT story_id, CASE WHEN t = '' THEN 'Untitled Story' ELSE t END AS name FROM b""",
+)
 def _(s, d):
     return _t(s, d, "stories").select("story_id", T.component(F.col("title"), "Untitled Story").alias("name"))
 

@@ -43,4 +43,5 @@ def test_twin(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_runs(spark, name):
-    assert catalogue.queries()[name](spark, DIR).columns
+    df = catalogue.queries()[name](spark, DIR)
+    assert df.columns and len(df.collect()) == df.count()
