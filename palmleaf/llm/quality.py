@@ -1,23 +1,26 @@
 """Text statistics per document, fixed-threshold rules, and the kind of what isn't prose.
 
-Method: vectorized statistics of length, symbols, end punctuation, bullets and
-common words, then published fixed thresholds with a recorded reason for every
-failure. Statistics and rules are JVM-side expressions (Spark and DuckDB agree on
-them). Which characters are entries of a list, rows of a table or junk is
-decided line by line in Arrow batches; a document is of a kind if more
-than half of its characters are.
+Method: vectorized statistics of length, symbols, end punctuation, bullets and common words, then published
+fixed thresholds with a recorded reason for every failure. All of it is JVM-side expressions; no Python sees a text.
+
+The same kinds of statistics are taken of every line (words, mean word length, symbols, end punctuation,
+bullets, cells, repetition) and held against fixed thresholds; the characters of the lines that fail add up to three more
+statistics of the document, the shares that are entries of a list, rows of a table and junk. Above
+MAX_KIND_SHARE a share is a failure like any other, and the reason names the kind.
+
+Scale: lines are exploded beside their neighbours where they are read and summed per document before the shuffle, which
+carries one short row per document.
 
 Nulls: a NULL text has NULL statistics, no failure and no kind; an empty text
 has word count 0, shares of 0 and fails the length rule. Whole texts count,
-however long; each document is independent, so no shuffle and no hot group.
+however long; each document is independent, so there is no hot group. Rows of one id are judged one by one.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,210 +69,113 @@ def statistics(documents: DataFrame) -> DataFrame:
 
 
 def failures(stats: DataFrame) -> DataFrame:
-    """``stats`` with ``reasons``: the failed rules, in order, separated by commas; '' if none failed."""
+    """``stats`` with ``reasons``: the failed rules of the statistics it has, in order, separated by commas; '' if none failed."""
     c = F.col
     rules = [
-        ("too_few_words", c("n_words") < MIN_WORDS),
-        ("too_many_words", c("n_words") > MAX_WORDS),
-        ("word_length", (c("mean_word_length") < MIN_MEAN_LENGTH) | (c("mean_word_length") > MAX_MEAN_LENGTH)),
-        ("symbols", c("symbol_ratio") > MAX_SYMBOL_RATIO),
-        ("bullets", c("bullet_share") > MAX_BULLET_SHARE),
-        ("ellipses", c("ellipsis_share") > MAX_ELLIPSIS_SHARE),
-        ("no_end_punctuation", c("end_punctuation_share") < MIN_END_PUNCTUATION),
-        ("few_letters", c("alpha_word_share") < MIN_ALPHA_SHARE),
+        ("too_few_words", "n_words", lambda x: x < MIN_WORDS),
+        ("too_many_words", "n_words", lambda x: x > MAX_WORDS),
+        ("word_length", "mean_word_length", lambda x: (x < MIN_MEAN_LENGTH) | (x > MAX_MEAN_LENGTH)),
+        ("symbols", "symbol_ratio", lambda x: x > MAX_SYMBOL_RATIO),
+        ("bullets", "bullet_share", lambda x: x > MAX_BULLET_SHARE),
+        ("ellipses", "ellipsis_share", lambda x: x > MAX_ELLIPSIS_SHARE),
+        ("no_end_punctuation", "end_punctuation_share", lambda x: x < MIN_END_PUNCTUATION),
+        ("few_letters", "alpha_word_share", lambda x: x < MIN_ALPHA_SHARE),
+        ("list", "list_share", lambda x: x > MAX_KIND_SHARE),
+        ("table", "table_share", lambda x: x > MAX_KIND_SHARE),
+        ("junk", "junk_share", lambda x: x > MAX_KIND_SHARE),
     ]
-    return stats.withColumn("reasons", F.concat_ws(",", *[F.when(rule, F.lit(name)) for name, rule in rules]))
-
-
-_MARKED = re.compile(r"\s*(?:[-*•‣·–+]|\(?\d{1,5}[.):]|\[\d{1,5}\]|[a-zA-Z][.)])\s+\S")
-_DOTTED = re.compile(r"(?:\.{2,}|…|\s{2,}|\t)\s*\d+\s*$")
-_SENTENCE = re.compile(r"[.!?…।]['\"”’)]*(?:\s|$)")
-_CELLS = (("|", re.compile(r"\s*\|\s*"), 2), ("\t", re.compile(r"\t"), 2), (";", re.compile(r";(?! )"), 2), (",", re.compile(r",(?! )"), 2), ("  ", re.compile(r"\s{2,}"), 2))
-_CLEAN = re.compile(r"[\"'“‘(]?[A-Za-z\u0900-\u0dff\u200c\u200d]+(?:['’\-][A-Za-z]+)*[.,;:!?\"'”’)…।]*")
-_CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}", re.I)
-_RULE = re.compile(r"[\s|+:\-=─━]+$")
-_LATIN = re.compile(r"[a-zA-Z]+")
-_NO_VOWEL = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}|^[bcdfghjklmnpqrstvwxz]{2,}$", re.I)
-_MASHED = re.compile(r"[A-Za-z][,;][A-Za-z]|[A-Za-z];[,;]|\d[A-Za-z]+\d")
-_BROKEN = re.compile(r"[ -ÿŒœŠšŸŽžƒˆ˜†‡•€™�€™]|à[°±¤¥]|ï¿½|�")
-_CODE = re.compile(r"function\s*\w*\s*\(|\bvar \w+\s*=|=>|\)\s*;|;\s*$|\{\s*$|^\s*\}|\breturn\b.*;|&&|\|\||\w+\.\w+\(")
-_BLOB = re.compile(r"[A-Za-z0-9+/=_\-]{32,}")
-_SYMBOL = re.compile(r"[^\w\s.,;:!?'\"“”‘’()\-–—…।̀-ͯऀ-෿‌‍]")
-_QUOTE = ("\"", "“", "‘", "'")
-#: A run of unmarked entries must have so many lines, and entries so few words.
-_RUN, _ENTRY_WORDS, _RUN_MEAN = 4, 9, 4.6
-
-
-class _Clean(dict):
-    """1 for a whole word with at most end marks, remembered because words recur; bounded."""
-
-    def __missing__(self, w: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        v = self[w] = int(_CLEAN.fullmatch(w) is not None and not _CLUSTER.search(w))
-        return v
-
-
-_clean = _Clean()
-
-
-def _prose(ws: list[str]) -> bool:
-    """Nearly all words are whole words with at most end marks: neither junk nor a row of cells."""
-    n = len(ws)
-    if n < 5:
-        return False
-    seen = set(ws)
-    if len(seen) <= n // 4:
-        return False
-    return sum(map(_clean.__getitem__, ws)) >= 0.9 * n and sum(map(len, ws)) > 2.5 * n
-
-
-def _junk(line: str, ws: list[str]) -> bool:
-    """Junk by its characters, whatever the separators are."""
-    n = len(line)
-    if len(ws) >= 6 and len(set(ws)) <= max(1, len(ws) // 5):
-        return True
-    if len(ws) >= 8 and sum(len(w) <= 2 for w in ws) > 0.9 * len(ws):
-        return True
-    if len(_SYMBOL.findall(line)) > 0.3 * n:
-        return True
-    if sum(map(len, _BROKEN.findall(line))) > 0.2 * n:
-        return True
-    if any(len(x) > 0.6 * n for x in _BLOB.findall(line)) and (n > 40 or not line.isalpha()):
-        return True
-    return len(_CODE.findall(line)) >= 2 and sum(line.count(c) for c in "(){};=[]") > 0.08 * n
-
-
-def _unsayable(line: str) -> bool:
-    latin = _LATIN.findall(line)
-    return len(latin) >= 4 and sum(bool(_NO_VOWEL.search(x)) for x in latin) > 0.3 * len(latin)
-
-
-def _mashed(line: str) -> bool:
-    """Words that no one can say, or with marks inside them."""
-    latin = _LATIN.findall(line)
-    if len(latin) < 4:
-        return False
-    return sum(bool(_NO_VOWEL.search(x)) for x in latin) + len(_MASHED.findall(line)) > 0.3 * len(latin)
-
-
-def _cells(line: str) -> list[tuple[int, int, list[str]]]:
-    """(separator, cells, their texts) for each separator that cuts the line; the strongest first."""
-    out = []
-    for i, (sign, sep, least) in enumerate(_CELLS):
-        if sign in line:
-            parts = sep.split(line.strip("\r\n") if i in (1, 2, 3) else line.strip())
-            if len(parts) >= least:
-                out.append((i, len(parts), parts))
-    return out
-
-
-def _keywords(line: str) -> bool:
-    if line.count(", ") < 2:
-        return False
-    parts = line.strip().rstrip(",;.").split(", ")
-    if len(parts) < 3 or _SENTENCE.search(line.rstrip().rstrip(".")):
-        return False
-    sizes = [len(p.split()) for p in parts]
-    return sum(sizes) / len(sizes) <= 3.2 and max(sizes) <= 8
-
-
-def line_kinds(lines: list[str]) -> list[str]:
-    """For each line that is not blank: list, table, junk or '' (prose)."""
-    kinds = [""] * len(lines)
-    split = [x.split() for x in lines]
-    prose = [_prose(ws) for ws in split]
-    for i, x in enumerate(lines):
-        if not prose[i] and not ("-" in x and _RULE.match(x)) and (_junk(x, split[i]) or _unsayable(x)):
-            kinds[i] = "junk"
-    # the same line again and again, or the same few words through many lines
-    for i in range(2, len(lines)):
-        if len(split[i]) <= 30 and lines[i] == lines[i - 1] == lines[i - 2]:
-            kinds[i] = kinds[i - 1] = kinds[i - 2] = "junk"
-    # rows of a table: runs of lines with one separator and as many cells, all of them short
-    cells = [_cells(x) if not k and not (p and len(x) > 120) else [] for x, k, p in zip(lines, kinds, prose)]
-    for sep in sorted({c[0] for row in cells for c in row}):
-        i = 0
-        while i < len(lines):
-            here = next((c for c in cells[i] if c[0] == sep), None) if not kinds[i] else None
-            if here is None:
-                i += 1
-                continue
-            j, texts = i, []
-            while j < len(lines) and not kinds[j]:
-                c = next((c for c in cells[j] if c[0] == sep), None)
-                if c is None and not _RULE.match(lines[j]):
-                    break
-                if c is not None:
-                    texts.append(c[2])
-                j += 1
-            width = max((len(t) for t in texts), default=0)
-            near = sum(abs(len(t) - width) <= (1 if sep == 4 else 0) or (sep == 4 and len(t) >= 2) for t in texts)
-            if len(texts) >= 3 and near >= 0.8 * len(texts) and sum(len(c) for t in texts for c in t) <= 32 * sum(map(len, texts)) and not (sep == 3 and width < 2):
-                for k in range(i, j):
-                    kinds[k] = "table"
-            i = max(j, i + 1)
-    for i, x in enumerate(lines):
-        if not kinds[i] and not prose[i] and _mashed(x):
-            kinds[i] = "junk"
-    # entries of a list: marked lines, keyword lines, and runs of bare short lines
-    entry = [False] * len(lines)
-    for i, x in enumerate(lines):
-        if kinds[i]:
-            continue
-        if len(split[i]) > _ENTRY_WORDS + 4:  # too long for an entry, but maybe a line of keywords
-            if _keywords(x):
-                kinds[i] = "list"
-            continue
-        marked = bool(_MARKED.match(x))
-        body = re.sub(r"\s*\([^()]{1,24}\)\s*$", "", x.strip())
-        short = len(split[i]) <= _ENTRY_WORDS + 4 and not _SENTENCE.search(_DOTTED.sub("", body.split(None, 1)[-1] if marked else body))
-        if marked and short or _keywords(x) or (_DOTTED.search(x) and len(split[i]) <= _ENTRY_WORDS + 4 and len(split[i]) > 1):
-            kinds[i] = "list"
-        elif short and len(split[i]) <= _ENTRY_WORDS and not x.lstrip().startswith(_QUOTE) and not x.rstrip().endswith((",", ":", "-", "–", "—", ";")):
-            entry[i] = True
-    i = 0
-    while i < len(lines):
-        if not entry[i]:
-            i += 1
-            continue
-        j = i
-        while j < len(lines) and (entry[j] or kinds[j] == "list"):
-            j += 1
-        run = [k for k in range(i, j) if entry[k]]
-        if len(run) >= _RUN and sum(len(split[k]) for k in run) <= _RUN_MEAN * len(run):
-            for k in run:
-                kinds[k] = "list"
-        i = j
-    return kinds
-
-
-def line_shares(text: str | None) -> tuple[float, float, float]:
-    """Shares of a text's characters that are entries of a list, rows of a table and junk."""
-    lines = [x for x in (text or "").split("\n") if x.strip()]
-    total = sum(map(len, lines))
-    found = dict.fromkeys(("list", "table", "junk"), 0)
-    if total:
-        for x, k in zip(lines, line_kinds(lines)):
-            if k:
-                found[k] += len(x)
-    return tuple(found[k] / max(1, total) for k in found)
+    return stats.withColumn("reasons", F.concat_ws(",", *[F.when(rule(c(col)), F.lit(name)) for name, col, rule in rules if col in stats.columns]))
+
+
+# What a line's characters say.
+_CLEAN = r"(?<!\S)[\"'“‘(]?[A-Za-z\u0900-\u0dff\u200c\u200d]+(?:['’\-][A-Za-z]+)*[.,;:!?\"'”’)…।]*(?!\S)"
+_SYMBOL = r"[\w\s.,;:!?'\"“”‘’()\-–—…।\p{L}\p{M}\u200c\u200d]"
+_BROKEN = r"[^\u0080-\u00ffŒœŠšŸŽžƒˆ˜†‡•€™\ufffd]"
+_ODD = r"[^A-Za-z\u0900-\u0dff\s.,:!?'\"“”‘’()\-–—…।\u200c\u200d]|[A-Za-z],[A-Za-z]|(?i:[bcdfghjklmnpqrstvwxz]{5})|\b(?i:[bcdfghjklmnpqrstvwxz]{2,})\b"
+_CODE = r"function\s*\w*\s*\(|\bvar \w+\s*=|=>|\)\s*;|;\s*$|\{\s*$|^\s*\}|&&|\|\||\w\.\w+\("
+_LATIN = r"[a-zA-Z]+"
+_UNSAID = r"(?i)\b[a-z]*[bcdfghjklmnpqrstvwxz]{5}[a-z]*|\b[bcdfghjklmnpqrstvwxz]{2,}\b"
+_INSIDE = r"[A-Za-z][,;][A-Za-z]|[A-Za-z];[,;]|\d[A-Za-z]+\d"
+_END = r"[.!?…।]['\"”’)]*(?:\s|$)"
+_MARK = r"^\s*(?:[-*•‣·–+]|\(?\d{1,5}[.):]|\[\d{1,5}\]|[a-zA-Z][.)])\s+(?=\S)"
+_NUMBER = r"(?:\.{2,}|…|\s{2,}|\t)\s*\d+\s*$"
+_RULE = r"^[\s|+:\-=─━]+$"
+#: Wide gaps between cells; the other separators are bars, tabs, and semicolons and commas without a blank after them.
+_GAP = r"\S\s{2,}(?=\S)"
+#: Fixed thresholds of the lines.
+_SHORT_WORDS, _LONG_WORDS, _SYMBOLS, _BROKEN_SHARE, _UNSAID_SHARE, _DISTINCT, _CLEAN_SHARE = 2.0, 24.0, 0.3, 0.2, 0.3, 0.2, 0.9
+_CELL_LENGTH, _ROWS, _ENTRIES, _ENTRY_WORDS, _MEAN_ENTRY, _KEYWORD_WORDS = 32, 3, 4, 9, 4.6, 3.2
+
+
+def _lines(documents: DataFrame) -> DataFrame:
+    """One row per line that is not blank, beside the two lines on either side: (_row, doc_id, x, p1, p2, n1, n2)."""
+    rows = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null")).withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.withColumn("_l", F.filter(F.split("text", "\n"), lambda y: y.rlike(r"\S")))
+    m = F.size("_l")
+    rows = rows.where(m > 0)
+    none = F.array(F.lit(None).cast("string"))
+    first, last = (lambda k: F.slice("_l", 1, F.greatest(m - k, F.lit(0)))), (lambda k: F.slice("_l", k + 1, F.greatest(m - k, F.lit(0))))
+    shifted = {"x": F.col("_l"), "p1": F.concat(none, first(1)), "p2": F.concat(none, none, first(2)), "n1": last(1), "n2": last(2)}
+    return rows.select("_row", "doc_id", F.inline(F.arrays_zip(*[c.alias(k) for k, c in shifted.items()]))).where("x is not null")
+
+
+def line_statistics(lines: DataFrame) -> DataFrame:
+    """``lines`` with n, the length of the line, and kind: list, table, junk, bare (a list if there are enough of them) or NULL."""
+    x, n, nw = F.col("x"), F.col("n"), F.col("nw")
+    count = lambda p: F.regexp_count(x, F.lit(p))
+    without = lambda p: F.length(F.regexp_replace(x, p, ""))
+    df = lines.withColumn("n", F.length(x)).withColumn("w", F.filter(F.split(x, r"\s+"), lambda y: y != "")).withColumn("nw", F.size("w")).withColumn("odd", x.rlike(_ODD))
+    df = df.withColumn("clean", (nw >= 5) & (n > 3 * nw) & (~F.col("odd") | (count(_CLEAN) >= _CLEAN_SHARE * nw)))
+    # junk: the same words or lines again and again, words too short or too long, symbols, broken encoding, code, unsayable words
+    same = ((x == F.col("p1")) & ((x == F.col("p2")) | (x == F.col("n1")))) | ((x == F.col("n1")) & (x == F.col("n2")))
+    again = (nw >= 6) & (F.size(F.array_distinct("w")) <= F.greatest(F.lit(1), F.floor(_DISTINCT * nw)))
+    letters = count(_LATIN)
+    said = [
+        (nw >= 8) & (n + 1 - nw < _SHORT_WORDS * nw),
+        (n > _LONG_WORDS * nw) & x.rlike(r"[A-Za-z0-9+/=_\-]{32}"),
+        without(_SYMBOL) > _SYMBOLS * n,
+        without(_BROKEN) > _BROKEN_SHARE * n,
+        (without(r"[^(){};=\[\]]") > 0.08 * n) & (count(_CODE) >= 2),
+        (letters >= 4) & (count(_UNSAID) > _UNSAID_SHARE * letters),
+    ]
+    ruled = x.contains("-") & x.rlike(_RULE)
+    df = df.withColumn("ruled", ruled).withColumn("junk", F.coalesce(same, F.lit(False)) | again | (~F.col("clean") & F.col("odd") & ~ruled & reduce(or_, said)))
+    # a row of a table: as many cells as a line nearby has, all of them short on average
+    times = lambda y, c: F.length(y) - F.length(F.replace(y, F.lit(c), F.lit("")))
+    kinds_ = [lambda y: times(y, "|"), lambda y: times(y, "\t"), lambda y: times(y, ";") - F.floor(times(y, "; ") / 2), lambda y: times(y, ",") - F.floor(times(y, ", ") / 2)]
+    around = [F.col(c) for c in ("p1", "n1", "p2", "n2")]
+    rows = [(k(x) > 0) & (n <= _CELL_LENGTH * (k(x) + 1)) & reduce(or_, [F.coalesce(k(y) == k(x), F.lit(False)) for y in around]) for k in kinds_]
+    wide = lambda y: F.coalesce(F.trim(y).contains("  ") & y.rlike(_GAP), F.lit(False))
+    rows.append(wide(x) & reduce(or_, [wide(y) for y in around]))
+    df = df.withColumn("table", ~F.col("junk") & (reduce(or_, rows) | F.col("ruled")))
+    mashed = ~F.col("clean") & (letters >= 4) & (count(_UNSAID) + count(_INSIDE) > _UNSAID_SHARE * letters)
+    df = df.withColumn("junk", F.col("junk") | (F.col("odd") & ~F.col("table") & mashed))
+    # an entry of a list: marked or numbered and no sentence, a line of keywords, or bare, short and no sentence
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(x), _MARK, ""), r"\s*\([^()]{1,24}\)\s*$", ""), _NUMBER, "")
+    short = (nw <= _ENTRY_WORDS + 4) & ~bare.rlike(_END)
+    commas = count(", ")
+    keywords = (commas >= 2) & ~F.regexp_replace(x, r"[.,;\s]+$", "").rlike(_END) & (nw <= _KEYWORD_WORDS * (commas + 1)) & ~x.rlike(r"(?:[^\s,]+\s+){8,}[^\s,]+")
+    numbered = x.rlike(_NUMBER) & (nw > 1) & (nw <= _ENTRY_WORDS + 4)
+    entry = short & (nw <= _ENTRY_WORDS) & ~x.rlike("^\\s*[\"“‘']") & ~x.rlike(r"[,:;–—\-]\s*$")
+    kind = F.when(F.col("junk"), "junk").when(F.col("table"), "table").when((short & x.rlike(_MARK)) | keywords | numbered, "list").when(entry, "bare")
+    return df.select("_row", "doc_id", "n", "nw", kind.alias("kind"))
 
 
 def shares(documents: DataFrame) -> DataFrame:
-    """(doc_id, list_share, table_share, junk_share) of every document with a text."""
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = pd.DataFrame([line_shares(x) for x in b["text"]], columns=["list_share", "table_share", "junk_share"], dtype="float64")
-            yield out.assign(doc_id=b["doc_id"].to_numpy())
-
-    rows = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    return spread(rows).mapInPandas(measure, "list_share double, table_share double, junk_share double, doc_id long")
+    """(doc_id, list_share, table_share, junk_share) of every document with a line: shares of the characters of its lines."""
+    lines = line_statistics(_lines(documents))
+    is_ = lambda k: F.coalesce(F.col("kind") == k, F.lit(False))
+    total = lambda k, c: F.sum(F.when(is_(k), F.col(c)).otherwise(0))
+    sums = lines.groupBy("_row").agg(
+        F.first("doc_id").alias("doc_id"), F.sum("n").alias("n"), *[total(k, "n").alias(k) for k in ("list", "table", "junk", "bare")],
+        total("bare", "nw").alias("w"), F.count_if(is_("bare")).alias("b"), F.count_if(is_("table")).alias("r"),
+    )
+    # bare entries and rows count only where there are enough of them, and entries only if they are short on average
+    entries = F.when((F.col("b") >= _ENTRIES) & (F.col("w") <= _MEAN_ENTRY * F.col("b")), F.col("bare")).otherwise(0)
+    rows = F.when(F.col("r") >= _ROWS, F.col("table")).otherwise(0)
+    return sums.select("doc_id", _share(F.col("list") + entries, F.col("n")).alias("list_share"), _share(rows, F.col("n")).alias("table_share"), _share(F.col("junk"), F.col("n")).alias("junk_share"))
 
 
 def kinds(documents: DataFrame) -> DataFrame:
-    """(doc_id, kind) of the documents that are a list, a table or junk; the kind is the rule that failed."""
-    c = F.col
-    kind = F.when(c("list_share") > MAX_KIND_SHARE, "list").when(c("table_share") > MAX_KIND_SHARE, "table").when(c("junk_share") > MAX_KIND_SHARE, "junk")
-    return shares(documents).select("doc_id", kind.alias("kind")).where("kind is not null").distinct()
+    """(doc_id, kind) of the documents that are a list, a table or junk; the kind is the recorded reason."""
+    return failures(shares(documents)).where("reasons <> ''").select("doc_id", F.col("reasons").alias("kind")).distinct()

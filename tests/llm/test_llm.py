@@ -178,13 +178,12 @@ def test_kinds(spark):
         "table": ["name,year,n\nanna,2020,3\nben,,4\ncal,2021,5\n", "a | b | c\n--- | --- | ---\nx | 1 | 2\ny | 3 | 4\nz | 5 | 6", "a   b    c\n12   34   56\n7    8    9\n1    22   3"],
         "junk": ["x7Gh29sKdl02mnBvQz81LpoQ9sjd8Ks02kd9sKd02\n" * 2, "tin tin tin tin tin tin tin tin\n" * 3, "%^&*#@!~~|<>{}[]\\\\//==++\n%%%^^^&&&***", "qgjk wrtp;zxcv, plkj;mnbv sdfg,hjkl trwq;zxbn lkjh", "!function(e,b){var t=725;e[2]&&t.push(n.id('a'))}(window);\n" * 2],
     }
-    for kind, texts in cases.items():
-        for t in texts:
-            found = quality.line_shares(t)
-            assert [k for k, v in zip(("list", "table", "junk"), found) if v > quality.MAX_KIND_SHARE] == ([kind] if kind else []), (kind, t)
     rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in cases.items() for t in ts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
     assert got(quality.kinds(df)) == sorted((i, k) for i, _, k in rows if k)
+    judged = {r.doc_id: r for r in quality.failures(quality.shares(df)).collect()}
+    assert all(judged[i].reasons == k for i, t, k in rows if t) and all(max(r.list_share, r.table_share, r.junk_share) <= 1 for r in judged.values())
+    assert quality.kinds(df.limit(0)).collect() == [] and len(quality.kinds(df.unionByName(df)).collect()) == sum(k != "" for _, _, k in rows)
     stats = {r.doc_id: r for r in quality.failures(quality.statistics(df)).collect()}
     assert stats[0].n_words == 0 and "too_few_words" in stats[0].reasons and stats[1].n_words is None and stats[1].reasons == ""
 
@@ -192,51 +191,64 @@ def test_kinds(spark):
 # --- 2 --------------------------------------------------------------------------------------------------
 
 
-def residue_rows(spark, texts):
-    return spark.createDataFrame([(i, t, "verified", "") for i, t in enumerate(texts)], "story_id long, original_text string, status string, error string")
+def residue_rows(spark, texts, titles=None):
+    rows = [(i, t, titles[i] if titles else f"Title {i}", f"https://kite-{i % 5}.example/{i}", f"kite-{i % 5}.example", "verified", "") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "story_id long, original_text string, title string, url string, source_host string, status string, error string")
+
+
+def prose(seed, n=8):
+    rng = random.Random(seed)
+    parts = [f"{rng.choice('she he they we'.split())} {rng.choice('walked sang slept cooked hid read'.split())} by the {rng.choice('river gate hill shop mill lamp'.split())} at {x} with {rng.choice('anna ben cal dora ed'.split())}" for x in "dawn noon dusk".split()]
+    return "\n\n".join(". ".join(rng.sample(parts, 3)) + f" {seed}x{k}." for k in range(n))
 
 
 def test_residue(spark):
     story = " ".join(["She walked along the river and [in secret] counted the boats until the lamp went out {sighs}."] * 8)
+    poem = "A poem about a kite\nand a string that was longer than the road,\nand the wind that took both of them far over the hill to the sea."
     texts = [
         "404\n\nThe page you asked for could not be found.", "Access denied", "{{ story.title }}\n{{ story.body | safe }}", story, story + "\nDear {READER_NAME}, thank you.", story.replace("river", "<%= place %>"),
-        "The page you wanted could not be found, Ref: 4a5b6c", None, "", "  \n ", story + '\n"Page not found," she read from the screen.', "A short poem about a kite.", "ACCESS DENIED", story.replace("boats", "${storyTitle}"),
+        "The page you wanted could not be found, Ref: 4a5b6c", None, "", "  \n ", story + '\n"Page not found," she read from the screen.', poem, "ACCESS DENIED", story.replace("boats", "${storyTitle}"), story.replace("boats", "XXNAMEXX"),
     ]
-    assert [r[0] for r in got(residue.residue(residue_rows(spark, texts)))] == [0, 1, 2, 4, 5, 6, 12, 13]
+    want = [0, 1, 2, 4, 5, 6, 12, 13, 14]
+    assert [r[0] for r in got(residue.residue(residue_rows(spark, texts)))] == want
+    bare = residue_rows(spark, texts).withColumns({c: F.lit(None).cast("string") for c in ("title", "url", "source_host")})
+    assert [r[0] for r in got(residue.residue(bare.unionByName(bare)))] == want
     assert residue.residue(residue_rows(spark, ["x"]).limit(0)).collect() == []
 
 
-def test_residue_spreads(spark, monkeypatch):
-    """An unknown wording inherits the label of its trusted near-duplicates; a lone one doesn't."""
-    base = "Sorry the service that you called is temporarily unavailable and we could not open the story {}"
-    texts = [base.format("today"), base.format("now"), base.format("tonight"), "Sorry the service that you called is temporarily closed and we could not open the story now", "Nothing like it at all in this text of a short poem"]
-    assert [r[0] for r in got(residue.residue(residue_rows(spark, texts)))] == [0, 1, 2, 3]
-
-
-def test_residue_keeps_trusted(spark):
-    """Four of ten wordings hold a phrase: they stay, and the others are their neighbours."""
-    base = "Sorry dear reader the shelf of this old library {} and the keeper looks for it today please come again {}"
-    texts = [base.format("is temporarily unavailable", x) for x in ("soon", "later", "tonight", "tomorrow")]
-    texts += [base.format("is quite empty", x) for x in ("soon", "later", "tonight", "tomorrow", "then", "here")]
-    assert [r[0] for r in got(residue.residue(residue_rows(spark, texts + ["A short poem about a kite."])))] == list(range(10))
+def test_residue_spreads(spark):
+    """Unknown wordings of more words than a stub: a component under several titles is residue, one reprinted story isn't."""
+    base = "Dear reader the keeper of our old shelf has gone to the fair and locked the door so come again {} when the lamp is lit and the kettle is on"
+    texts = [base.format(x) for x in ("today", "tonight", "tomorrow", "soon")]
+    assert all(len(x.split()) > residue.STUB_WORDS for x in texts)
+    run = lambda titles: [r[0] for r in got(residue.residue(residue_rows(spark, texts, titles), ()))]
+    assert run(None) == [0, 1, 2, 3] and run(["One story"] * 4) == []
+    seeded = [base.format("today") + " this page is temporarily unavailable", base.format("today")]
+    assert [r[0] for r in got(residue.residue(residue_rows(spark, seeded, ["a", "a"]), ("old shelf has gone to the fair",)))] == [0]
 
 
 def test_residue_long(spark):
-    """Filler, dumps and notices above 60 words are cases, inside their menus too; stories that tell of them are not."""
+    """Filler, dumps and notices above the length of a story are cases, inside their menus too; stories that tell of them are not."""
     rng = random.Random(6)
     filler = "\n\n".join(" ".join(rng.choices("river lantern window garden yellow silver carpet".split(), k=30)) for _ in range(3))
     dump = "Traceback (most recent call last):\n" + "\n".join(f'  File "/srv/app/views{i}.py", line {i}, in render_page\n    return self.render(request, template, context, user)' for i in range(9)) + "\nKeyError: 'story'"
-    menu = ["Skip to content"] + [f"Read the terms and privacy notes of our shelf number {i}" for i in range(4)] + ["Subscribe to our reading list by mail every week"] * 2
-    notice = "\n".join([*menu, "The page you asked for could not be found on this server.", "It may have moved to another shelf of the house.", "Copyright Kite Shelf, all rights reserved, no part may be copied"])
-    lines = [" ".join(f"{rng.choice('she he they we'.split())} {rng.choice('walked sang slept cooked'.split())} by the {rng.choice('river gate hill shop'.split())} at {x}." for x in "dawn noon dusk".split()) for _ in range(5)]
-    told = "\n".join([*lines, '"Page not found," Mira read aloud from the broken screen, and all laughed.'])
-    one_line = " ".join(lines) + ' "Page not found," she read.'
-    assert all(len(x.split()) > residue.MAX_MESSAGE_WORDS for x in (filler, dump, notice, told, one_line))
-    assert [r[0] for r in got(residue.residue(residue_rows(spark, [filler, dump, notice, told, one_line])))] == [0, 1, 2]
+    menu = ["Skip to content"] + [f"Read the terms and privacy notes of our shelf {x}" for x in "one two three four".split()] + ["Subscribe to our reading list by mail every week"] * 2
+    notice = "\n".join([*menu, "The page you asked for could not be found on this server.", "It may have moved to another shelf of the house.", "Copyright, all rights reserved, no part may be copied"])
+    stories = ["\n".join([*menu, prose(i), "Copyright, all rights reserved, no part may be copied"]) for i in range(6)]
+    told = prose(50) + '\n"Page not found," Mira read aloud from the broken screen, and all laughed.'
+    assert all(len(x.split()) > residue.STORY_WORDS for x in (filler, dump, notice, told, *stories))
+    assert [r[0] for r in got(residue.residue(residue_rows(spark, [filler, dump, notice, told, *stories])))] == [0, 1, 2]
+
+
+def test_residue_needs_few_phrases(spark):
+    """Without any phrase hardly a row is lost: labels come from counts and components."""
+    stories = table(spark, "/root/testdata/sf0.01", "stories")
+    whole, bare = ({r[0] for r in residue.residue(stories, seeds).collect()} for seeds in (residue.SEEDS, ()))
+    assert len(whole) > 20 and len(bare & whole) >= 0.95 * len(whole)
 
 
 def test_residue_links(spark):
-    """The links against brute force: short edits of short messages."""
+    """The links against brute force: short edits of short messages; the recall is that of the tables."""
     rng = random.Random(4)
     texts = []
     for n, edits in ((8, 1), (10, 1), (16, 2), (20, 3), (30, 5)):
@@ -246,15 +258,30 @@ def test_residue_links(spark):
             for i in rng.sample(range(n), edits):
                 v[i] += "changed"
             texts += [" ".join(w), " ".join(v)]
-    want = [(a, b) for a, b in combinations(range(len(texts)), 2) if residue._similarity(texts[a], texts[b]) >= residue.MIN_SIMILARITY]
-    df = spark.createDataFrame(list(enumerate(texts)), "m long, norm string").withColumns({"trusted": F.lit(True), "short": F.lit(True), "n": F.lit(60)})
-    assert len(want) > 150 and got(residue._links(df)) == want
+    hasher, rows, sets = WordHasher(), [], []
+    for i, t in enumerate(texts):
+        h = np.unique(hasher(residue.normal(t)))
+        sets.append(set(h.tolist()))
+        rows.append((i, len(h), False, bytearray(residue.simhash(residue.mix(h)).tobytes()), bytearray(h.tobytes())))
+    want = {(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= residue.MIN_SIMILARITY * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, "m long, n int, story boolean, fp binary, set binary")
+    found = set(got(residue.links(df)))
+    assert len(want) > 150 and found <= want and len(found) >= 0.97 * len(want)
+    assert residue.miss_probability(0.6) < 0.03 and residue.miss_probability(0.8) < 1e-5
+
+
+def test_residue_bucket_blocks(spark, monkeypatch):
+    monkeypatch.setattr(residue, "MAX_BUCKET", 3)
+    h = np.unique(WordHasher()([f"w{i}" for i in range(20)]))
+    rows = [(i, 20, i > 4, bytearray(residue.simhash(residue.mix(h)).tobytes()), bytearray(h.tobytes())) for i in range(9)]
+    df = spark.createDataFrame(rows, "m long, n int, story boolean, fp binary, set binary")
+    assert got(residue.links(df)) == [(a, b) for a, b in combinations(range(9), 2) if a <= 4]
 
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)]
     df = spark.createDataFrame(chain, "a long, b long")
-    labels = dict(got(residue.components(df, df)))
+    labels = dict(got(residue.components(df)))
     assert {labels[i] for i in range(41)} == {0} and {labels[i] for i in (100, 101, 102)} == {100}
 
 
@@ -359,9 +386,11 @@ def test_language_accuracy(spark):
 
 def test_leaves():
     ls = boilerplate.leaves("<html><head><title>T</title></head><body><nav><li>Home &amp; more</li></nav><div><h1>T</h1>one<br>two <b>bold</b><p>three</div><script>x</script></p>tail")
-    assert [t for _, t, _ in ls] == ["Home & more", "T", "one", "two", "bold", "three", "tail"]
-    assert len({n for n, t, _ in ls if t in ("one", "three", "T")}) == 1
-    assert boilerplate.leaves("") == [] and [t for _, t, _ in boilerplate.leaves("plain <b>text")] == ["plain", "text"]
+    assert [x[1] for x in ls] == ["Home & more", "T", "one", "two", "bold", "three", "tail"]
+    assert len({x[0] for x in ls if x[1] in ("one", "three", "T")}) == 1
+    assert boilerplate.leaves("") == [] and [x[1] for x in boilerplate.leaves("plain <b>text")] == ["plain", "text"]
+    beside = boilerplate.leaves("<body><p>menu</p><div><h1>T</h1><p>one</p></div></body>")
+    assert len({x[2] for x in beside}) == 2 and beside[0][0].startswith("/body/p")
 
 
 def test_boilerplate(spark):
@@ -389,6 +418,17 @@ def test_boilerplate(spark):
     assert boilerplate.boilerplate(s.limit(0), p.limit(0)).collect() == []
 
 
+def test_lines_find_their_page(spark):
+    """Nearly all lines of rows with a page equal a leaf of it, and the tree decides on them."""
+    d = "/root/testdata/sf0.01"
+    found = boilerplate.matched(table(spark, d, "stories"), table(spark, d, "raw_pages")).cache()
+    keys = table(spark, d, "raw_pages").select(boilerplate.page_key().alias("page"))
+    with_page = found.join(keys, "page", "left_semi").agg(F.count(F.lit(1)), F.count("keep")).first()
+    assert with_page[0] > 5000 and with_page[1] >= 0.95 * with_page[0]
+    off = found.where("not keep").count()
+    assert off > 0.5 * boilerplate.boilerplate(table(spark, d, "stories"), table(spark, d, "raw_pages")).count()
+
+
 # --- all of them on the smallest tables -----------------------------------------------------------------
 
 
