@@ -1,22 +1,23 @@
 """Language labels for documents and for the lines of mixed documents.
 
-Method: compression classification. Every language has a raw-content zstandard
-dictionary; a text belongs to the language whose dictionary encodes it in the fewest bytes.
-A narrow margin is rejected: the piece is cut into sentences that decide by themselves;
-what no dictionary shortens goes by its script and, in Latin script, its letter trigrams.
-
-A line that holds several scripts is cut where the script changes; every piece
-is classified by itself, and the line's language is the one of most letters.
-Confidence is the share of its letters, discounted by the narrowness of the margin.
-
-The dictionaries are fitted on at most ``sample_rows`` rows that carry a language
-label (the documented bound). The flag of a story can't serve for that: it is 0 on
-most romanised rows, so it doesn't tell en from te_latn; ``documents.lang`` does. Labels are wrong at times, so the fit first cleans the sample in
-rounds by the odds of its words. Everything else covers all rows and whole
-texts. Each row is independent: no shuffle, no hot group.
+Method: compression classification. Every language has a raw-content zstandard dictionary; a text belongs to the
+language whose dictionary encodes it in the fewest bytes. A piece whose margin is narrow is rejected: it is
+cut into sentences that decide by themselves, and what stays narrow is encoded once more as one
+text, among the languages of its script only. It keeps the smallest encoding there (a tie goes with the row's
+language of that script), but counts as rejected: its confidence is under one half.
+
+A line that holds several scripts is cut where the script changes; every piece is classified by itself, and the
+line's language is the one of most letters. Confidence is the mean over the letters of the line, or row, of
+margin / (margin + MARGIN) where they are of its language and of 0 where they aren't, so it is one half at the margin that
+rejects, and ``rejected`` tells the lines below.
+
+The dictionaries are fitted on about ``sample_rows`` rows of documents that carry a language label, never more (the documented
+bound), of whole texts, and on the lines that recur most over all rows of the stories, which the labelled texts don't have. The flag of a story can't serve for that: it is 0 on most romanised rows, so it doesn't tell en from te_latn;
+``documents.lang`` does. Labels are wrong at times, so the fit first cleans the sample in rounds by the odds of its
+words. Everything else covers all rows and whole texts. Each row is independent: no shuffle, no hot group.
 
 Nulls: a NULL or empty text, or one without a line of ``min_letters`` letters, gets no language. A NULL
-label counts as missing.
+label counts as missing. Without any labelled row every text gets the language of its script.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palmleaf.llm.lines import line_key, numbered_lines
 from palmleaf.llm.words import NOT_LETTER, words
 from palmleaf.session import spread
 
@@ -42,6 +44,10 @@ DICTIONARY_BYTES = 48_000
 ROUNDS = 3
 MARGIN = 0.04
 MIN_LETTERS = 40
+#: Lines that stand in so many rows may enter the dictionaries, the most frequent first; at most so many fit into them.
+MIN_ROWS, RECURRING_LINES = 4, 4_000
+#: Log odds of its trigrams from which a recurring line is clear.
+CLEAR_ODDS = 4.0
 _LEVEL = 3
 
 _TELUGU = re.compile("[ఀ-౿]")
@@ -59,49 +65,51 @@ class Classifier:
     """Sizes of a text under the dictionary of each language."""
 
     def __init__(self, contents: dict):
-        self.names = [x for x in LANGUAGES if x in contents]
-        self.trigrams = _Trigrams(contents.get("trigrams", {}))
-        self.encoders = []
+        self.encoders = {}
         params = zstandard.ZstdCompressionParameters.from_level(_LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
-        for name in self.names:
-            d = zstandard.ZstdCompressionDict(contents[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        for name in LANGUAGES:
+            # a language without a sample has its script's letters only
+            d = zstandard.ZstdCompressionDict(contents.get(name) or _ALPHABET[SCRIPT_OF[name]], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
-            self.encoders.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress)
+            self.encoders[name] = zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress
 
-    def __call__(self, text: str) -> tuple[str, float]:
+    def __call__(self, text: str, names: tuple[str, ...] = LANGUAGES) -> tuple[str, float]:
         """(language, margin): the smallest encoding, and by what share the next one is larger."""
         raw = prepared(text).encode("utf-8", "surrogatepass")
-        sizes = [len(c(raw)) for c in self.encoders]
+        sizes = [len(self.encoders[x](raw)) for x in names]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
-        return self.names[best], (rest - sizes[best]) / max(1, sizes[best])
+        return names[best], (rest - sizes[best]) / max(1, sizes[best])
 
-    def unencoded(self, text: str) -> str:
-        """The language of what no dictionary shortens: by its script, in Latin script by its trigrams."""
-        script = _script(text)
-        rivals = [x for x in self.trigrams.tables if SCRIPT_OF[x] == script]
-        return max(rivals, key=lambda x: self.trigrams(x, text)) if rivals else "?" + script
-
-    def line(self, text: str) -> dict[str, float]:
-        """Letters of each language in a line; ``?script`` holds those that no language of it takes."""
-        out: dict[str, float] = {}
+    def line(self, text: str) -> list[tuple[str, float, float]]:
+        """(language or ``?script`` for a tie, letters, margin) of the pieces of a line."""
+        out, narrow = [], {}
         pieces = _PIECE.findall(text) or [text]
-        if len(pieces) == 1:
-            pieces = [text]
-        for piece in pieces:
+        for piece in pieces if len(pieces) > 1 else [text]:
             lang, margin = self(piece)
             if margin >= MARGIN:
-                out[lang] = out.get(lang, 0) + n_letters(piece)
+                out.append((lang, n_letters(piece), margin))
                 continue
             for part in _SENTENCES.split(piece):
                 n = n_letters(part)
                 if n:
                     lang, margin = self(part)
-                    key = lang if margin > 0 else self.unencoded(part)
-                    out[key] = out.get(key, 0) + n
+                    if margin >= MARGIN:
+                        out.append((lang, n, margin))
+                    else:
+                        narrow.setdefault(_script(part), []).append(part)
+        for script, rest in narrow.items():
+            rivals = tuple(x for x in LANGUAGES if SCRIPT_OF[x] == script)
+            whole = " ".join(rest)
+            lang, margin = self(whole, rivals) if len(rivals) > 1 else (rivals[0], MARGIN / 2)
+            out.append((lang if margin > 0 else "?" + script, n_letters(whole), min(margin, 0.99 * MARGIN)))
         return out
 
 
+#: The letters of each script, for languages without a sample.
+_ALPHABET = {"latin": bytes(range(97, 123)), "telugu": "".join(map(chr, range(0x0C05, 0x0C4E))).encode(), "devanagari": "".join(map(chr, range(0x0904, 0x094E))).encode()}
+
+
 def _script(text: str) -> str:
     n = len(NOT_LETTER.sub("", text))
     te, hi = len(_TELUGU.findall(text)), len(_DEVANAGARI.findall(text))
@@ -109,64 +117,66 @@ def _script(text: str) -> str:
 
 
 def fit(documents: DataFrame, stories: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES, rounds: int = ROUNDS) -> dict:
-    """The dictionary of each language, from at most ``sample_rows`` labelled rows (lang, text)
-    and as many rows of the stories, whose site lines the labelled texts don't have.
+    """The dictionary of each language, from at most ``sample_rows`` labelled rows (doc_id, lang, text), whole texts, and the lines that recur most over all ``stories``.
 
-    The rows of the smallest hashes are taken, so the sample is the same at every run; of a text in the
-    sample at most 20,000 characters are looked at. Labelling itself always reads whole texts.
+    The labels are counted first; then one scan takes the rows of the smallest hashes, as many of each language, so the
+    sample is the same at every run.
     """
-    labelled = documents.where(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 200)).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    labelled = documents.where(F.col("lang").isin(*LANGUAGES) & F.col("doc_id").isNotNull())
     each = max(1, sample_rows // len(LANGUAGES))
-    ids = [r[0] for name in LANGUAGES for r in labelled.where(F.col("lang") == name).orderBy("_h", "doc_id").limit(each).select("doc_id").collect()]
-    rows = documents.where(F.col("doc_id").isin(ids) & F.col("lang").isin(*LANGUAGES)).select("doc_id", "lang", F.left("text", F.lit(20_000)).alias("text")).orderBy("doc_id").limit(sample_rows).collect() if ids else []
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # at most one row per language
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    bound = F.lit(0)
+    for name, n in sorted(sizes.items()):
+        bound = F.when(F.col("lang") == name, F.lit(int(min(1.0, each / n) * (1 << 40)))).otherwise(bound)
+    rows = labelled.where((place < bound) & F.col("text").isNotNull()).select("lang", place.alias("_p"), "doc_id", "text").collect() if sizes else []
     lines: list[tuple[str, str]] = []
-    for _, lang, text in rows:
-        for line in text.split("\n"):
-            if n_letters(line) >= MIN_LETTERS:
-                script = _script(line)
-                label = {"telugu": "te", "devanagari": "hi"}.get(script, lang if SCRIPT_OF[lang] == "latin" else None)
-                if label:
-                    lines.append((label, line.strip()))
-    few = stories.where("original_text is not null and original_text <> ''").select("story_id", F.xxhash64("story_id").alias("_h"))
-    some = [r[0] for r in few.orderBy("_h", "story_id").limit(sample_rows).select("story_id").collect()]
-    texts = [r[0] for r in stories.where(F.col("story_id").isin(some)).select("story_id", F.left("original_text", F.lit(20_000)).alias("t")).orderBy("story_id").limit(sample_rows).select("t").collect()] if some else []
-    return dictionaries(lines, texts, dictionary_bytes, rounds)
-
-
-def dictionaries(lines: list[tuple[str, str]], texts: list[str], dictionary_bytes: int = DICTIONARY_BYTES, rounds: int = ROUNDS) -> dict:
-    """Half of each dictionary from the labelled lines, half from lines of unlabelled texts
-    that the letters of the labelled ones assign clearly."""
+    for name in LANGUAGES:
+        for lang, _p, _id, text in sorted((r for r in rows if r[0] == name), key=lambda r: (r[1], r[2]))[:each]:
+            for line in text.split("\n"):
+                if n_letters(line) >= MIN_LETTERS:
+                    script = _script(line)
+                    label = {"telugu": "te", "devanagari": "hi"}.get(script, lang if SCRIPT_OF[lang] == "latin" else None)
+                    if label:
+                        lines.append((label, line.strip()))
+    return dictionaries(lines, recurring_lines(stories), dictionary_bytes, rounds)
+
+
+def recurring_lines(stories: DataFrame, most: int = RECURRING_LINES) -> list[str]:
+    """The lines that recur most over all rows of the stories, at least MIN_ROWS times, letters alone compared.
+
+    Every row counts; ``most`` is how many can have a place in the dictionaries at all. Hashes are counted first, so no text is shuffled.
+    """
+    rows = stories.where("story_id is not null and original_text is not null and original_text <> ''")
+    lines = numbered_lines(rows, "original_text", "story_id").select("line", line_key(F.col("line")).alias("key")).where("key <> ''").select("line", F.xxhash64("key").alias("h"))
+    top = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS).orderBy(F.desc("n"), "h").limit(most)
+    top = lines.sparkSession.createDataFrame([(r[0], r[1]) for r in top.collect()], "h long, n long")  # at most ``most`` rows of two numbers
+    found = lines.join(F.broadcast(top), "h").groupBy("h").agg(F.max("n").alias("n"), F.min("line").alias("line")).collect()
+    return [r[2] for r in sorted(found, key=lambda r: (-r[1], r[0]))]
+
+
+def dictionaries(lines: list[tuple[str, str]], recurring: list[str], dictionary_bytes: int = DICTIONARY_BYTES, rounds: int = ROUNDS) -> dict:
+    """Half of each dictionary from the labelled lines, half from recurring lines that the letters of the labelled ones assign clearly."""
     clean = _cleaned(lines, rounds)
     half = dictionary_bytes // 2
-    first, more = _contents(clean, half), []
+    first = _contents(clean, half)
     rivals = [x for x in first if SCRIPT_OF[x] == "latin"]
     odds = _trigram_odds(clean, rivals)
-    for line in dict.fromkeys(prepared(x) for t in texts for x in t.split("\n")):
-        if not MIN_LETTERS // 2 <= n_letters(line) <= 3 * MIN_LETTERS or _script(line) != "latin" or len(rivals) < 2:
-            continue
-        scores = sorted(((odds(x, line), x) for x in rivals), reverse=True)
-        if scores[0][0] - scores[1][0] > 4.0:
-            more.append((scores[0][1], line))
-    # greedy coverage: a line is taken for the recurring word pairs that no line before it has
-    pairs = [(label, line, [*zip(ws, ws[1:])]) for label, line in more for ws in [words(line)]]
-    often: dict[tuple, int] = {}
-    for label, _line, ps in pairs:
-        for x in set(ps):
-            often[label, x] = often.get((label, x), 0) + 1
-    taken, seen = [], set()
-    for label, line, ps in sorted(pairs, key=lambda x: (-sum(often[x[0], y] for y in x[2]) / (len(x[2]) + 1), x[1])):
-        new = {(label, x) for x in ps if often[label, x] >= 3} - seen
-        if len(new) >= 2:
-            seen |= new
-            taken.append((label, line))
-    second = _contents(taken, half)
-    out: dict = {x: second.get(x, b"") + b"\n" + first[x] for x in first}
-    out["trigrams"] = odds.tables
-    return out
+    more = []
+    for line in dict.fromkeys(map(prepared, recurring)):
+        script = _script(line)
+        if script != "latin":
+            more.append(({"telugu": "te", "devanagari": "hi"}[script], line))
+        elif rivals:
+            scores = sorted(((odds(x, line), x) for x in rivals), reverse=True)
+            if len(scores) < 2 or scores[0][0] - scores[1][0] > CLEAR_ODDS:
+                more.append((scores[0][1], line))
+    second = _contents(more, half)
+    return {x: second.get(x, b"") + b"\n" + first.get(x, b"") for x in {**first, **second}}
 
 
 class _Trigrams:
-    """Log likelihood of a line's letter trigrams in a language; for what no dictionary encodes."""
+    """Log likelihood of a line's letter trigrams in a language; for the fit only."""
 
     def __init__(self, tables: dict[str, dict[str, float]]):
         self.tables = tables
@@ -250,33 +260,34 @@ def label_text(text: str, classify: Classifier, min_letters: int = MIN_LETTERS)
         number += 1
         if len(line) < min_letters or n_letters(line) < min_letters:
             continue
-        letters = classify.line(line)
-        counted.append((number, letters))
-        for k, v in letters.items():
-            if k[0] != "?":
-                clear[k] = clear.get(k, 0.0) + v
+        found = classify.line(line)
+        counted.append((number, found))
+        for lang, n, _ in found:
+            if lang[0] != "?":
+                clear[lang] = clear.get(lang, 0) + n
     if not counted:
         return None
-    out, sums = [], {}
-    for no, letters in counted:
-        doubt = 0.0
-        for k in [k for k in letters if k[0] == "?"]:
-            n = letters.pop(k)  # rejected letters go with the row's language of their script
-            same = [x for x in LANGUAGES if SCRIPT_OF[x] == k[1:]]
-            lang = max(same, key=lambda x: (clear.get(x, 0.0), -same.index(x)))
-            letters[lang] = letters.get(lang, 0.0) + n
-            doubt += n
-        lang = max(letters, key=lambda k: (letters[k], k))
-        total = sum(letters.values())
-        out.append((no, lang, round(max(0.0, letters[lang] - doubt / 2) / total, 4)))
-        for k, v in letters.items():
-            sums[k] = sums.get(k, 0.0) + v
-    lang = max(sums, key=lambda k: (sums[k], k))
-    return lang, round(sums[lang] / max(1.0, sum(sums.values())), 4), out
+    out, all_, sure = [], {}, {}
+    for no, found in counted:
+        sums: dict[str, int] = {}
+        weight: dict[str, float] = {}
+        for lang, n, margin in found:
+            if lang[0] == "?":
+                same = [x for x in LANGUAGES if SCRIPT_OF[x] == lang[1:]]
+                lang = max(same, key=lambda x: (clear.get(x, 0), -same.index(x)))
+            sums[lang] = sums.get(lang, 0) + n
+            weight[lang] = weight.get(lang, 0.0) + n * margin / (margin + MARGIN)
+        lang = max(sums, key=lambda k: (sums[k], k))
+        out.append((no, lang, round(weight[lang] / max(1, sum(sums.values())), 4)))
+        for k, v in sums.items():
+            all_[k] = all_.get(k, 0) + v
+            sure[k] = sure.get(k, 0.0) + weight[k]
+    lang = max(all_, key=lambda k: (all_[k], k))
+    return lang, round(sure[lang] / max(1, sum(all_.values())), 4), out
 
 
 def languages(stories: DataFrame, contents: dict, min_letters: int = MIN_LETTERS) -> DataFrame:
-    """(story_id, telugu, line_no, lang, confidence): line_no 0 is the row, the others its counted lines."""
+    """(story_id, telugu, line_no, lang, confidence, rejected): line_no 0 is the row, the others its counted lines."""
     shared = stories.sparkSession.sparkContext.broadcast(contents)  # at most 4 x dictionary_bytes
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,7 +306,7 @@ def languages(stories: DataFrame, contents: dict, min_letters: int = MIN_LETTERS
             yield out
 
     rows = stories.select("story_id", F.col("telugu").cast("long").alias("telugu"), "original_text").where("story_id is not null and original_text is not null and original_text <> ''")
-    return spread(rows).mapInPandas(label, "story_id long, telugu long, line_no long, lang string, confidence double")
+    return spread(rows).mapInPandas(label, "story_id long, telugu long, line_no long, lang string, confidence double").withColumn("rejected", F.col("confidence") < 0.5)
 
 
 def relabel(labelled: DataFrame) -> DataFrame:

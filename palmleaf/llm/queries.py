@@ -10,8 +10,16 @@ from palmleaf.session import stage, table
 
 
 def _tracking(spark: SparkSession, d: str) -> list[str]:
-    """The project's tracking fields: a fixed list of settings, 21 names."""
-    return sorted(r[0].lower() for r in table(spark, d, "tracking_keys").where("key_name is not null").limit(1000).collect())
+    """The project's tracking fields: a short list of settings."""
+    return sorted(r[0].lower() for r in _settings(table(spark, d, "tracking_keys").select("key_name").where("key_name is not null")))
+
+
+def _settings(df: DataFrame, most: int = 10_000) -> list:
+    """Rows of a table of settings; one of more than ``most`` rows is none and raises."""
+    rows = df.distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of settings has at most {most} rows")
+    return rows
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +43,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _languages(spark, d).where("line_no = 0").select("story_id", "lang", "confidence")
+    return _languages(spark, d).where("line_no = 0").select("story_id", "lang", "confidence", "rejected")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +77,7 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def _packs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sizes = table(spark, d, "pack_sizes").where("pack_name is not null and capacity_tokens > 0").distinct()
-    listed = [(r[0], r[1]) for r in sizes.orderBy("pack_name").limit(1000).collect()]
+    listed = sorted((r[0], r[1]) for r in _settings(sizes.select("pack_name", "capacity_tokens")))
     return packing.pack(packing.token_counts(table(spark, d, "documents")), listed), sizes
 
 

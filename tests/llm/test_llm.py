@@ -372,6 +372,18 @@ def test_languages(spark):
     assert [x for x in out if x[0] != 5] == [(2, 0, "te"), (3, 0, "en")] and {x[1:] for x in out if x[0] == 5 and x[1]} == {(1, "en"), (2, "te")}
 
 
+def test_language_rejects_narrow_margins(spark):
+    """No confidence is certain; what no dictionary knows is rejected, and a language without a sample keeps its script."""
+    docs, stories = table(spark, DIR, "documents"), table(spark, DIR, "stories")
+    c = language.Classifier(language.fit(docs, stories))
+    known = language.label_text("The tailor forgot the kettle on the ferry deck, and nobody asked why she had sold it.", c)
+    strange = language.label_text("Zqxv wplkt mnbvr zzkqj xvwpl ktmnb vrzzk qjxvw plktm nbvrz zkqjx vwplk tmnb", c)
+    assert 0.5 < known[1] < 1 and strange[1] < 0.5
+    empty = language.Classifier({})
+    assert language.label_text("పెద్ద కాఫీ గురించి వేబజో పొద్దున్నే గుడిముందు భయంగా అడిగారు.", empty)[0] == "te"
+    assert language.fit(docs.limit(0), stories.limit(0)) == {}
+
+
 def test_language_accuracy(spark):
     """Held-out labelled documents: nearly all clearly labelled lines agree with their document."""
     docs, stories = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "stories")
@@ -381,6 +393,11 @@ def test_language_accuracy(spark):
     assert ok >= 0.85 * len(held)  # some labels are wrong, some texts no prose
 
 
+def test_recurring_lines_cover_all_rows(spark):
+    rows = [(i, f"Line of its own {'abcdefghij'[i % 10]}{i // 10}\nShare this, friends!\n\nSHARE THIS  friends {i}") for i in range(5)] + [(9, None), (10, "")]
+    assert language.recurring_lines(spark.createDataFrame(rows, "story_id long, original_text string")) == ["SHARE THIS  friends 0"]
+
+
 # --- 1 --------------------------------------------------------------------------------------------------
 
 
