@@ -91,7 +91,8 @@ def failures(stats: DataFrame) -> DataFrame:
 _CLEAN = r"(?<!\S)[\"'“‘(]?[A-Za-z\u0900-\u0dff\u200c\u200d]+(?:['’\-][A-Za-z]+)*[.,;:!?\"'”’)…।]*(?!\S)"
 _SYMBOL = r"[\w\s.,;:!?'\"“”‘’()\-–—…।\p{L}\p{M}\u200c\u200d]"
 _BROKEN = r"[^\u0080-\u00ffŒœŠšŸŽžƒˆ˜†‡•€™\ufffd]"
-_ODD = r"[^A-Za-z\u0900-\u0dff\s.,:!?'\"“”‘’()\-–—…।\u200c\u200d]|[A-Za-z],[A-Za-z]|(?i:[bcdfghjklmnpqrstvwxz]{5})|\b(?i:[bcdfghjklmnpqrstvwxz]{2,})\b"
+_ODD = r"[#-&*+/0-9;-@\[-`{-\u08ff\u0e00-\u200b\u200e-\u2012\u2015-\u2017\u201a\u201b\u201e-\u2025\u2027-\uffff]"
+_CLUSTER = r"[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{5}|\b[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{2,4}\b"
 _CODE = r"function\s*\w*\s*\(|\bvar \w+\s*=|=>|\)\s*;|;\s*$|\{\s*$|^\s*\}|&&|\|\||\w\.\w+\("
 _LATIN = r"[a-zA-Z]+"
 _UNSAID = r"(?i)\b[a-z]*[bcdfghjklmnpqrstvwxz]{5}[a-z]*|\b[bcdfghjklmnpqrstvwxz]{2,}\b"
@@ -123,8 +124,11 @@ def line_statistics(lines: DataFrame) -> DataFrame:
     """``lines`` with n, the length of the line, and kind: list, table, junk, bare (a list if there are enough of them) or NULL."""
     x, n, nw = F.col("x"), F.col("n"), F.col("nw")
     count = lambda p: F.regexp_count(x, F.lit(p))
+    times = lambda y, c: F.length(y) - F.length(F.replace(y, F.lit(c), F.lit("")))
     without = lambda p: F.length(F.regexp_replace(x, p, ""))
-    df = lines.withColumn("n", F.length(x)).withColumn("w", F.filter(F.split(x, r"\s+"), lambda y: y != "")).withColumn("nw", F.size("w")).withColumn("odd", x.rlike(_ODD))
+    # cheap tests stand first in every condition: what follows them runs on few lines only
+    df = lines.withColumn("n", F.length(x)).withColumn("w", F.split(F.btrim(x, F.lit(" \t\r\f\x0b")), r"\s+")).withColumn("nw", F.size("w"))
+    df = df.withColumn("odd", x.rlike(_ODD) | (x.contains(",") & x.rlike("[A-Za-z],[A-Za-z]")) | x.rlike(_CLUSTER))
     df = df.withColumn("clean", (nw >= 5) & (n > 3 * nw) & (~F.col("odd") | (count(_CLEAN) >= _CLEAN_SHARE * nw)))
     # junk: the same words or lines again and again, words too short or too long, symbols, broken encoding, code, unsayable words
     same = ((x == F.col("p1")) & ((x == F.col("p2")) | (x == F.col("n1")))) | ((x == F.col("n1")) & (x == F.col("n2")))
@@ -135,29 +139,30 @@ def line_statistics(lines: DataFrame) -> DataFrame:
         (n > _LONG_WORDS * nw) & x.rlike(r"[A-Za-z0-9+/=_\-]{32}"),
         without(_SYMBOL) > _SYMBOLS * n,
         without(_BROKEN) > _BROKEN_SHARE * n,
-        (without(r"[^(){};=\[\]]") > 0.08 * n) & (count(_CODE) >= 2),
-        (letters >= 4) & (count(_UNSAID) > _UNSAID_SHARE * letters),
+        (x.contains("(") | x.contains("{")) & (without(r"[^(){};=\[\]]") > 0.08 * n) & (count(_CODE) >= 2),
+        x.rlike(_CLUSTER) & (letters >= 4) & (count(_UNSAID) > _UNSAID_SHARE * letters),
     ]
-    ruled = x.contains("-") & x.rlike(_RULE)
-    df = df.withColumn("ruled", ruled).withColumn("junk", F.coalesce(same, F.lit(False)) | again | (~F.col("clean") & F.col("odd") & ~ruled & reduce(or_, said)))
+    ruled = x.contains("-") & ~x.rlike(r"[\p{L}\p{N}]") & x.rlike(_RULE)
+    df = df.withColumn("ruled", ruled).withColumn("junk", F.coalesce(same, F.lit(False)) | again | (F.col("odd") & ~F.col("clean") & ~F.col("ruled") & reduce(or_, said)))
     # a row of a table: as many cells as a line nearby has, all of them short on average
-    times = lambda y, c: F.length(y) - F.length(F.replace(y, F.lit(c), F.lit("")))
-    kinds_ = [lambda y: times(y, "|"), lambda y: times(y, "\t"), lambda y: times(y, ";") - F.floor(times(y, "; ") / 2), lambda y: times(y, ",") - F.floor(times(y, ", ") / 2)]
+    signs = [("|", None), ("\t", None), (";", "; "), (",", ", ")]
+    cells = lambda y, c, off: times(y, c) - (F.floor(times(y, off) / 2) if off else 0)
     around = [F.col(c) for c in ("p1", "n1", "p2", "n2")]
-    rows = [(k(x) > 0) & (n <= _CELL_LENGTH * (k(x) + 1)) & reduce(or_, [F.coalesce(k(y) == k(x), F.lit(False)) for y in around]) for k in kinds_]
+    rows = [x.contains(c) & (cells(x, c, off) > 0) & (n <= _CELL_LENGTH * (cells(x, c, off) + 1)) & reduce(or_, [F.coalesce(y.contains(c) & (cells(y, c, off) == cells(x, c, off)), F.lit(False)) for y in around]) for c, off in signs]
     wide = lambda y: F.coalesce(F.trim(y).contains("  ") & y.rlike(_GAP), F.lit(False))
     rows.append(wide(x) & reduce(or_, [wide(y) for y in around]))
     df = df.withColumn("table", ~F.col("junk") & (reduce(or_, rows) | F.col("ruled")))
-    mashed = ~F.col("clean") & (letters >= 4) & (count(_UNSAID) + count(_INSIDE) > _UNSAID_SHARE * letters)
-    df = df.withColumn("junk", F.col("junk") | (F.col("odd") & ~F.col("table") & mashed))
+    mashed = (letters >= 4) & (count(_UNSAID) + count(_INSIDE) > _UNSAID_SHARE * letters)
+    df = df.withColumn("junk", F.col("junk") | (F.col("odd") & ~F.col("clean") & ~F.col("table") & mashed))
     # an entry of a list: marked or numbered and no sentence, a line of keywords, or bare, short and no sentence
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(x), _MARK, ""), r"\s*\([^()]{1,24}\)\s*$", ""), _NUMBER, "")
-    short = (nw <= _ENTRY_WORDS + 4) & ~bare.rlike(_END)
-    commas = count(", ")
-    keywords = (commas >= 2) & ~F.regexp_replace(x, r"[.,;\s]+$", "").rlike(_END) & (nw <= _KEYWORD_WORDS * (commas + 1)) & ~x.rlike(r"(?:[^\s,]+\s+){8,}[^\s,]+")
-    numbered = x.rlike(_NUMBER) & (nw > 1) & (nw <= _ENTRY_WORDS + 4)
-    entry = short & (nw <= _ENTRY_WORDS) & ~x.rlike("^\\s*[\"“‘']") & ~x.rlike(r"[,:;–—\-]\s*$")
-    kind = F.when(F.col("junk"), "junk").when(F.col("table"), "table").when((short & x.rlike(_MARK)) | keywords | numbered, "list").when(entry, "bare")
+    few = nw <= _ENTRY_WORDS + 4
+    bare = F.when(few, F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(x), _MARK, ""), r"\s*\([^()]{1,24}\)\s*$", ""), _NUMBER, ""))
+    df = df.withColumn("short", few & ~bare.rlike(_END))
+    commas = F.floor(times(x, ", ") / 2)
+    keywords = (commas >= 2) & (nw <= _KEYWORD_WORDS * (commas + 1)) & ~F.regexp_replace(x, r"[.,;\s]+$", "").rlike(_END) & ~x.rlike(r"(?:[^\s,]++\s++){8}[^\s,]")
+    numbered = few & (nw > 1) & x.rlike(_NUMBER)
+    entry = (nw <= _ENTRY_WORDS) & F.col("short") & ~x.rlike("^\\s*[\"“‘']") & ~x.rlike(r"[,:;–—\-]\s*$")
+    kind = F.when(F.col("junk"), "junk").when(F.col("table"), "table").when((F.col("short") & x.rlike(_MARK)) | keywords | numbered, "list").when(entry, "bare")
     return df.select("_row", "doc_id", "n", "nw", kind.alias("kind"))
 
 
