@@ -12,9 +12,9 @@ words hit it. A passage shorter than that has a mask of its own length. The tole
 stretches have a mask of ones as long as the run that every placement of the
 substitutions leaves (``tolerant_span``: 4 words at 80 % of 20), so none is missed.
 
-Scale: the dictionary is the stated query set. It is cut into blocks of at most
-``block_items`` items; each block is broadcast and makes one pass over the
-documents, so its size is bounded whatever the number of items is. Documents are
+Scale: the dictionary is the stated query set. It is cut into blocks of about ``block_words`` words of
+passages (a passage is never cut); each block is broadcast as hashes, 8 bytes a word, and makes one pass over the
+documents, so its size is bounded by words whatever the number and length of items is. Documents are
 never shuffled. A hot document or item needs no group.
 
 Nulls: a NULL or wordless text or passage leaks nothing. Repeated words, ties
@@ -36,7 +36,7 @@ from palmleaf.session import spread
 #: Ones are compared, zeros ignored.
 MASK = "110110101111"
 MASK_SPAN = 12
-BLOCK_ITEMS = 20_000
+BLOCK_WORDS = 4_000_000
 
 
 def _mask_of(n: int) -> str:
@@ -130,7 +130,7 @@ def _tolerant(doc: np.ndarray, item: np.ndarray, p: int, q: int, share: float, l
     return int((end - 1 - np.arange(len(s))).max(initial=0))
 
 
-def leaks(documents: DataFrame, items: DataFrame, min_run: int = 12, tolerant_share: float | None = None, tolerant_words: int = 20, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, min_run: int = 12, tolerant_share: float | None = None, tolerant_words: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents that contain passages of ``items``.
 
     Without ``tolerant_share``: (doc_id, item_id) where the document holds at
@@ -142,19 +142,19 @@ def leaks(documents: DataFrame, items: DataFrame, min_run: int = 12, tolerant_sh
     if min_run < MASK_SPAN:
         raise ValueError(f"min_run must be at least {MASK_SPAN}, the span of the mask")
     spark = documents.sparkSession
-    n_items = items.count()
-    blocks = max(1, -(-n_items // block_items))
+    sized = items.where("item_id is not null and passage is not null")
+    n_words = sized.agg(F.sum(F.size(F.split("passage", r"\s+")))).first()[0] or 0
+    blocks = max(1, -(-n_words // block_words))
     schema = "doc_id long, item_id long" + (", n_words long" if tolerant_share else "")
     out = None
     for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        known = [(int(r[0]), words(r[1])) for r in part.select("item_id", "passage").where("item_id is not null and passage is not null").collect()]
-        known = [(i, w) for i, w in known if w]
-        shared = spark.sparkContext.broadcast(known)
+        part = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        known = [(int(r[0]), WordHasher()(words(r[1]))) for r in part.select("item_id", "passage").toLocalIterator()]
+        shared = spark.sparkContext.broadcast([(i, h) for i, h in known if len(h)])
 
         def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hasher = WordHasher()
-            rows = [(i, hasher(w)) for i, w in shared.value]
+            rows = shared.value
             by_id = [h for _, h in rows]
             ids = [i for i, _ in rows]
             at = list(enumerate(by_id))

@@ -13,7 +13,7 @@ Shards: one vantage-point tree over all fingerprints prunes nothing at this radi
 (in high dimension nearly all distances lie within it of each other; see the README for
 figures). The collection is therefore first cut into overlapping shards by min-hash
 bands: every text stands in BANDS shards, and two texts at similarity s share none of them with
-probability (1 - s^ROWS)^BANDS, 6e-5 at 0.6 and 4e-12 at 0.75. Within each shard a vantage-point
+probability (1 - s^ROWS)^BANDS, 2e-5 at 0.6 and 3e-11 at 0.75. Within each shard a vantage-point
 tree partitions the fingerprints by Hamming distance, and every text queries it with its own
 radius, following both branches only where its ball overlaps the boundary. What the tree returns
 is verified exactly on the full sets.
@@ -40,10 +40,12 @@ from pyspark.sql import functions as F
 from palmleaf.llm.words import WordHasher, mix, odd_multipliers, shingles, words
 from palmleaf.session import spread
 
-BANDS, ROWS = 70, 4
+BANDS, ROWS = 44, 3
 FP_BITS = 512
 MAX_SHARD = 512
-LEAF = 16
+LEAF = 4
+#: Rows of one class in a block.
+CLASS_BLOCK = 1_000
 _FP_WORDS = FP_BITS // 64
 
 
@@ -265,12 +267,23 @@ def pairs(stories: DataFrame, threshold: float = 0.6, shingle: int = 3, min_word
     within = members.join(many, "rep", "left_semi").join(facts, "story_id")
     side = lambda df, x: df.select(*[F.col(c).alias(c + x) for c in df.columns])
     one = side(kept, "_1").join(links, F.col("rep_1") == F.col("a")).join(side(kept, "_2"), F.col("rep_2") == F.col("b"))
-    two = side(within, "_1").join(side(within, "_2"), (F.col("rep_1") == F.col("rep_2")) & (F.col("story_id_1") < F.col("story_id_2")))
+    two = _within(within, side)
     differ = (F.col("_nu_1") | F.col("_nu_2") | (F.col("_u_1") != F.col("_u_2"))) & F.coalesce(F.col("_h_1") != F.col("_h_2"), F.lit(True))
     cols = [F.least("story_id_1", "story_id_2").alias("story_id_a"), F.greatest("story_id_1", "story_id_2").alias("story_id_b")]
     return one.where(differ).select(*cols).unionByName(two.where(differ).select(*cols)).distinct()
 
 
+def _within(rows: DataFrame, side) -> DataFrame:
+    """All pairs of rows of one class, whose number is that of the result. A class is cut into blocks of
+    CLASS_BLOCK rows, and every two blocks meet under a key of their own, so no class is one task."""
+    n = rows.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / CLASS_BLOCK).cast("int").alias("_s"))
+    cut = rows.join(n, "rep").withColumn("_b", F.pmod(F.xxhash64("story_id"), F.col("_s")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_s") - 1))
+    one = side(cut.drop("_s"), "_1").join(n.withColumnRenamed("rep", "rep_1"), "rep_1").withColumn("_o", every).drop("_s")
+    two = side(cut.drop("_s"), "_2").join(n.withColumnRenamed("rep", "rep_2"), "rep_2").withColumn("_o", every).drop("_s")
+    return one.withColumnRenamed("_o", "_j").join(two.withColumnRenamed("_o", "_i"), (F.col("rep_1") == F.col("rep_2")) & (F.col("_b_1") == F.col("_i")) & (F.col("_b_2") == F.col("_j")) & (F.col("story_id_1") < F.col("story_id_2")))
+
+
 def groups(stories: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 1) -> DataFrame:
     """(story_id, group_id, n_links): one row per row with an id, the smallest id of its connected
     component of near-duplicates, and the number of different texts linked to its own.

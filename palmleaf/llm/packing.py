@@ -22,9 +22,12 @@ from __future__ import annotations
 import base64
 import bisect
 import re
+from collections import deque
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,20 +70,23 @@ class TokenCounter:
         return total
 
 
-def default_tokenizer() -> tuple[str, str]:
-    """(vocabulary file, pattern) of the installed public tokenizer package."""
-    import public_tokenizers
+#: The vocabulary file and the pattern of the public 50k byte-level BPE.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
+def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """(doc_id, n_tokens) of every document with a text.
 
-def token_counts(documents: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens) of every document with a text."""
-    if vocabulary is None or pattern is None:
-        vocabulary, pattern = default_tokenizer()
+    ``vocabulary`` is a rank file on the driver; Spark sends it to the workers.
+    """
+    if not Path(vocabulary).is_file():
+        raise FileNotFoundError(f"no vocabulary file at {vocabulary}; give the path of a rank file")
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = Path(vocabulary).name
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = TokenCounter(vocabulary, pattern)
+        counter = TokenCounter(SparkFiles.get(name), pattern)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [counter(t) for t in b["text"]]})
 
@@ -132,20 +138,22 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[tuple[int, int,
     items.sort(key=lambda x: (-x[0], x[1]))
     large = [x for x in items if 3 * x[0] > capacity]
     # the longest document takes the longest partner that still fits beside it
-    waiting = _Gaps()
+    waiting: dict[int, deque[int]] = {}
     for k, (n, _) in enumerate(large):
-        waiting.add(n, k)
-    used = [False] * len(large)
-    for k, (n, i) in enumerate(large):
-        if used[k]:
+        waiting.setdefault(n, deque()).append(k)
+    sizes = sorted(waiting)
+    for n, i in large:
+        # longest first, so every document that still waits stands first among those of its length
+        if not waiting.get(n) or large[waiting[n][0]][1] != i:
             continue
-        _remove(waiting, n, k)
-        used[k] = True
+        waiting[n].popleft()
         out[i].append((packs, n, len(out[i])))
-        mate = _longest_up_to(waiting, capacity - n)
-        if mate is not None:
-            used[mate] = True
-            m, j = large[mate]
+        at = bisect.bisect_right(sizes, capacity - n) - 1
+        while at >= 0 and not waiting[sizes[at]]:
+            del sizes[at]
+            at -= 1
+        if at >= 0:
+            m, j = large[waiting[sizes[at]].popleft()]
             out[j].append((packs, m, len(out[j])))
             n += m
         gaps.add(capacity - n, packs)
@@ -159,24 +167,6 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[tuple[int, int,
     return out
 
 
-def _remove(gaps: _Gaps, room: int, k: int) -> None:
-    gaps.packs[room].remove(k)
-    if not gaps.packs[room]:
-        del gaps.packs[room]
-        gaps.rooms.remove(room)
-
-
-def _longest_up_to(gaps: _Gaps, room: int) -> int | None:
-    i = bisect.bisect_right(gaps.rooms, room) - 1
-    if i < 0:
-        return None
-    best = gaps.rooms[i]
-    k = gaps.packs[best].pop(0)
-    if not gaps.packs[best]:
-        del gaps.packs[best], gaps.rooms[i]
-    return k
-
-
 def pack(counts: DataFrame, capacities: list[tuple[str, int]], shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(pack_name, pack_id, doc_id, part, n_tokens) for every capacity.
 
@@ -205,4 +195,4 @@ def report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
     """(pack_name, n_packs, n_parts, n_tokens, capacity_tokens, fill): how full the packs are."""
     sums = packed.groupBy("pack_name").agg(F.countDistinct("pack_id").alias("n_packs"), F.count(F.lit(1)).alias("n_parts"), F.sum("n_tokens").alias("n_tokens"))
     fill = F.round(F.col("n_tokens") / (F.col("n_packs") * F.col("capacity_tokens")), 6)
-    return sums.join(F.broadcast(capacities.select("pack_name", "capacity_tokens").limit(1000)), "pack_name").withColumn("fill", fill)
+    return sums.join(capacities.select("pack_name", "capacity_tokens").distinct(), "pack_name").withColumn("fill", fill)

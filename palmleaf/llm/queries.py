@@ -33,9 +33,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
-    stories = table(spark, d, "stories").select("story_id", "telugu", "original_text")
+    stories = table(spark, d, "stories")
     contents = language.fit(table(spark, d, "documents"), stories)
-    return language.languages(stories, contents).join(residue.residue(stories), "story_id", "left_anti")
+    return language.languages(stories.select("story_id", "telugu", "original_text"), contents).join(residue.residue(stories), "story_id", "left_anti")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_sequences(spark: SparkSession, d: str) -> DataFrame:
-    found, _ = lines.prefixspan(table(spark, d, "stories"), max_len=3)
+    found, _ = lines.prefixspan(table(spark, d, "stories"))
     return found.groupBy(F.size("pattern").cast("long").alias("n_lines"), "support").agg(F.count(F.lit(1)).alias("n_patterns"))
 
 

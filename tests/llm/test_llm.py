@@ -96,7 +96,7 @@ def test_leaks(spark):
     ii = spark.createDataFrame(items, "item_id long, passage string")
     want = brute_leaks(docs, items)
     assert got(leaks.leaks(dd, ii)) == want
-    assert got(leaks.leaks(dd, ii, block_items=4)) == want
+    assert got(leaks.leaks(dd, ii, block_words=60)) == want
     assert leaks.leaks(dd, ii.limit(0)).collect() == [] and leaks.leaks(dd.limit(0), ii).collect() == []
     p = " ".join(f"x{i}" for i in range(40))
     edited = " ".join("changed" if i % 9 == 4 else f"x{i}" for i in range(40))
@@ -150,8 +150,8 @@ def test_packing_rules(seed):
 
 
 def test_packing_tables(spark):
-    pytest.importorskip("public_tokenizers")
-    c = packing.TokenCounter(*packing.default_tokenizer())
+    pytest.importorskip("tiktoken")
+    c = packing.TokenCounter(packing.VOCABULARY, packing.PATTERN)
     texts = ["a b  c\n\nd", " lead", "trail ", "x  ", "", "తెలుగు కథ. don't  stop", "a\tb \n c", " x y"]
     assert [c(t) for t in texts] == [len(c.encode(t)) for t in texts]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*texts, None])], "doc_id long, text string, part int")
@@ -315,6 +315,7 @@ def brute_pairs(rows, t, size, least):
 @pytest.mark.parametrize("shard", [512, 4])
 def test_near_pairs(spark, monkeypatch, shard):
     monkeypatch.setattr(neardup, "MAX_SHARD", shard)
+    monkeypatch.setattr(neardup, "CLASS_BLOCK", max(2, shard // 2))
     rows = near_texts()
     df = spark.createDataFrame(rows, "story_id long, url string, raw_sha256 string, original_text string")
     assert got(neardup.pairs(df)) == brute_pairs(rows, 0.6, 3, 50)
