@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,20 +52,26 @@ def manifest(spark: SparkSession, path: str, backup: str | None = None) -> DataF
         df = spark.read.text(p, wholetext=True).select(F.from_json("value", schema).alias("m")).where("m.version = 1 and m.pages is not null")
         return df.select(F.explode("m.pages").alias("url", "s")).select("url", "s.*")
 
+    if not backup:
+        return read(path)
     try:
         df = read(path)
-        if df.take(1) or not backup:
+        if df.take(1):
             return df
-    except Exception:
-        if not backup:
-            raise
+    except (AnalysisException, Py4JJavaError):
+        pass  # the manifest is missing or can't be read: its backup holds
     return read(backup)
 
 
 def journal(spark: SparkSession, path: str) -> DataFrame:
-    """(url, state, seq) of an append-only journal of JSON lines; broken lines go."""
+    """(url, state, seq) of an append-only journal of JSON lines; broken lines go.
+
+    ``seq`` orders the log whatever its files and splits are: (file, start of the split, place in it). A journal of
+    several files is in the order of their names.
+    """
     schema = T.StructType([T.StructField("url", T.StringType()), T.StructField("state", _STATE)])
-    df = spark.read.text(path).select(F.from_json("value", schema).alias("r"), F.monotonically_increasing_id().alias("seq"))
+    df = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    df = df.select(F.from_json("value", schema).alias("r"), F.struct("file", "start", "at").alias("seq"))
     return df.select("r.*", "seq").where("url is not null and state is not null")
 
 
@@ -93,11 +101,13 @@ def url_file(spark: SparkSession, path: str) -> DataFrame:
     """(url, title, pos) of a JSON file of urls in arrays of any depth, as texts or objects; the first of equal urls stays."""
     raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     level, found = raw.select("v", F.lit("").alias("at")), None
-    for _ in range(8):  # arrays in arrays; each round opens one level
+    while True:  # arrays in arrays; each round opens one level, until none is left
         items = level.where("schema_of_variant(v) like 'ARRAY%'").selectExpr("at", "posexplode(cast(v as array<variant>)) as (p, x)")
         level = items.select(F.col("x").alias("v"), F.concat("at", F.format_string("%09d/", "p")).alias("at"))
         leaf = level.where("schema_of_variant(v) not like 'ARRAY%'")
         found = leaf if found is None else found.unionByName(leaf)
+        if level.where("schema_of_variant(v) like 'ARRAY%'").isEmpty():
+            break
     get = lambda k: F.expr(f"try_variant_get(v, '$.{k}', 'string')")
     url = F.coalesce(_first(get("link"), get("url"), get("href"), get("source_url")), F.expr("case when schema_of_variant(v) = 'STRING' then cast(v as string) end"))
     df = found.select(url.alias("url"), _first(get("title"), get("name")).alias("title"), F.col("at").alias("pos")).where(F.col("url").rlike(r"^(?i)https?://[^/?#]+"))

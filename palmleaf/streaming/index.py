@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palmleaf.operators.library import postings
+from palmleaf.streaming import versions
 
 
 def changed_postings(old: DataFrame | None, changed: DataFrame) -> DataFrame:
@@ -21,15 +22,11 @@ def changed_postings(old: DataFrame | None, changed: DataFrame) -> DataFrame:
 
 
 def index_into(changes: DataFrame, target: str, checkpoint: str, every: str | None = None):
-    """Write a version of the index for every micro-batch of changed stories; ``every`` such as
-    '4 seconds' debounces, without it the query runs over what has arrived and ends."""
+    """Rewrite the parts of the index that hold changed stories, for every micro-batch; ``every`` such as
+    '4 seconds' debounces, without it the query runs over what has arrived and ends. ``versions.current`` reads the index."""
 
-    def merge(batch: DataFrame, number: int) -> None:
-        try:
-            old = batch.sparkSession.read.parquet(f"{target}/v{number - 1}")
-        except Exception:
-            old = None  # the first batch has no version before it
-        changed_postings(old, batch).write.mode("overwrite").parquet(f"{target}/v{number}")
+    def write(batch: DataFrame, number: int) -> None:
+        versions.merge(batch, target, number, "story_id", changed_postings)
 
-    writer = changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

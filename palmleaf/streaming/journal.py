@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palmleaf.streaming import versions
+
 SCHEMA = T.StructType(
     [
         T.StructField("seq", T.LongType()),
@@ -46,16 +48,15 @@ def run_once(folded_stream: DataFrame, checkpoint: str, name: str, mode: str = "
 
 
 def upsert_into(folded_stream: DataFrame, target: str, checkpoint: str):
-    """Keep a table of states up to date: every micro-batch is merged by url and written as the next version."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = f"{target}/v{number - 1}"
-        try:
-            before = spark.read.parquet(old)
-            batch = before.join(batch.select("url"), "url", "left_anti").unionByName(batch)
-        except Exception:
-            pass  # the first batch has no version before it
-        batch.write.mode("overwrite").parquet(f"{target}/v{number}")
-
-    return folded_stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keep a table of states up to date: every micro-batch rewrites the parts of the table that its urls are in.
+
+    ``versions.current`` reads the table.
+    """
+
+    def change(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return batch if old is None else old.join(batch.select("url"), "url", "left_anti").unionByName(batch)
+
+    def write(batch: DataFrame, number: int) -> None:
+        versions.merge(batch, target, number, "url", change)
+
+    return folded_stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

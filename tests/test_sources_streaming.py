@@ -1,6 +1,8 @@
 import gzip
 import json
 
+import pytest
+
 from palmleaf.operators import links
 from palmleaf.sources import readers
 from palmleaf.streaming import journal
@@ -62,6 +64,40 @@ def test_tail_offsets(tmp_path):
     f.write_bytes(b'{"url": "c", "state": {}}\n')
     cut = r.latestOffset()
     assert [(p.start, p.end) for p in r.partitions(more, cut)] == [(0, cut["at"])]
+    f.write_bytes(b'{"url": "d", "state": {}}\n' * 5)  # cut and grown beyond the known offset
+    regrown = r.latestOffset()
+    spans = r.partitions(cut, regrown)
+    assert [(p.start, p.end) for p in spans] == [(0, regrown["at"])] and regrown["generation"] > cut["generation"] > more["generation"]
+    old, new = [list(r.read(p)) for p in (r.partitions(more, cut)[0], spans[0])]
+    assert len(new) == 5 and min(x[0] for x in new) > max(x[0] for x in old)
+    again = tail._Reader(str(f)).latestOffset()  # a restart goes on where the file was left
+    assert r.partitions(regrown, again) == [] and r.latestOffset() == regrown
+
+
+def test_journal_order_over_files(spark, tmp_path):
+    line = lambda u, s: json.dumps({"url": u, "state": {"status": s}}) + "\n"
+    (tmp_path / "1.log").write_text(line("u", "failed") * 3 + line("v", "failed"))
+    (tmp_path / "2.log").write_text(line("u", "success") + line("w", "failed") * 40)
+    got = {r.url: r.status for r in links.fold_journal(readers.journal(spark, str(tmp_path))).collect()}
+    assert got == {"u": "scraped", "v": "failed", "w": "failed"}
+
+
+def test_unreadable_version_fails(spark, tmp_path):
+    from palmleaf.streaming import versions
+
+    target = str(tmp_path / "t")
+    rows = spark.createDataFrame([("u", 1), ("v", 2)], "url string, n int")
+    change = lambda old, new: new if old is None else old.join(new.select("url"), "url", "left_anti").unionByName(new)
+    assert versions.current(spark, target) is None
+    versions.merge(rows, target, 0, "url", change)
+    versions.merge(spark.createDataFrame([("u", 5)], "url string, n int"), target, 1, "url", change)
+    versions.merge(spark.createDataFrame([("u", 5)], "url string, n int"), target, 1, "url", change)
+    assert sorted(map(tuple, versions.current(spark, target).collect())) == [("u", 5), ("v", 2)]
+    for f in (tmp_path / "t").rglob("*.parquet"):
+        f.write_bytes(b"broken")
+    with pytest.raises(Exception):
+        versions.merge(spark.createDataFrame([("u", 6)], "url string, n int"), target, 2, "url", change)
+    assert not (tmp_path / "t" / "v=2" / "_SUCCESS").exists()
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -74,13 +110,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, links.fold_journal(batch).collect()))
     q = journal.upsert_into(journal.folded(journal.stream(spark, str(src), per_trigger=1)), str(tmp_path / "t"), str(tmp_path / "cp2"))
     q.awaitTermination()
-    last = max(int(p.name[1:]) for p in (tmp_path / "t").iterdir())
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t" / f"v{last}")).collect())) == sorted(map(tuple, got.collect()))
+    from palmleaf.streaming import versions
+
+    assert sorted(map(tuple, versions.current(spark, str(tmp_path / "t")).select(*got.columns).collect())) == sorted(map(tuple, got.collect()))
 
 
 def test_index_stream(spark, tmp_path):
     from palmleaf.operators import library
-    from palmleaf.streaming import index
+    from palmleaf.streaming import index, versions
 
     schema = "story_id long, title string, url string, original_text string, romanized_text string, updated_at string, deleted boolean"
     src = tmp_path / "in"
@@ -89,6 +126,6 @@ def test_index_stream(spark, tmp_path):
     run()
     spark.createDataFrame([(1, "star", "u", "", "", "2", False), (2, "sun", "u", "", "", "2", True)], schema).coalesce(1).write.mode("append").parquet(str(src))
     run()
-    last = spark.read.parquet(str(tmp_path / "t" / f"v{max(int(p.name[1:]) for p in (tmp_path / 't').iterdir())}"))
+    last = versions.current(spark, str(tmp_path / "t"))
     hit = lambda q: [r[0] for r in library.matches(last, q).collect()]
     assert hit("moon") == [] and hit("star") == [1] and hit("sun") == []
