@@ -39,13 +39,18 @@ def library_key(url: Column, tracking: tuple[str, ...] = TRACKING) -> Column:
 
     Escapes stay as they are; a field without ``=`` reads as one with an empty value.
     """
-    path = F.when(part(url, 3) == "", "/").otherwise(F.regexp_replace(part(url, 3), r"(?<=.)/+\z", ""))
-    path = F.when(path == "", "/").otherwise(path)
-    fields = F.filter(F.split(part(url, 4), "&"), lambda f: f != "")
-    pair = F.transform(fields, lambda f: F.struct(F.split_part(f, F.lit("="), F.lit(1)).alias("k"), F.substring(f, F.length(F.split_part(f, F.lit("="), F.lit(1))) + 2, F.length(f)).alias("v")))
-    kept = F.array_sort(F.filter(pair, lambda p: ~F.lower(p["k"]).isin(*tracking)))
-    query = F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
-    return F.concat(F.lower(part(url, 1)), F.lit("://"), F.lower(part(url, 2)), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    def build(p: Column) -> Column:
+        path = F.regexp_replace(F.get(p, F.lit(2)), r"/+\z", "")
+        fields = F.transform(F.filter(F.split(F.get(p, F.lit(3)), "&"), lambda f: f != ""), lambda f: F.split(f, "=", 2))
+        pairs = F.transform(fields, lambda f: F.struct(F.get(f, F.lit(0)).alias("k"), F.coalesce(F.get(f, F.lit(1)), F.lit("")).alias("v")))
+        kept = F.array_sort(F.filter(pairs, lambda f: ~F.lower(f["k"]).isin(*tracking)))
+        query = F.array_join(F.transform(kept, lambda f: F.concat(f["k"], F.lit("="), f["v"])), "&")
+        whole = F.concat(F.lower(F.get(p, F.lit(0))), F.lit("://"), F.lower(F.get(p, F.lit(1))), F.when(path == "", "/").otherwise(path), F.regexp_replace(F.concat(F.lit("?"), query), r"^\?\z", ""))
+        return F.when(F.size(p) == 4, whole).when(p.isNotNull(), ":///")
+
+    # the url is cut once; the array of one binds its pieces to a name
+    pieces = F.split(F.regexp_replace(bare(url), _WHOLE, "$1\ue000$2\ue000$3\ue000$4"), "\ue000")
+    return F.element_at(F.transform(F.array(pieces), build), 1)
 
 
 def crawl_key(url: Column, tracking: tuple[str, ...] = TRACKING) -> Column:

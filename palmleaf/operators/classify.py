@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +50,13 @@ def _term(term: str) -> str:
 def match(text: Column, categories: list[str], aliases: dict[str, list[str]]) -> Column:
     """The first configured category that the text names as a whole word, by itself or an alias, else NULL.
 
-    A chain of conditions on one lower-cased text: it stays in generated code and reads the text once.
+    A chain of conditions on one lower-cased text that stays in generated code. A term is looked for as plain text first; its
+    pattern is tried only where it occurs.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
     out = None
     for c in categories:
-        hit = low.rlike("|".join(_term(t) for t in [c, *aliases.get(c, [])]))
+        hit = reduce(or_, [low.contains(t.lower()) & low.rlike(_term(t)) for t in [c, *aliases.get(c, [])]])
         out = F.when(hit, c) if out is None else out.when(hit, c)
     return F.lit(None).cast("string") if out is None else out
 
@@ -62,7 +65,8 @@ def classified(stories: DataFrame, categories: list[str], aliases: dict[str, lis
     """(story_id, category, category_source): any hit in the title beats every hit in the texts."""
     aliases = aliases or {}
     body = F.concat_ws("\n", "original_text", "formatted_text", "romanized_text")
-    df = stories.select("story_id", match(F.col("title"), categories, aliases).alias("_t"), match(body, categories, aliases).alias("_b"))
+    df = stories.withColumn("_t", match(F.col("title"), categories, aliases))
+    df = df.select("story_id", "_t", F.when(F.col("_t").isNull(), match(body, categories, aliases)).alias("_b"))
     return df.select("story_id", F.coalesce("_t", "_b", F.lit(UNKNOWN)).alias("category"), F.when(F.col("_t").isNotNull(), "title").when(F.col("_b").isNotNull(), "content").otherwise("none").alias("category_source"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +86,17 @@ def matches(index: DataFrame, query: str) -> DataFrame:
     return found
 
 
+def matches_in(stories: DataFrame, query: str, columns: tuple[str, ...] = ("title", "url", "original_text", "romanized_text")) -> DataFrame:
+    """``matches`` without a stored index: only rows that hold every token somewhere as plain text get postings, so
+    the texts are read once and few are cut. A stored index serves many queries; this one serves one."""
+    import re
+
+    df = stories
+    for token in {t for t in re.split(r"[\W_]+", query.lower()) if t}:
+        df = df.where(reduce(or_, [F.coalesce(F.lower(c), F.lit("")).contains(token) for c in columns]))
+    return matches(postings(df, columns), query)
+
+
 def search(stories: DataFrame, index: DataFrame, query: str) -> DataFrame:
     return stories.join(matches(index, query), "story_id", "left_semi")
 

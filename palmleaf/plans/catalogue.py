@@ -331,13 +331,13 @@ def _(s, d):
 )
 def _(s, d):
     st = _t(s, d, "stories")
-    return library.matches(library.postings(st), "velvet lant").select("story_id")
+    return library.matches_in(st, "velvet lant").select("story_id")
 
 
-@query("q7_phrase_search")
+@query("q7_phrase_search", "SELECT story_id FROM stories WHERE " + " OR ".join(f"regexp_matches(coalesce({c}, ''), '(?i)(^|[^\\p{{L}}\\p{{N}}])night[^\\p{{L}}\\p{{N}}]+train')" for c in ("title", "url", "original_text", "romanized_text")))
 def _(s, d):
     st = _t(s, d, "stories")
-    return library.matches(library.postings(st), "night-train").select("story_id")
+    return library.matches_in(st, "night-train").select("story_id")
 
 
 @query("st10_postings", "SELECT col, token, count(*) AS n, count(DISTINCT story_id) AS stories FROM (" + " UNION ALL ".join(

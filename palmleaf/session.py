@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,28 +47,47 @@ def stage_dir(spark: SparkSession) -> str:
     return found
 
 
+#: A staged table counts as so many times its compressed size when the optimizer decides on a broadcast.
+COMPRESSION_FACTOR = "4.0"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage,
-    survives the loss of executors, and lets several plans reuse the rows."""
-    spark = df.sparkSession
-    path = f"{stage_dir(spark)}/palmleaf-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    survives the loss of executors, and lets several plans reuse the rows.
 
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:
-        pass  # the session is gone, or the folder was cleaned by the cluster
+    The optimizer measures a staged table by its files, which are compressed; unless the session has its own
+    ``spark.sql.sources.fileCompressionFactor``, it is told what they expand to, so that what it
+    broadcasts stays under its threshold in memory too. ``release`` drops the tables.
+    """
+    spark = df.sparkSession
+    folder = f"{stage_dir(spark)}/palmleaf-{uuid.uuid4().hex}"
+    if float(spark.conf.get("spark.sql.sources.fileCompressionFactor", "1.0")) == 1.0:
+        spark.conf.set("spark.sql.sources.fileCompressionFactor", COMPRESSION_FACTOR)
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    staged = spark.sparkContext.__dict__.setdefault("_palmleaf_staged", [])
+    if not staged:
+        atexit.register(release, spark)
+    staged.append(folder)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the staged tables of this session. Results that still read them must be consumed or written before."""
+    staged = spark.sparkContext.__dict__.get("_palmleaf_staged", [])
+    while staged:
+        folder = staged.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except (Py4JError, ConnectionError, AttributeError):
+            return  # the session is gone; the cluster cleans its folder
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where a small input stands in few files and the work on each row is long.
+    """``df`` over all cores where the input stands in few parts and the work on each row is long.
 
-    Inputs with at least half as many parts as there are cores stay as they are: at scale nothing is shuffled.
+    It is for scans: a file of one row group is one part, whatever it holds. Inputs with at least half as many parts as there are
+    cores stay as they are, so an input larger than the cluster is never shuffled. Rows and results are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
