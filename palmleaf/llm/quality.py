@@ -105,7 +105,7 @@ _RULE = r"^[\s|+:\-=─━]+$"
 _GAP = r"\S\s{2,}(?=\S)"
 #: Fixed thresholds of the lines.
 _SHORT_WORDS, _LONG_WORDS, _SYMBOLS, _BROKEN_SHARE, _UNSAID_SHARE, _DISTINCT, _CLEAN_SHARE = 2.0, 24.0, 0.3, 0.2, 0.3, 0.2, 0.9
-_CELL_LENGTH, _ROWS, _ENTRIES, _ENTRY_WORDS, _MEAN_ENTRY, _KEYWORD_WORDS = 32, 3, 4, 9, 4.6, 3.2
+_CELL_LENGTH, _ROWS, _ENTRIES, _ENTRY_WORDS, _MEAN_ENTRY, _KEYWORD_WORDS, _ENDED = 32, 3, 4, 9, 4.6, 3.2, 0.25
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def line_statistics(lines: DataFrame) -> DataFrame:
-    """``lines`` with n, the length of the line, and kind: list, table, junk, bare (a list if there are enough of them) or NULL."""
+    """``lines`` with n, the length of the line, and kind: list, table, junk, bare (a list if there are enough of them), ended (a short line that ends a sentence) or NULL."""
     x, n, nw = F.col("x"), F.col("n"), F.col("nw")
     count = lambda p: F.regexp_count(x, F.lit(p))
     times = lambda y, c: F.length(y) - F.length(F.replace(y, F.lit(c), F.lit("")))
@@ -162,7 +162,7 @@ def line_statistics(lines: DataFrame) -> DataFrame:
     keywords = (commas >= 2) & (nw <= _KEYWORD_WORDS * (commas + 1)) & ~F.regexp_replace(x, r"[.,;\s]+$", "").rlike(_END) & ~x.rlike(r"(?:[^\s,]++\s++){8}[^\s,]")
     numbered = few & (nw > 1) & x.rlike(_NUMBER)
     entry = (nw <= _ENTRY_WORDS) & F.col("short") & ~x.rlike("^\\s*[\"“‘']") & ~x.rlike(r"[,:;–—\-]\s*$")
-    kind = F.when(F.col("junk"), "junk").when(F.col("table"), "table").when((F.col("short") & x.rlike(_MARK)) | keywords | numbered, "list").when(entry, "bare")
+    kind = F.when(F.col("junk"), "junk").when(F.col("table"), "table").when((F.col("short") & x.rlike(_MARK)) | keywords | numbered, "list").when(entry, "bare").when(few & ~F.col("short"), "ended")
     return df.select("_row", "doc_id", "n", "nw", kind.alias("kind"))
 
 
@@ -173,10 +173,10 @@ def shares(documents: DataFrame) -> DataFrame:
     total = lambda k, c: F.sum(F.when(is_(k), F.col(c)).otherwise(0))
     sums = lines.groupBy("_row").agg(
         F.first("doc_id").alias("doc_id"), F.sum("n").alias("n"), *[total(k, "n").alias(k) for k in ("list", "table", "junk", "bare")],
-        total("bare", "nw").alias("w"), F.count_if(is_("bare")).alias("b"), F.count_if(is_("table")).alias("r"),
+        total("bare", "nw").alias("w"), F.count_if(is_("bare")).alias("b"), F.count_if(is_("ended")).alias("e"), F.count_if(is_("table")).alias("r"),
     )
-    # bare entries and rows count only where there are enough of them, and entries only if they are short on average
-    entries = F.when((F.col("b") >= _ENTRIES) & (F.col("w") <= _MEAN_ENTRY * F.col("b")), F.col("bare")).otherwise(0)
+    # bare entries and rows count only where there are enough of them, entries only if they are short on average and few lines among them end sentences, as those of verse do
+    entries = F.when((F.col("b") >= _ENTRIES) & (F.col("w") <= _MEAN_ENTRY * F.col("b")) & (F.col("e") <= _ENDED * F.col("b")), F.col("bare")).otherwise(0)
     rows = F.when(F.col("r") >= _ROWS, F.col("table")).otherwise(0)
     return sums.select("doc_id", _share(F.col("list") + entries, F.col("n")).alias("list_share"), _share(rows, F.col("n")).alias("table_share"), _share(F.col("junk"), F.col("n")).alias("junk_share"))
 
