@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palmleaf.functions import text as X
 from palmleaf.functions import titles as T
-from palmleaf.functions import settings, translit, urls
+from palmleaf.functions import phonetic, settings, translit, urls
 from palmleaf.operators import catalog, classify, dedup, graph, htmlpage, library, links, schema, segment
 from palmleaf.session import table
 
@@ -776,6 +776,30 @@ def _(s, d):
     return translit.transliterated(translit.vocabulary(_t(s, d, "stories")))
 
 
+def _loan_words(s, d):
+    """(word, latin) of the distinct words that end in a bare consonant, and the ranked English words of the texts."""
+    st = _t(s, d, "stories")
+    words = translit.transliterated(translit.vocabulary(st).where(F.col("word").rlike(r"^[\x{0C00}-\x{0C7F}]{2,}\x{0C4D}$")))
+    tokens = st.where("original_text is not null").select(F.explode(F.split(F.regexp_replace(F.lower("original_text"), "[^a-z]+", " "), " ")).alias("english")).where("length(english) > 2")
+    counts = tokens.groupBy("english").agg(F.count(F.lit(1)).alias("n"))
+    # the rank of a word is the number of words that are more frequent; counts are few, so their sums are small
+    per = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    above = per.alias("a").join(per.alias("b"), F.col("b.n") > F.col("a.n"), "left").groupBy(F.col("a.n").alias("n")).agg(F.coalesce(F.sum("b.k"), F.lit(0)).cast("long").alias("rank"))
+    return words, counts.join(above, "n").select("english", "rank")
+
+
+@query("t8_guesses")
+def _(s, d):
+    return phonetic.guesses(*_loan_words(s, d))
+
+
+@query("t8_trusted_spellings")
+def _(s, d):
+    words, english = _loan_words(s, d)
+    corpus = translit.lexicon_votes(_t(s, d, "stories"))
+    return phonetic.gated(corpus, translit.transliterated(corpus.select("word", F.col("votes").alias("n"))), phonetic.guesses(words, english))
+
+
 @query("a10_lexicon_votes")
 def _(s, d):
     return translit.lexicon_votes(_t(s, d, "stories"))

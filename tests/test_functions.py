@@ -68,3 +68,20 @@ def test_transliteration():
     assert translit.word("బస్సులో", {"బస్సు": "bus"}) == "buslo" and translit.word("బస్సు", {"బస్సు": "-"}) == translit.letters("బస్సు")
     assert translit.markup("<b title='నా'>నా</b>", {}) == "<b title='నా'>naa</b>"
     assert translit.text("నా x", {}, both=True) == "నా (naa) x"
+
+
+def test_phonetic(spark):
+    from palmleaf.functions import phonetic, translit
+
+    sounds = lambda f, ws: [r[0] for r in spark.createDataFrame([(w,) for w in ws], "w string").select(f(F.col("w"))).collect()]
+    assert sounds(phonetic.english_sound, ["phone", "bus", "station", "School", None]) == ["fon", "bas", "stesh@n", "skul", None]
+    assert sounds(phonetic.telugu_sound, ["skool", "phon"]) == ["skul", "fon"]
+    assert sounds(lambda c: phonetic.outline(phonetic.english_sound(c)), ["station", "match"]) == ["stSn", "mC"]
+    assert phonetic.distance("fon", "fon") == 0 and phonetic.distance("fan", "fon") == 0.35 and phonetic.distance("fin", "kin") == 1 and abs(phonetic.distance("fon", "fn") - 0.8) < 1e-9
+    words = translit.transliterated(spark.createDataFrame([("ఫోన్", 1), ("స్కూల్", 2), ("కథన్", 1), (None, 1)], "word string, n long").where("word is not null"))
+    english = spark.createDataFrame([("phone", 5), ("Phone", 9), ("fun", 1), ("school", 2), (None, 3)], "english string, rank long")
+    found = phonetic.guesses(words, english)
+    assert {r.word: r.guess for r in found.collect()} == {"ఫోన్": "phone", "స్కూల్": "school"}
+    corpus = spark.createDataFrame([("ఫోన్", "phone"), ("స్కూల్", "skull"), ("కథన్", translit.word("కథన్", {}))], "word string, latin string")
+    assert sorted(r.word for r in phonetic.gated(corpus, words, found).collect()) == ["కథన్", "ఫోన్"]
+    assert phonetic.guesses(words.limit(0), english).collect() == []
