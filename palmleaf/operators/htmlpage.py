@@ -35,10 +35,27 @@ class _Story(HTMLParser):
         self.anchor: list | None = None
         self.images: list[str] = []
         self.base = ""
+        self.tables: list[list[list[str]]] = []
+        self.lists: list[list[str]] = []
+        self.open: list[tuple[str, list]] = []  # tables and lists around the current place
+        self.cell: list[str] | None = None
+
+    def _close_cell(self) -> None:
+        """The text since the last cell or item began becomes its content."""
+        if self.cell is not None and self.open:
+            kind, rows = self.open[-1]
+            text = " ".join(self.cell)
+            if kind == "table" and rows:
+                rows[-1].append(text)
+            elif kind != "table" and text:
+                rows.append(text)
+        self.cell = None
 
     def _flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         self.buffer.clear()
+        if text and self.cell is not None:
+            self.cell.append(text)
         if text:
             self.blocks.append((_KIND.get(self.kind[-1], "paragraph") if self.kind else "paragraph", text))
 
@@ -58,6 +75,14 @@ class _Story(HTMLParser):
                 self.images.append(src)
         if tag == "br" or tag in BLOCK_TAGS:
             self._flush()
+        if tag in ("table", "ul", "ol"):
+            self.open.append((tag, []))
+            (self.tables if tag == "table" else self.lists).append(self.open[-1][1])
+        elif tag == "tr" and self.open and self.open[-1][0] == "table":
+            self.open[-1][1].append([])
+        elif tag in ("td", "th", "li"):
+            self._close_cell()
+            self.cell = []
         if tag in BLOCK_TAGS:
             self.kind.append(tag)
         if tag == "article":
@@ -73,6 +98,12 @@ class _Story(HTMLParser):
             self.anchor = None
         if tag in BLOCK_TAGS:
             self._flush()
+        if tag in ("td", "th", "li", "tr", "table", "ul", "ol"):
+            self._close_cell()
+        if tag in ("table", "ul", "ol") and any(k == tag for k, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+        if tag in BLOCK_TAGS:
             if tag in self.kind:
                 while self.kind.pop() != tag:
                     pass
@@ -103,11 +134,14 @@ def story(page: str, article_only: bool | None = None) -> tuple[str, list[tuple[
     return title, blocks, p
 
 
-_PAGE = "page_id long, title string, blocks array<struct<kind string, text string>>, links array<struct<url string, text string>>, images array<string>"
+_PAGE = "page_id long, title string, blocks array<struct<kind string, text string>>, links array<struct<url string, text string>>, images array<string>, tables array<array<array<string>>>, lists array<array<string>>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, title, blocks, links, images) of each page; links are absolute and distinct."""
+    """(page_id, title, blocks, links, images, tables, lists) of each page; links are absolute and distinct.
+
+    A table is its rows of cells without the rows that are all empty, a list its items; a table or list within a cell or item stands by itself.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -121,8 +155,8 @@ def parsed(pages: DataFrame) -> DataFrame:
                             found.setdefault((urljoin(urljoin((url or "").strip(), p.base), href), text))
                         except ValueError:
                             continue
-                rows.append((i, title, [{"kind": k, "text": t} for k, t in blocks], [{"url": u, "text": t} for u, t in found], p.images))
-            yield pd.DataFrame(rows, columns=["page_id", "title", "blocks", "links", "images"])
+                rows.append((i, title, [{"kind": k, "text": t} for k, t in blocks], [{"url": u, "text": t} for u, t in found], p.images, [[r for r in t if any(r)] for t in p.tables], p.lists))
+            yield pd.DataFrame(rows, columns=["page_id", "title", "blocks", "links", "images", "tables", "lists"])
 
     return spread(pages.where("html is not null").select("page_id", "url", "html")).mapInPandas(work, _PAGE)
 

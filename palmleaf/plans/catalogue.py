@@ -894,6 +894,44 @@ def _(s, d):
     return htmlpage.parsed(_t(s, d, "raw_pages")).select("page_id", F.explode("images").alias("src"))
 
 
+_FIXTURE = """<html><head><title>T</title><base href="https://a.example/d/"></head><body><article><h1>T</h1><p>x <a href="b?q=1">one <b>two</b></a> <a href="#top">top</a>
+<a href="/c" rel="nofollow">no</a><a href="mailto:x@a.example">mail</a><a href="https://b.example/">three</a></p><img src="i.png"><img data-src="j.png"><img src="i.png">
+<table><tr><th>n</th><th>year</th></tr><tr><td></td><td> </td></tr><tr><td>one <i>and</i></td><td>2020</td></tr></table><ul><li>tea<li>milk</li></ul></article></body></html>"""
+
+
+def _fixture(s):
+    """A literal page, for what the pages of the test tables don't hold."""
+    return htmlpage.parsed(s.createDataFrame([(1, "https://a.example/x", _FIXTURE), (2, None, "<p>plain"), (3, "u", None)], "page_id long, url string, html string"))
+
+
+@query("t3_links_fixture", "SELECT * FROM (VALUES (1, 'https://a.example/d/b?q=1', 'one two'), (1, 'https://b.example/', 'three')) t(page_id, url, text)")
+def _(s, d):
+    return _fixture(s).select("page_id", F.inline("links"))
+
+
+@query("t4_images_fixture", "SELECT * FROM (VALUES (1, 'i.png'), (1, 'j.png')) t(page_id, src)")
+def _(s, d):
+    return _fixture(s).select("page_id", F.explode("images").alias("src"))
+
+
+@query("t5_tables_fixture", "SELECT * FROM (VALUES (1, 'table', 0, 'n | year'), (1, 'table', 1, 'one and | 2020'), (1, 'list', 0, 'tea'), (1, 'list', 1, 'milk')) t(page_id, kind, pos, content)")
+def _(s, d):
+    done = _fixture(s)
+    rows = done.select("page_id", F.explode("tables").alias("t")).select("page_id", F.lit("table").alias("kind"), F.posexplode("t").alias("pos", "r")).select("page_id", "kind", "pos", F.array_join("r", " | ").alias("content"))
+    return rows.unionByName(done.select("page_id", F.explode("lists").alias("t")).select("page_id", F.lit("list").alias("kind"), F.posexplode("t").alias("pos", "content")))
+
+
+@query("t5_table_rows")
+def _(s, d):
+    return htmlpage.parsed(_t(s, d, "raw_pages")).select("page_id", F.posexplode("tables").alias("table_no", "t")).select("page_id", "table_no", F.posexplode("t").alias("row_no", "cells"))
+
+
+@query("x2_orphans_fixture", "SELECT * FROM (VALUES ('orphan_raw_file', 'z.html'), ('orphan_formatted_file', 'a.html')) t(kind, file)")
+def _(s, d):
+    st = s.createDataFrame([("a.html", "", None, "c/a.html")], "raw_file string, formatted_file string, romanized_file string, organized_file string")
+    return catalog.orphan_files(st, s.createDataFrame([("raw", "a.html"), ("raw", "z.html"), ("formatted", "a.html"), ("organized", "c/a.html")], "stage string, name string"))
+
+
 @query("t5_lists_and_tables")
 def _(s, d):
     b = htmlpage.parsed(_t(s, d, "raw_pages")).select("page_id", F.explode("blocks").alias("b"))
