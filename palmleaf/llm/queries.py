@@ -187,5 +187,10 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"WITH c AS ({_PAGE}), f AS (SELECT *, min(link_id) OVER (PARTITION BY s, h, p, q) AS f FROM c) SELECT f AS link_id_first, link_id AS link_id_copy FROM f WHERE f <> link_id",
         "p5_pages": f"SELECT min(link_id) AS first_id, count(*) AS n FROM ({_PAGE}) GROUP BY s, h, p, q",
         "p6_found": f"WITH l AS ({_LINES}), k AS (SELECT * FROM l WHERE length(replace(k, ' ', '')) >= 12), f AS (SELECT source_host, k FROM k GROUP BY 1, 2 HAVING count(DISTINCT url) >= 5) SELECT story_id, line_no FROM k JOIN f USING (source_host, k)",
+        "p6_clean": f"""WITH l AS ({_LINES}), k AS (SELECT * FROM l WHERE length(replace(k, ' ', '')) >= 12), f AS (SELECT source_host, k FROM k GROUP BY 1, 2 HAVING count(DISTINCT url) >= 5), r AS (SELECT DISTINCT story_id, line_no FROM k JOIN f USING (source_host, k)),
+            a AS (SELECT story_id, unnest(string_split(original_text, chr(10))) AS x, generate_subscripts(string_split(original_text, chr(10)), 1) AS i FROM stories WHERE original_text IS NOT NULL),
+            b AS (SELECT *, CASE WHEN regexp_matches(x, '\\S') THEN count(*) FILTER (regexp_matches(x, '\\S')) OVER (PARTITION BY story_id ORDER BY i) END AS line_no FROM a),
+            c AS (SELECT b.story_id, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (r.line_no IS NULL), '') AS clean_text, count(r.line_no) AS n_removed FROM b LEFT JOIN r ON r.story_id = b.story_id AND r.line_no = b.line_no GROUP BY 1)
+            SELECT s.story_id, c.clean_text, coalesce(c.n_removed, 0) AS n_removed FROM stories s LEFT JOIN c USING (story_id)""",
         "p9_statistics": _STATS,
     }
