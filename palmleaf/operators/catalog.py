@@ -80,6 +80,21 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("id", change.alias("change")).where("change is not null")
 
 
+#: Fixed value: so many ids of each change a report lists.
+LISTED = 200
+
+
+def change_report(changes: DataFrame) -> DataFrame:
+    """(change, n, ids): how many entries (id, change) were added, updated and removed, all three listed, and the
+    first LISTED ids of each in order. Only these ids are gathered: each task keeps its smallest ones."""
+    kinds = changes.sparkSession.createDataFrame([("added",), ("updated",), ("removed",)], "change string")
+    counts = changes.groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("change").orderBy("id")
+    first = changes.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= LISTED).groupBy("change").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    out = kinds.join(counts, "change", "left").join(first, "change", "left")
+    return out.select("change", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ids", F.lit("")).alias("ids"))
+
+
 def missing_files(stories: DataFrame, files: DataFrame) -> DataFrame:
     """(kind, file, story_id): files that a row names but the listing (stage, name) doesn't have.
 

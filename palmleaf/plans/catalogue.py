@@ -868,10 +868,20 @@ def _(s, d):
     return graph.crawl(edges, seeds, 3)
 
 
-@query("a1_hash_groups", "SELECT raw_sha256, count(*) AS n, array_to_string(list_transform(list_sort(list(story_id)), lambda x: CAST(x AS VARCHAR)), ',') AS ids FROM stories WHERE raw_sha256 <> '' GROUP BY 1 HAVING count(*) > 1")
+@query("a1_hash_groups", "SELECT raw_sha256, n, story_id FROM (SELECT raw_sha256, story_id, count(*) OVER (PARTITION BY raw_sha256) AS n FROM stories WHERE raw_sha256 <> '') WHERE n > 1")
 def _(s, d):
-    g = _t(s, d, "stories").where("raw_sha256 <> ''").groupBy("raw_sha256").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("story_id")).alias("_i")).where("n > 1")
-    return g.select("raw_sha256", "n", F.array_join(F.transform("_i", lambda x: x.cast("string")), ",").alias("ids"))
+    """The groups by their members, a row each, so no group is one row however many it has."""
+    st = _t(s, d, "stories").where("raw_sha256 <> ''").select("raw_sha256", "story_id")
+    return st.join(st.groupBy("raw_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "raw_sha256").select("raw_sha256", "n", "story_id")
+
+
+@query("x5_change_report", f"""WITH c AS (SELECT left(sha256(url), 16) AS id, CASE WHEN source_changed = 1 THEN 'updated' WHEN status = 'failed' THEN 'removed' ELSE 'added' END AS change FROM (SELECT DISTINCT url, source_changed, status FROM stories WHERE url IS NOT NULL)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY id) AS r FROM c)
+    SELECT k.change, (SELECT count(*) FROM c WHERE c.change = k.change) AS n, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM r WHERE r.change = k.change AND r <= {catalog.LISTED}), '') AS ids FROM (VALUES ('added'), ('updated'), ('removed')) k(change)""")
+def _(s, d):
+    st = _t(s, d, "stories").where("url is not null").select("url", "source_changed", "status").distinct()
+    change = F.when(F.col("source_changed") == 1, "updated").when(F.col("status") == "failed", "removed").otherwise("added")
+    return catalog.change_report(st.select(F.left(F.sha2("url", 256), F.lit(16)).alias("id"), change.alias("change")))
 
 
 @query("a12_paragraph_metrics", "SELECT status, CAST(sum(paragraphs) AS BIGINT) AS paragraphs, max(max_paragraph_chars) AS longest, CAST(sum(dialogue_breaks) AS BIGINT) AS breaks, CAST(sum(unsplit_dialogue) AS BIGINT) AS unsplit FROM stories GROUP BY status")
