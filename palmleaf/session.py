@@ -47,22 +47,16 @@ def stage_dir(spark: SparkSession) -> str:
     return found
 
 
-#: A staged table counts as so many times its compressed size when the optimizer decides on a broadcast.
-COMPRESSION_FACTOR = "4.0"
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage,
     survives the loss of executors, and lets several plans reuse the rows.
 
-    The optimizer measures a staged table by its files, which are compressed; unless the session has its own
-    ``spark.sql.sources.fileCompressionFactor``, it is told what they expand to, so that what it
-    broadcasts stays under its threshold in memory too. ``release`` drops the tables.
+    The optimizer measures a staged table by its compressed files when it decides on a broadcast, so the threshold
+    (``spark.sql.autoBroadcastJoinThreshold``) bounds these; ``spark.sql.sources.fileCompressionFactor`` of the session tightens it.
+    ``release`` drops the tables.
     """
     spark = df.sparkSession
     folder = f"{stage_dir(spark)}/palmleaf-{uuid.uuid4().hex}"
-    if float(spark.conf.get("spark.sql.sources.fileCompressionFactor", "1.0")) == 1.0:
-        spark.conf.set("spark.sql.sources.fileCompressionFactor", COMPRESSION_FACTOR)
     df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
     staged = spark.sparkContext.__dict__.setdefault("_palmleaf_staged", [])
     if not staged:
