@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palmleaf.llm import boilerplate, language, leaks, lines, linklog, neardup, packing, quality, residue
 from palmleaf.llm import queries as Q
-from palmleaf.llm.words import WordHasher, shingles, words
+from palmleaf.llm.words import WordHasher, words
 from palmleaf.session import table
 
 DIR = "/root/testdata/sf0.001"
