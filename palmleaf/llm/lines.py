@@ -4,10 +4,13 @@ Method: PrefixSpan, level by level and distributed, over the sequences of line
 identifiers of each source. A pattern is frequent if it occurs in documents of
 at least ``min_support`` different urls of its source; a document counts once.
 Level one holds the single lines. A longer pattern extends a frequent prefix by
-a frequent line that follows its last line within ``max_gap`` kept lines.
+a frequent line that follows its last line within ``max_gap`` kept lines. Growth
+ends when no pattern of a level is frequent. What is deleted are the occurrences
+of the patterns of all levels: each level gives the line that it adds to the
+occurrences of its prefixes, whose other lines the levels before have given.
 Every line of a frequent sequence is frequent by itself (support can only fall
-when a pattern grows), so deleting the frequent single lines deletes all
-occurrences of all longer sequences as well.
+when a pattern grows), so the lines of all levels are those of level one; a test
+compares the two.
 
 Nulls: rows without text, source or url neither count nor are listed. Empty
 texts have no lines. Extra columns are ignored.
@@ -60,10 +63,11 @@ def _against(items: DataFrame, frequent: DataFrame, on: list[str], how: str) ->
 
 
 def prefixspan(stories: DataFrame, min_support: int = 5, max_len: int | None = None, max_gap: int = 1, min_letters: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(patterns, occurrences of the frequent single lines).
+    """(patterns, occurrences).
 
     patterns: (src, pattern array<long>, support), of every length, or of 1 to ``max_len``. The levels end by
     themselves: each needs a frequent prefix, and a text has finitely many lines.
+    occurrences: (story_id, line_no, n_lines), a row for each frequent pattern of n_lines lines that ends in that line.
     """
     from palmleaf.session import stage
 
@@ -71,31 +75,36 @@ def prefixspan(stories: DataFrame, min_support: int = 5, max_len: int | None = N
     single = stage(frequent_items(items, min_support), "frequent_lines")
     found = _against(items, single.select("src", "k"), ["src", "k"], "left_semi")
     patterns = single.select("src", F.array("k").alias("pattern"), "support")
+    ends = ["story_id", "line_no"]
     if max_len == 1:
-        return patterns, found
+        return patterns, found.select(*ends, F.lit(1).alias("n_lines"))
     found = stage(found, "frequent_occurrences")
+    occurrences = found.select(*ends, F.lit(1).alias("n_lines"))
     # the projected database of a prefix: where its last line stands in each document
-    db = found.withColumn("pos", F.expr("row_number() over (partition by story_id order by line_no)"))
+    db = stage(found.withColumn("pos", F.expr("row_number() over (partition by story_id order by line_no)")), "positions")
+    nxt = db.select("story_id", F.col("pos").alias("_next"), "line_no", "k")
     projected = db.select("src", "story_id", "url", "pos", F.array("k").alias("pattern"))
     length = 1
     while max_len is None or length < max_len:
         length += 1
-        nxt = db.select("story_id", F.col("pos").alias("_next"), "k")
-        grown = projected.join(nxt, "story_id").where((F.col("_next") > F.col("pos")) & (F.col("_next") <= F.col("pos") + max_gap))
-        grown = grown.select("src", "story_id", "url", F.col("_next").alias("pos"), F.concat("pattern", F.array("k")).alias("pattern"))
+        after = projected.withColumn("_next", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + max_gap)))
+        grown = after.join(nxt, ["story_id", "_next"])
+        grown = grown.select("src", "story_id", "url", F.col("_next").alias("pos"), "line_no", F.concat("pattern", F.array("k")).alias("pattern"))
         longer = grown.select("src", "pattern", "url").distinct().groupBy("src", "pattern").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
         longer = stage(longer, "patterns")
         if not longer.take(1):
             break
         patterns = patterns.unionByName(longer)
-        projected = _against(grown, longer.select("src", "pattern"), ["src", "pattern"], "left_semi")
-    return patterns, found
+        projected = stage(_against(grown, longer.select("src", "pattern"), ["src", "pattern"], "left_semi"), "projected")
+        occurrences = occurrences.unionByName(projected.select(*ends, F.lit(length).alias("n_lines")))
+        projected = projected.drop("line_no")
+    return patterns, occurrences
 
 
 def repeated_lines(stories: DataFrame, min_support: int = 5, min_letters: int = 12) -> DataFrame:
-    """(story_id, line_no) of every occurrence of a frequent line."""
-    _, found = prefixspan(stories, min_support, 1, 1, min_letters)
-    return found.select("story_id", "line_no")
+    """(story_id, line_no) of every line in an occurrence of a frequent sequence of any length."""
+    _, found = prefixspan(stories, min_support, min_letters=min_letters)
+    return found.select("story_id", "line_no").distinct()
 
 
 def without_repeated(stories: DataFrame, min_support: int = 5, min_letters: int = 12) -> DataFrame:

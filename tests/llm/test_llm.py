@@ -64,6 +64,49 @@ def test_repeated_lines(spark):
     assert lines.repeated_lines(df.limit(0)).collect() == []
 
 
+def brute_sequences(rows, least):
+    """(story_id, line_no, n): a frequent sequence of n adjacent frequent lines ends there; one site, lines of letters only."""
+    texts = {i: (u, t.split("\n")) for i, u, t in rows}
+
+    def urls(runs):
+        seen = {}
+        for u, r in runs:
+            seen.setdefault(r, set()).add(u)
+        return {r for r, us in seen.items() if len(us) >= least}
+
+    single = urls((u, (x,)) for u, ls in texts.values() for x in ls)
+    kept = {i: (u, [(k, x) for k, x in enumerate(ls, 1) if (x,) in single]) for i, (u, ls) in texts.items()}
+    out, n = set(), 1
+    while True:
+        runs = [(i, u, ls[e - 1][0], tuple(x for _, x in ls[e - n : e])) for i, (u, ls) in kept.items() for e in range(n, len(ls) + 1)]
+        often = urls((u, r) for _, u, _, r in runs)
+        if not often:
+            return out
+        out |= {(i, no, n) for i, _, no, r in runs if r in often}
+        n += 1
+
+
+def test_sequences_are_grown_to_the_end(spark, monkeypatch):
+    rng = random.Random(5)
+    furniture = ["all rights are reserved", "share this with friends", "read the next episode", "subscribe to our letters"]
+    rows = [(i, f"u{i % 9}", "\n".join(rng.sample(furniture, rng.randint(1, 4)) + [f"a line of its own {'x' * (i + 1)}"] + furniture[: 1 + i % 4])) for i in range(24)]
+    df = spark.createDataFrame([(i, u, "h", t) for i, u, t in rows], "story_id long, url string, source_host string, original_text string")
+    want = brute_sequences(rows, 5)
+    assert max(n for _, _, n in want) >= 4
+    calls, whole = [], lines.prefixspan
+
+    def kept(*args, **named):
+        calls.append(whole(*args, **named))
+        return calls[-1]
+
+    monkeypatch.setattr(lines, "prefixspan", kept)
+    found = got(lines.repeated_lines(df))
+    assert len(calls) == 1
+    # the query deletes by the occurrences of all levels, and these give the lines of level one
+    assert {tuple(r) for r in calls[0][1].select("story_id", "line_no", "n_lines").collect()} == want
+    assert found == sorted({(i, no) for i, no, _ in want}) == sorted((i, no) for i, no, n in want if n == 1)
+
+
 # --- 8 --------------------------------------------------------------------------------------------------
 
 
