@@ -40,8 +40,12 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,8 +94,20 @@ def flat(text: str) -> str:
     return " ".join(text.split())
 
 
+@lru_cache(20_000)
+def _name(s: str) -> int:
+    """The hash of a node or presentation, remembered because they recur."""
+    return _hash(s)
+
+
+_ASCII_LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
+
+
 def _letters(text: str) -> str:
-    return " ".join(NOT_LETTER.sub(" ", text.lower()).split())
+    low = text.lower()
+    if low.isascii():  # the same, at the speed of bytes
+        return b" ".join(low.encode("ascii").translate(_ASCII_LETTERS).split()).decode("ascii")
+    return " ".join(NOT_LETTER.sub(" ", low).split())
 
 
 def content(text: str, site: str) -> str:
@@ -122,21 +138,21 @@ def leaves(page: str) -> list[tuple[str, str, int, str, int]]:
     kids: dict[int, list] = {0: []}
     paths: dict[int, str] = {0: ""}
     up: dict[int, int] = {0: 0}
-    last, skip, number, current = 0, "", 0, 0
-    for m in _TAG.finditer(page):
-        if not skip:
-            t = page[last : m.start()]
-            if t and not t.isspace():
-                out.append((current, t))
-                kids[current].append("#")
-        last = m.end()
-        name = m.group(2)
+    skip, number, current = "", 0, 0
+    cut = _TAG.split(page)  # text, slash, name, text, ...
+    for t, closing, name in zip(cut[::3], cut[1::3], cut[2::3]):
+        if t and not skip and not t.isspace():
+            out.append((current, t))
+            kids[current].append("#")
         if name is None:
             continue
         name = name.lower()
-        if m.group(1):
+        if closing:
             if skip:
                 skip = "" if name == skip else skip
+            elif stack and stack[-1][0] == name:
+                stack.pop()
+                current = stack[-1][1] if stack else 0
             elif any(x == name for x, _ in stack):
                 while stack.pop()[0] != name:
                     pass
@@ -152,20 +168,25 @@ def leaves(page: str) -> list[tuple[str, str, int, str, int]]:
                 stack.append((name, number))
                 current = number
                 kids[number] = []
-    t = page[last:]
+    t = cut[-1]
     if not skip and t.strip():
         out.append((current, t))
         kids[current].append("#")
     res = []
+    at: dict[int, tuple[str, int, str, int]] = {}
     for e, t in out:
         text = flat(html.unescape(t) if "&" in t else t)
-        if text:
+        if text and e in at:
+            node, b, shape, n = at[e]
+            res.append((node, text, b, shape, n))
+        elif text:
             b = child = e
             while b and paths[b].rsplit("/", 1)[1] in _INNER:
                 b, child = up[b], b
             if not _BLOCK.isdisjoint(kids[b]):  # beside other blocks an inline element is a branch of its own
                 b = child
-            res.append((f"{paths[b]}[{','.join(sorted(set(kids[b])))}]", text, b, ",".join(kids[b]), len(kids[b])))
+            at[e] = node, b, shape, n = f"{paths[b]}[{','.join(sorted(set(kids[b])))}]", b, ",".join(kids[b]), len(kids[b])
+            res.append((node, text, b, shape, n))
     return res
 
 
@@ -181,28 +202,42 @@ def page_key() -> Column:
     return F.when((F.col("raw_file") != "") & (F.col("raw_sha256") != ""), F.xxhash64("raw_file", "raw_sha256"))
 
 
-_LEAF = ["page", "host", "title", "node", "shape", "children", "branch", "line", "leaf", "site_leaf", "size", "parts"]
-_LINE = ["story_id", "page", "host", "title", "line_no", "line", "leaf", "site_leaf", "bits", "parts"]
+_LEAF = "page long, host long, title long, node long, shape long, children int, branch int, line long, leaf long, site_leaf long, size int, parts array<long>"
+_LINE = "story_id long, page long, host long, title long, line_no long, line long, leaf long, site_leaf long, bits int, parts array<long>"
+_ARROW = {"long": pa.int64(), "int": pa.int32()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as an Arrow batch of the schema."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    arrays = []
+    for kind, col in zip(kinds, zip(*rows) if rows else [()] * len(names)):
+        if kind in _ARROW:
+            arrays.append(pa.array(col, _ARROW[kind]))
+        else:
+            ends = np.cumsum([0, *map(len, col)], dtype=np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(list(chain.from_iterable(col)), pa.int64())))
+    return pa.RecordBatch.from_arrays(arrays, names=list(names))
 
 
 def parsed(pages: DataFrame) -> DataFrame:
     """One row per leaf of a page, as hashes: (page, host, title, node, shape, children, branch, line, leaf, site_leaf, size, parts)."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for key, url, page in zip(b["page"], b["url"], b["html"]):
+            for key, url, page in zip(*(b[c].to_pylist() for c in ("page", "url", "html"))):
                 host = _host(url)
                 site = site_name(host)
                 m = re.search(r"<title[^>]*>(.*?)</title>", page, re.S | re.I)
                 th, hh = _hash(flat(html.unescape(m.group(1))) if m else url or ""), _hash(host)
                 for node, text, branch, shape, n in leaves(page):
-                    c = content(text, site)
-                    rows.append((key, hh, th, _hash(node), _hash(shape), n, branch, _hash(text), _hash(host + "|" + c), _hash(c), len(text), parts(text, c)))
-            yield pd.DataFrame(rows, columns=_LEAF)
+                    line, leaf, site_leaf, ps, _, _ = (_short if len(text) < LONG else _told)(text, site, host, False)
+                    rows.append((key, hh, th, _name(node), _name(shape), n, branch, line, leaf, site_leaf, len(text), ps))
+            yield _batch(rows, _LEAF)
 
     rows = pages.where("html is not null").select(page_key().alias("page"), "url", "html").where("page is not null")
-    return spread(rows).mapInPandas(cut, "page long, host long, title long, node long, shape long, children int, branch int, line long, leaf long, site_leaf long, size int, parts array<long>")
+    return spread(rows).mapInArrow(cut, _LEAF)
 
 
 # Bits of what the text of a line says.
@@ -229,29 +264,44 @@ def line_bits(text: str, title: str, masked: str) -> int:
     return bits
 
 
+def _told(raw: str, site: str, host: str, bits: bool = True) -> tuple[int, int, int, list[int], int, str]:
+    """What a text says by itself: (line, leaf, site_leaf, parts, bits but the title's, its flat form)."""
+    text = flat(raw)
+    c = content(text, site)
+    site_leaf = _hash(c)
+    ps = parts(raw, c) if len(raw) < LONG else [site_leaf] if c else []
+    return _hash(text), _hash(host + "|" + c), site_leaf, ps, line_bits(text, "", c) if bits else 0, text
+
+
+@lru_cache(20_000)
+def _short(raw: str, site: str, host: str, bits: bool = True) -> tuple[int, int, int, list[int], int, str]:
+    """The same, remembered because short texts recur; the memory is bounded."""
+    return _told(raw, site, host, bits)
+
+
 def story_lines(stories: DataFrame) -> DataFrame:
     """One row per line that is not blank: (story_id, page, host, title, line_no, line, leaf, site_leaf, bits, parts); page 0 means none."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, page, url, host, title, text in zip(b["story_id"], b["page"], b["url"], b["source_host"], b["title"], b["original_text"]):
+            for i, page, url, host, title, text in zip(*(b[c].to_pylist() for c in ("story_id", "page", "url", "source_host", "title", "original_text"))):
                 host = _host(url, host)
                 site, title, no = site_name(host), flat(title or ""), 0
                 hh, th = _hash(host), _hash(title or url or "")
                 for x in text.split("\n"):
-                    t = flat(x)
-                    if not t:
+                    x = x.strip()
+                    if not x:
                         continue
                     no += 1
-                    c = content(t, site)
-                    rows.append((i, page, hh, th, no, _hash(t), _hash(host + "|" + c), _hash(c), line_bits(t, title, c), parts(x.strip(), c)))
-            yield pd.DataFrame(rows, columns=_LINE)
+                    line, leaf, site_leaf, ps, bits, t = (_short if len(x) < LONG else _told)(x, site, host)
+                    rows.append((i, page, hh, th, no, line, leaf, site_leaf, bits | TITLE if title and t == title else bits, ps))
+            yield _batch(rows, _LINE)
 
     rows = stories.where("story_id is not null and original_text is not null and original_text <> ''")
-    # never NULL: a 64-bit key with a NULL in its batch would pass through floating point and lose its low bits
+    # never NULL: page 0 means none
     rows = rows.select("story_id", F.coalesce(page_key(), F.lit(0).cast("long")).alias("page"), "url", "source_host", "title", "original_text")
-    return spread(rows).mapInPandas(cut, "story_id long, page long, host long, title long, line_no long, line long, leaf long, site_leaf long, bits int, parts array<long>")
+    return spread(rows).mapInArrow(cut, _LINE)
 
 
 def _low(k: str, m: str) -> Column:
@@ -350,7 +400,7 @@ def matched(stories: DataFrame, pages: DataFrame) -> DataFrame:
 
     cut, lines = stage(parsed(pages), "page_leaves"), stage(story_lines(stories), "story_lines")
     k, m, total = content_counts(cut, lines)
-    branches = style_tree(_importance(cut.select("page", "host", "node", "shape", "children", "branch", "leaf", "site_leaf", "size"), k, m, total))
+    branches = stage(style_tree(_importance(cut.select("page", "host", "node", "shape", "children", "branch", "leaf", "site_leaf", "size"), k, m, total)), "kept_branches")
     kept = cut.select("page", "branch", "title", "line", "parts").join(branches, ["page", "branch"])
     by_line = kept.groupBy("page", "line").agg(F.max("keep").alias("keep"))
     lines = _importance(lines, k, m, total).withColumn("low", F.col("importance") < LEAF_IMPORTANCE)

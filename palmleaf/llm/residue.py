@@ -33,10 +33,11 @@ import math
 import re
 from collections.abc import Iterator
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +87,13 @@ _LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi"
     " aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
-_DUMP_SIGNS = ("at ", "line ", "error", "exception", "caused by", " more", "#", "warn", "fatal", "info", "debug", "critical", "[crit", "traceback")
+# What a text with such a line, or with a slot, holds as it stands: all of one of the groups, and one of the pieces (or xx in any case).
+_DUMP_SIGNS = (("(", "at "), ('File "', ", line "), ("Caused by:",), ("... ", " more"), ("#",), ("Error",), ("Exception",), (" on line ",), ("[",), ("Traceback ",), *((x,) for x in ("ERROR", "WARN", "FATAL", "INFO", "DEBUG", "CRITICAL")))
+_SLOT_SIGNS = ("{", "[", "<%", "<<", "%", "@@", "__")
+# Pieces of seeds, shared by several or with a rarer first letter: what is searched first. A text without a seed's piece doesn't hold the seed.
+_PIECES = ("found", "denied", "gateway", "rror", "vailable", "quests", "xpired", "cript", "robot", "publish", "filled in", "be replaced", "ft only")
+#: Most bits that tell which rows are wanted before their texts are moved, and bits for each row.
+MOST_BITS, BITS_A_ROW = 1 << 26, 16
 _SENTENCE = re.compile(r"(?<=[.!?…।])\s+")
 _HEX = re.compile(r"\b(?=[0-9a-f-]*\d)[0-9a-f]{2,}(?:-[0-9a-f]+)*\b")
 
@@ -156,6 +163,15 @@ def _site() -> Column:
     return F.array_join(F.filter(label, lambda w: (w != "") & ~w.rlike("[0-9]")), " ")
 
 
+def _says(low: Column, phrases: set[str]) -> Column:
+    """Whether a text holds one of the phrases, piece by piece; a phrase around another adds nothing."""
+    by: dict[str, list[str]] = {}
+    for x in sorted(phrases):
+        if not any(y != x and y in x for y in phrases):
+            by.setdefault(next((p for p in _PIECES if p in x), x), []).append(x)
+    return reduce(or_, [low.contains(p) & reduce(or_, map(low.contains, xs)) if xs != [p] else low.contains(p) for p, xs in by.items()])
+
+
 def rows_with_lines(stories: DataFrame, seeds: tuple[str, ...] = SEEDS) -> tuple[DataFrame, DataFrame]:
     """(rows, marked lines): (story_id, title, slot, signs, own) of every row with a text: whether it holds a
     slot, or signs of a notice, dump or filler, and its words on lines that don't recur often; and (story_id, gone, noted), the numbers of the lines that are furniture and notice."""
@@ -165,11 +181,11 @@ def rows_with_lines(stories: DataFrame, seeds: tuple[str, ...] = SEEDS) -> tuple
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("url"), F.lit(""))
     there = stories.where(F.col("story_id").isNotNull() & text.isNotNull() & text.rlike(r"\S"))
     there = there.select("story_id", F.xxhash64(F.lower(F.trim(title))).alias("title"), _site().alias("_site"), text)
-    there = spread(there).withColumn("slot", text.rlike(r"(?i)[{}\[\]<%@]|__|xx") & text.rlike("(?i)" + SLOT))
     low = F.lower(text)
+    there = spread(there).withColumn("slot", (reduce(or_, [text.contains(x) for x in _SLOT_SIGNS]) | low.contains("xx")) & text.rlike("(?i)" + SLOT))
     ws = F.split(low, r"\s+")
-    said = reduce(or_, [low.contains(x) for x in (*seeds, "lorem", "dolor")])
-    traces = reduce(or_, [low.contains(x) for x in _DUMP_SIGNS]) & text.rlike("(?m)" + _DUMP.pattern)
+    said = _says(low, {*seeds, "lorem", "dolor"})
+    traces = reduce(or_, [reduce(and_, map(text.contains, xs)) for xs in _DUMP_SIGNS]) & text.rlike("(?m)" + _DUMP.pattern)
     there = there.withColumn("signs", said | traces | (F.size(F.array_distinct(ws)) <= FILLER_STOCK * F.size(ws)))
     key = line_key(F.col("line"))
     masked = F.when(F.col("_site") != "", F.replace(key, F.col("_site"), F.lit("§"))).otherwise(key)
@@ -187,6 +203,21 @@ def rows_with_lines(stories: DataFrame, seeds: tuple[str, ...] = SEEDS) -> tuple
     return own, marked
 
 
+def _wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose story_id is not in ``ids``: one hash of the id into a broadcast set of bits.
+
+    The set has BITS_A_ROW bits an id, MOST_BITS (8 MB) at most. It never drops a wanted row; a join decides on the rest.
+    """
+    bits = min(MOST_BITS, 1 << max(16, (BITS_A_ROW * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64("story_id"), F.lit(bits))
+    word, bit = F.shiftright(at, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    told = ids.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    array = np.zeros(bits // 64, np.int64)
+    array[told["w"].to_numpy()] = told["b"].to_numpy()
+    one = rows.sparkSession.createDataFrame(pa.table({"_bits": pa.array([array], pa.list_(pa.int64()))}))
+    return rows.join(F.broadcast(one), F.get("_bits", word).bitwiseAND(bit) != 0, "left_semi")
+
+
 def _messages(stories: DataFrame, ids: DataFrame, gone: DataFrame, seeds: tuple[str, ...]) -> DataFrame:
     """(story_id, m, n, trusted, fp, set) of the rows in ``ids``."""
 
@@ -204,7 +235,7 @@ def _messages(stories: DataFrame, ids: DataFrame, gone: DataFrame, seeds: tuple[
                 rows.append((i, m - (1 << 64) if m >> 63 else m, len(h), judged(kept, seeds), simhash(mix(h)).tobytes(), h.tobytes()))
             yield pd.DataFrame(rows, columns=["story_id", "m", "n", "trusted", "fp", "set"])
 
-    rows = stories.where("original_text is not null").select("story_id", "original_text", _site().alias("site")).join(ids, "story_id").join(gone, "story_id", "left")
+    rows = _wanted(stories.where("original_text is not null"), ids).select("story_id", "original_text", _site().alias("site")).join(ids, "story_id").join(gone, "story_id", "left")
     rows = rows.select("story_id", "original_text", "site", "gone", "noted").repartition(stories.sparkSession.sparkContext.defaultParallelism, "story_id")
     return rows.mapInPandas(make, "story_id long, m long, n int, trusted boolean, fp binary, set binary")
 

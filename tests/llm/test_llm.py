@@ -497,3 +497,36 @@ def test_lines_find_their_page(spark):
 def test_query(spark, name):
     df = Q.queries()[name](spark, DIR)
     assert df.columns and df.count() >= 0
+
+
+def test_only_wanted_texts_are_moved(spark):
+    rows = spark.range(4000).select(F.col("id").alias("story_id"), F.lit("a text").alias("original_text"))
+    ids = rows.where("story_id % 100 = 7").select("story_id")
+    kept = {r.story_id for r in residue._wanted(rows, ids).collect()}
+    assert kept >= set(range(7, 4000, 100)) and len(kept) < 400
+    assert residue._wanted(rows, ids.limit(0)).collect() == []
+
+
+def test_signs_equal_the_patterns(spark):
+    slots = ["{{ name }}", "<% x %>", "${x}", "#{x}", "[[a b]]", "[% x %]", "{% x %}", "__NAME__", "%%x%%", "%NAME%", "@@x@@", "<<x>>", "{A_B}", "{a_b}", "{12}", "xXNAMEXx", "[object Object]", "[your name]", "[TITLE]", "XXI", "50 %", "[a]"]
+    dumps = ["  at a.b(c", '  File "a.py", line 3', "Caused by: x", "... 12 more", "#1 /a/b:", "a.ValueError: x", "x.Exception", "in /a on line 3", "2024-01-02T03:04:05 x WARNING y", "2024-01-02 03:04 INFO", "[error] x", "[warn: x", "[crit] x", "Traceback (most"]
+    dumps += ["look at me (now", "errors", "line 3", "2024-01-02 03:04 said", "and more"]
+    texts = [*slots, *dumps, *residue.SEEDS, *map(str.upper, residue.SEEDS), "was found", "an error", "lorem", "dolor", "a plain line of a story"]
+    own = residue.rows_with_lines(spark.createDataFrame([(i, f"t{i}", "u", "h", t) for i, t in enumerate(texts)], "story_id long, title string, url string, source_host string, original_text string"))[0]
+    got_ = {r.story_id: (r.slot, r.signs) for r in own.collect()}
+    plain = spark.createDataFrame(list(enumerate(texts)), "story_id long, t string")
+    said = F.lower("t").rlike("|".join([*residue.SEEDS, "lorem", "dolor"]))
+    plain = plain.select("story_id", F.col("t").rlike("(?i)" + residue.SLOT).alias("slot"), (said | F.col("t").rlike("(?m)" + residue._DUMP.pattern)).alias("signs"))
+    assert got_ == {r.story_id: (r.slot, r.signs) for r in plain.collect()} and len({x for x in got_.values()}) >= 3
+
+
+def test_what_a_line_says():
+    for raw in ["Home | Log in  now", "ALL RIGHTS — 2024, My Site", "తెలుగు కథ: my site", "İstanbul K", "x" * 200 + " My Site, and on", "...", "12"]:
+        text = boilerplate.flat(raw)
+        letters = " ".join(boilerplate.NOT_LETTER.sub(" ", text.lower()).split())
+        c = letters.replace("my site", "§")
+        want = (boilerplate._hash(text), boilerplate._hash("h|" + c), boilerplate._hash(c), boilerplate.parts(raw, c), boilerplate.line_bits(text, "", c), text)
+        assert boilerplate._letters(text) == letters and boilerplate._told(raw, "my site", "h") == boilerplate._short(raw, "my site", "h") == want
+    rows = [(1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, [1, 2]), (-(1 << 63), 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, [])]
+    assert [tuple(r.values()) for r in boilerplate._batch(rows, boilerplate._LEAF).to_pylist()] == rows
+    assert boilerplate._batch([], boilerplate._LINE).num_rows == 0
